@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, repair, sharding, warc
-from .common import table
+from . import packing, quality, repair, sharding, toxicity, warc
+from .common import crc_mod, table
 
 
 def tokenizer(name: str) -> str:
@@ -21,11 +22,27 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), 40)
 
 
+def _classified(scored: DataFrame, modulus: int, held: int, threshold: float) -> DataFrame:
+    return scored.select("doc_id", (crc_mod("doc_id", modulus) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
+    return _classified(toxicity.score(docs, model), 4, 2, 0.3)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write(table(spark, sf_dir, "pages"))
     return warc.read(spark, path)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = quality.train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
+    return _classified(quality.score(docs, net), 3, 1, 0.5)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 2048)
 
@@ -35,7 +52,14 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_sharding": op5_sharding, "op7_warc": op7_warc, "op9_packing": op9_packing, "op10_repair": op10_repair}
+    return {
+        "op5_sharding": op5_sharding,
+        "op6_toxicity": op6_toxicity,
+        "op7_warc": op7_warc,
+        "op8_quality": op8_quality,
+        "op9_packing": op9_packing,
+        "op10_repair": op10_repair,
+    }
 
 
 def _draw(path: str, name: str) -> str:
