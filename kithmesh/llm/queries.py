@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, packing, quality, repair, sharding, toxicity, warc
+from . import ann, neardup, packing, quality, repair, sharding, spotsigs, toxicity, warc
 from .common import crc_mod, table
 
 
@@ -22,6 +22,14 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), 40)
 
@@ -58,6 +66,8 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ann": op1_ann,
+        "op2_neardup": op2_neardup,
+        "op4_spotsigs": op4_spotsigs,
         "op5_sharding": op5_sharding,
         "op6_toxicity": op6_toxicity,
         "op7_warc": op7_warc,
@@ -121,5 +131,28 @@ SELECT page_id, payload_bytes,
 FROM b"""
 
 
+def _signatures_sql(text: str) -> str:
+    common = ", ".join(f"'{w}'" for w in spotsigs.COMMON)
+    words = f"list_filter(string_split(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+    chain = "(a.w || CASE WHEN a.n < len(c) THEN ' ' || c[a.n + 1] ELSE '' END || CASE WHEN a.n + 1 < len(c) THEN ' ' || c[a.n + 2] ELSE '' END)"
+    return f"""(SELECT list_sort(list_distinct(list_transform(anchors, lambda a: substr(md5({chain}), 1, 8)))) FROM (
+  SELECT c, list_concat(
+    CASE WHEN len(w) > 0 THEN [{{'w': '^', 'n': 0::BIGINT}}] ELSE [] END,
+    list_transform(list_zip(i, range(len(i))), lambda z: {{'w': w[z[1]], 'n': (z[1] - 1 - z[2])::BIGINT}}),
+    list_transform(list_filter(range(len(c)), lambda k: substr(md5(c[k + 1]), 1, 1) IN ('0', '1')), lambda k: {{'w': c[k + 1], 'n': (k + 1)::BIGINT}})) AS anchors
+  FROM (SELECT w, list_filter(w, lambda x: x NOT IN ({common})) AS c, list_filter(range(1, len(w) + 1), lambda p: w[p] IN ({common})) AS i FROM (SELECT {words} AS w))))"""
+
+
+def _op4_sql() -> str:
+    like = lambda a, b: f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+o AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS nxt FROM d),
+e AS (SELECT *, left(text, length(text) - length(text) // 3) || left(nxt, length(text) // 3) AS edited FROM o),
+s AS (SELECT *, {_signatures_sql("text")} AS own, {_signatures_sql("edited")} AS other, {_signatures_sql("nxt")} AS nx FROM e)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(own, '') AS fingerprint,
+  array_to_string(other, '') AS edited_fingerprint, {like("own", "other")} AS near_edited, {like("own", "nx")} AS near_next FROM s"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sharding": _op5_sql(), "op7_warc": _OP7_SQL}
+    return {"op4_spotsigs": _op4_sql(), "op5_sharding": _op5_sql(), "op7_warc": _OP7_SQL}
