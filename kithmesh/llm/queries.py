@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, neardup, packing, quality, repair, sharding, spotsigs, toxicity, warc
+from . import ann, mixing, neardup, packing, quality, repair, sharding, spotsigs, toxicity, warc
 from .common import crc_mod, table
 
 
+#: Wanted shares of tokens by domain. The domain is the language: sources can't be told from texts.
+TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
+
+
 def tokenizer(name: str) -> str:
     """The path of a vocabulary file on this machine; every executor has the same package."""
     import public_tokenizers
@@ -26,6 +30,11 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.train(docs, table(spark, sf_dir, "labels")), TARGETS)
+
+
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -67,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ann": op1_ann,
         "op2_neardup": op2_neardup,
+        "op3_mixing": op3_mixing,
         "op4_spotsigs": op4_spotsigs,
         "op5_sharding": op5_sharding,
         "op6_toxicity": op6_toxicity,
