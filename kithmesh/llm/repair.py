@@ -25,85 +25,98 @@ SHARD = "part int, seq int, n_docs long, n_ids long, payload binary"
 DOCS = "part int, seq int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
 
-def compress(ids: np.ndarray, least: int = 4, rounds: int = 40, most_rules: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, int]:
+def compress(ids: np.ndarray, least: int = 4, rounds: int = 24, most_rules: int = 1 << 20, bits: int = 18) -> tuple[np.ndarray, np.ndarray, int]:
     """(symbols, rules, first nonterminal): in each round all pairs that occur often enough, most frequent first where
-    they overlap, are replaced by new symbols. Ends when a round saves under half a percent or nothing is frequent."""
+    they overlap, are replaced by new symbols. Pairs are counted in a table of 2^bits slots, each of which follows one
+    pair. Ends when a round saves under two percent of the symbols with the bar for pairs at `least`, or nothing is frequent."""
     seq = np.ascontiguousarray(ids, dtype=np.uint32)
     first = free = int(seq.max(initial=0)) + 1
     rules: list[np.ndarray] = []
-    bits = 22
+    owner = np.empty(1 << bits, dtype=np.uint64)
     for _ in range(rounds):
         if len(seq) < 2 * least or free - first >= most_rules:
             break
-        left, right = seq[:-1], seq[1:]
-        key = (left.astype(np.uint64) << np.uint64(32)) | right
-        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-        bound = np.bincount(slot, minlength=1 << bits)  # at least the count of any pair in the slot
-        floor = max(least, int(bound.max()) >> 5)
-        hot = np.flatnonzero(bound[slot] >= floor)
-        pair, where, count = np.unique(key[hot], return_inverse=True, return_counts=True)
-        rank = np.zeros(len(key), dtype=np.int64)
-        rank[hot] = np.where(count >= floor, count, 0)[where]
-        if not rank.any():
-            break
+        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+        owner[slot] = key  # a frequent pair is likely to be the last in its slot; another one gets its turn in a later round
+        own = owner[slot] == key
+        count = np.bincount(slot[own], minlength=1 << bits)
+        floor = max(least, int(count.max()) >> 8)
+        rank = np.where(count >= floor, count, 0).astype(np.int32)[slot]
+        rank[~own] = 0
         take = rank > 0
         take[1:] &= rank[1:] > rank[:-1]
         take[:-1] &= rank[:-1] >= rank[1:]
         chosen = np.flatnonzero(take)
-        index = np.full(len(key), -1, dtype=np.int32)
-        index[hot] = where
-        which = index[chosen]
-        used = np.bincount(which, minlength=len(pair))
+        used = np.bincount(slot[chosen], minlength=1 << bits)
         worth = used >= min(least, 3)
-        keep = worth[which]
-        chosen, which = chosen[keep], which[keep]
+        chosen = chosen[worth[slot[chosen]]]
         if len(chosen) == 0:
             break
         number = np.cumsum(worth) - 1
-        got = pair[worth]
+        got = owner[worth]
         rules.append(np.stack([(got >> np.uint64(32)).astype(np.uint32), got.astype(np.uint32)], axis=1))
         seq = seq.copy()
-        seq[chosen] = (free + number[which]).astype(np.uint32)
+        seq[chosen] = (free + number[slot[chosen]]).astype(np.uint32)
         gone = np.ones(len(seq), dtype=bool)
         gone[chosen + 1] = False
-        free += int(worth.sum())
-        saved, size = len(chosen) - 3 * int(worth.sum()) / 2, len(seq)
+        free += len(got)
         seq = seq[gone]
-        if saved < 0.005 * size and floor == least:
+        if len(chosen) < 0.02 * len(seq) and floor == least:
             break
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), first
 
 
+def _layers(rules: np.ndarray, first: int) -> Iterator[tuple[int, int]]:
+    """Runs (start, stop) of rules that don't use each other; a rule only uses symbols that are older than it."""
+    newest = rules.astype(np.int64).max(axis=1, initial=0) - first
+    done = 0
+    while done < len(rules):
+        inside = newest[done:] >= done
+        stop = done + int(np.argmax(inside)) if inside.any() else len(rules)
+        yield done, stop
+        done = stop
+
+
 def lengths(rules: np.ndarray, first: int) -> np.ndarray:
-    """How many ids each nonterminal stands for. A rule only uses symbols that are older than it, so whole runs of
-    rules that don't use each other are summed at once."""
+    """How many ids each nonterminal stands for."""
     out = np.ones(len(rules), dtype=np.int64)
     at = rules.astype(np.int64) - first
-    done = 0
-    while done < len(rules):
-        newest = at[done:].max(axis=1)
-        stop = done + int(np.argmax(newest >= done)) if (newest >= done).any() else len(rules)
+    for done, stop in _layers(rules, first):
         part = at[done:stop]
         out[done:stop] = np.where(part < 0, 1, out[np.maximum(part, 0)]).sum(axis=1)
-        done = stop
     return out
 
 
+def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] numbers), then those of start[1], and so on."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+class Grammar:
+    """Rules with each nonterminal's ids written out, so that symbols are expanded by one gather."""
+
+    def __init__(self, rules: np.ndarray, first: int):
+        self.first, self.size = first, lengths(rules, first)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.empty(int(self.size.sum()), dtype=np.uint32)
+        for done, stop in _layers(rules, first):
+            self.flat[int(self.start[done]) : int(self.start[done] + self.size[done:stop].sum())] = self.expand(rules[done:stop].ravel())
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        of = symbols.astype(np.int64) - self.first
+        if not len(self.size):
+            return symbols.astype(np.uint32)
+        size = np.where(of < 0, 1, self.size[np.maximum(of, 0)])
+        out = self.flat[np.minimum(_ragged(np.where(of < 0, 0, self.start[np.maximum(of, 0)]), size), max(len(self.flat) - 1, 0))]
+        ends = np.cumsum(size)
+        out[ends[of < 0] - 1] = symbols[of < 0]
+        return out
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
     """The ids that the symbols stand for."""
-    seq = symbols.astype(np.uint32)
-    while len(seq):
-        many = seq >= first
-        if not many.any():
-            break
-        size = np.where(many, 2, 1)
-        ends = np.cumsum(size)
-        out = np.empty(int(ends[-1]), dtype=np.uint32)
-        out[ends[~many] - 1] = seq[~many]
-        pair = rules[seq[many] - first]
-        out[ends[many] - 2], out[ends[many] - 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+    return Grammar(rules, first).expand(symbols)
 
 
 def write_shard(docs: list, ends: np.ndarray, ids: np.ndarray) -> bytes:
@@ -136,6 +149,7 @@ class Shard:
         null, keys, self.ends = take("u1", n_docs), take("<i8", n_docs), take("<i8", n_docs)
         self.docs = [None if x else k for x, k in zip(null.tolist(), keys.tolist(), strict=True)]
         of = self.symbols.astype(np.int64) - self.first
+        self.grammar = Grammar(self.rules, self.first)
         self.after = np.cumsum(np.where(of < 0, 1, sizes[np.maximum(of, 0)] if n_rules else 1))
 
     def ids(self, start: int, stop: int) -> np.ndarray:
@@ -143,13 +157,13 @@ class Shard:
             return np.empty(0, np.uint32)
         a, b = np.searchsorted(self.after, [start, stop - 1], side="right")
         before = int(self.after[a - 1]) if a else 0
-        return expand(self.symbols[a : b + 1], self.rules, self.first)[start - before : stop - before]
+        return self.grammar.expand(self.symbols[a : b + 1])[start - before : stop - before]
 
     def doc(self, k: int) -> np.ndarray:
         return self.ids(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
     def all(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.first)
+        return self.grammar.expand(self.symbols)
 
 
 def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, shard_ids: int) -> Iterator[pa.RecordBatch]:
