@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EARTH_M = 6378137.0
+MOST_NODES = 100_000
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH_M) -> Column:
@@ -35,14 +36,21 @@ def edge_costs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def nearest(points: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each point (id, lat, lon) with its nearest node and the distance in metres; ties to the smaller node. The node
-    table is a network of bounded size and is sent to every task."""
+    """Each point (id, lat, lon) with its nearest node and the distance in metres; ties to the smaller node. The node table is a
+    network: up to MOST_NODES nodes (counted here) it is sent to every task; a larger one is refused."""
+    if nodes.limit(MOST_NODES + 1).count() > MOST_NODES:
+        raise ValueError(f"a network has at most {MOST_NODES} nodes")
     n = F.broadcast(nodes.select(F.col("id").alias("node"), F.col("lat").alias("nlat"), F.col("lon").alias("nlon")))
     d = points.crossJoin(n).select("id", "node", haversine(F.col("lat"), F.col("lon"), F.col("nlat"), F.col("nlon")).alias("d"))
     best = d.groupBy("id").agg(F.min(F.struct("d", "node")).alias("b"))
     return best.select("id", F.col("b.node").alias("node"), F.col("b.d").alias("distance"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Ends the plan of an iteration: a checkpoint in the shared folder where one is set, else the cache."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def all_pairs(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """src, dst, cost of the cheapest path of every connected pair (0 to itself), by squaring in the (min, +) sense. rounds: how often
     paths are doubled; by default until nothing changes (log2 of the longest path)."""
@@ -54,8 +62,8 @@ def all_pairs(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         right = d.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("cost").alias("more"))
         d = d.join(right, "dst").groupBy("src", F.col("end").alias("dst")).agg(F.min(F.col("cost") + F.col("more")).alias("cost"))
         k += 1
+        d = _cut(d)
         if rounds is None:
-            d = d.checkpoint() if d.sparkSession.sparkContext.getCheckpointDir() else d.persist()
             now = tuple(d.agg(F.count(F.lit(1)), F.sum("cost")).first())
             if now == before:
                 break
@@ -66,11 +74,12 @@ def all_pairs(edges: DataFrame, rounds: int | None = None) -> DataFrame:
 def path_costs(edges: DataFrame, source, rounds: int) -> DataFrame:
     """id, cost from the source: `rounds` relaxations; unreachable nodes are left out."""
     e = both_ways(edges)
-    d = e.select(F.col("src").alias("id")).distinct().where(F.col("id") == source).select("id", F.lit(0.0).alias("cost"))
+    stay = e.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(0.0).alias("cost"))
+    e = _cut(e.unionByName(stay))  # staying costs nothing, so a round needs the costs so far only once
+    d = stay.where(F.col("src") == source).select(F.col("src").alias("id"), F.col("cost").alias("upto"))
     for _ in range(rounds):
-        step = d.withColumnRenamed("cost", "upto").join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("upto") + F.col("cost")).alias("cost"))
-        d = d.unionByName(step).groupBy("id").agg(F.min("cost").alias("cost"))
-    return d
+        d = d.join(e, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("upto") + F.col("cost")).alias("upto"))
+    return d.select("id", F.col("upto").alias("cost"))
 
 
 def network_distances(points: DataFrame, nodes: DataFrame, paths: DataFrame, hub, ref_lat: float, ref_lon: float, penalty: float = 4.44) -> DataFrame:
@@ -94,7 +103,7 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFram
         new = lab.join(near, lab["id"] == near["a"], "left").select("id", F.least("component", "m").alias("component"), (F.coalesce(F.col("m") < F.col("component"), F.lit(False))).alias("moved"))
         jump = new.select(F.col("id").alias("component"), F.col("component").alias("further"))
         new = new.join(jump, "component", "left").select("id", F.coalesce("further", "component").alias("component"), "moved")
-        new = new.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else new.persist()
+        new = _cut(new)
         if not new.where("moved").limit(1).count():
             return new.select("id", "component")
         lab = new.select("id", "component")

@@ -20,8 +20,8 @@ def cosine(vectors: DataFrame, left: DataFrame | None = None, right: DataFrame |
     norms = vectors.groupBy("entity").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     a = norms if left is None else norms.join(left.select("entity"), "entity", "left_semi")
     b = norms if right is None else norms.join(right.select("entity"), "entity", "left_semi")
-    va = vectors if left is None else vectors.join(F.broadcast(left.select("entity")), "entity", "left_semi")
-    vb = vectors if right is None else vectors.join(F.broadcast(right.select("entity")), "entity", "left_semi")
+    va = vectors if left is None else vectors.join(left.select("entity"), "entity", "left_semi")
+    vb = vectors if right is None else vectors.join(right.select("entity"), "entity", "left_semi")
     dots = va.select(F.col("entity").alias("i"), "feature", F.col("v").alias("x")).join(vb.select(F.col("entity").alias("j"), "feature", F.col("v").alias("y")), "feature")
     dots = dots.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     pairs = a.select(F.col("entity").alias("i"), F.col("norm").alias("ni")).crossJoin(b.select(F.col("entity").alias("j"), F.col("norm").alias("nj")))
@@ -40,14 +40,14 @@ def cosine_pairwise(vectors: DataFrame, eps: float = EPS) -> DataFrame:
 
 def substitute(long: DataFrame, by_value: DataFrame) -> DataFrame:
     """entity, feature, v: each value is replaced by the weight of its (feature, value); null stays null."""
-    return long.join(F.broadcast(by_value.select("feature", "value", F.col("idf").alias("w"))), ["feature", "value"], "left").select("entity", "feature", F.when(F.col("value").isNotNull(), F.col("w")).alias("v"))
+    return long.join(by_value.select("feature", "value", F.col("idf").alias("w")), ["feature", "value"], "left").select("entity", "feature", F.when(F.col("value").isNotNull(), F.col("w")).alias("v"))
 
 
 def role_scores(pairs: DataFrame, roles: DataFrame) -> DataFrame:
     """study, baseline, score: similarity to each interest entity, and as baseline `control` the mean over the controls (null
     if one of them is null)."""
     r = roles.select("entity", "role")
-    p = pairs.join(F.broadcast(r.where("role = 'study'").select(F.col("entity").alias("i"))), "i", "left_semi").join(F.broadcast(r.select(F.col("entity").alias("j"), "role")), "j")
+    p = pairs.join(r.where("role = 'study'").select(F.col("entity").alias("i")), "i", "left_semi").join(r.select(F.col("entity").alias("j"), "role"), "j")
     interest = p.where("role = 'interest'").select(F.col("i").alias("study"), F.col("j").alias("baseline"), F.col("v").alias("score"))
     control = p.where("role = 'control'").groupBy(F.col("i").alias("study")).agg(F.when(F.count("v") == F.count(F.lit(1)), F.avg("v")).alias("score")).select("study", F.lit("control").alias("baseline"), "score")
     return interest.unionByName(control)
@@ -69,7 +69,7 @@ def contributions(vectors: DataFrame, core: DataFrame, entity: str) -> DataFrame
     """feature, contribution, share, rank: what each feature adds to the mean similarity of `entity` to the core's entities."""
     u = unit(vectors)
     n = core.agg(F.count(F.lit(1)).alias("n_core"))
-    centre = u.join(F.broadcast(core.select("entity")), "entity", "left_semi").groupBy("feature").agg(F.sum("u").alias("s")).crossJoin(F.broadcast(n)).select("feature", (F.col("s") / F.col("n_core")).alias("c"))
+    centre = u.join(core.select("entity"), "entity", "left_semi").groupBy("feature").agg(F.sum("u").alias("s")).crossJoin(F.broadcast(n)).select("feature", (F.col("s") / F.col("n_core")).alias("c"))
     one = u.where(F.col("entity") == entity).join(centre, "feature").select("feature", (F.col("u") * F.col("c")).alias("contribution"))
     total = one.agg(F.sum("contribution").alias("t"))
     ranked = Window.orderBy(F.desc("contribution"), "feature")  # one entity's features: a bounded report
@@ -78,7 +78,7 @@ def contributions(vectors: DataFrame, core: DataFrame, entity: str) -> DataFrame
 
 def core_rank(pairs: DataFrame, core: DataFrame) -> DataFrame:
     """j, mean, rank: entities by their mean similarity to the core (i of pairs)."""
-    m = pairs.join(F.broadcast(core.select(F.col("entity").alias("i"))), "i", "left_semi").groupBy("j").agg(F.avg("v").alias("mean"))
+    m = pairs.join(core.select(F.col("entity").alias("i")), "i", "left_semi").groupBy("j").agg(F.avg("v").alias("mean"))
     return m.select("j", "mean", F.rank().over(Window.orderBy(F.desc("mean"))).cast("long").alias("rank"))
 
 
@@ -87,7 +87,7 @@ def drivers(present: DataFrame, roles: DataFrame, weights: DataFrame) -> DataFra
     leverage idf^6 q (1 - q) (1 - 2q) of control prevalence q where study prevalence is over 0, and whether that is in the top decile of the candidates."""
     sizes = roles.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
     size = lambda r: F.broadcast(sizes.where(F.col("role") == r).select(F.col("n").alias(f"n_{r}")))
-    has = present.join(F.broadcast(roles.select("entity", "role")), "entity").groupBy("feature").agg(*[F.count_if(F.col("role") == r).alias(r) for r in ("study", "interest", "control")])
+    has = present.join(roles.select("entity", "role"), "entity").groupBy("feature").agg(*[F.count_if(F.col("role") == r).alias(r) for r in ("study", "interest", "control")])
     t = has.crossJoin(size("study")).crossJoin(size("interest")).crossJoin(size("control")).join(weights.select("feature", "idf"), "feature")
     p, q = F.col("study") / F.col("n_study"), F.col("control") / F.col("n_control")
     t = t.select("feature", "idf", p.alias("p_study"), (F.col("interest") / F.col("n_interest")).alias("p_interest"), q.alias("p_control"), (p * (1 - p)).alias("variance"), F.col("interest").alias("n_shared"), F.when(p > 0, F.pow("idf", F.lit(6.0)) * q * (1 - q) * (1 - 2 * q)).alias("leverage"))
@@ -99,14 +99,14 @@ def drivers(present: DataFrame, roles: DataFrame, weights: DataFrame) -> DataFra
 def skew_outliers(nulls: DataFrame, sds: float = 2.0) -> DataFrame:
     """j, n_exceed: for how many rows i the control j lies above the row's median + sds standard deviations."""
     cut = nulls.groupBy("i").agg((F.median("v") + sds * F.stddev_samp("v")).alias("cut"))
-    return nulls.join(F.broadcast(cut), "i").groupBy("j").agg(F.count_if(F.col("v") > F.col("cut")).alias("n_exceed"))
+    return nulls.join(cut, "i").groupBy("j").agg(F.count_if(F.col("v") > F.col("cut")).alias("n_exceed"))
 
 
 def weighted_null(nulls: DataFrame, weights: DataFrame, sds: float = 2.0) -> DataFrame:
     """j, n_exceed: as skew_outliers with a weighted median (the first value with half of the weight) and reliability-weighted deviation."""
-    w = nulls.join(F.broadcast(weights.select(F.col("entity").alias("j"), "weight")), "j")
+    w = nulls.join(weights.select(F.col("entity").alias("j"), "weight"), "j")
     order = Window.partitionBy("i").orderBy("v", "j")
     share = w.withColumn("w", F.col("weight") / F.sum("weight").over(Window.partitionBy("i"))).withColumn("upto", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     stats = share.groupBy("i").agg(F.min(F.when(F.col("upto") >= 0.5 - 1e-12, F.col("v"))).alias("m"), F.sum(F.col("w") * F.col("v")).alias("mean"), F.sum(F.col("w") * F.col("v") * F.col("v")).alias("sq"), F.sum(F.col("w") * F.col("w")).alias("w2"))
     cut = stats.select("i", (F.col("m") + sds * F.sqrt((F.col("sq") - F.col("mean") * F.col("mean")) / (1 - F.col("w2")))).alias("cut"))
-    return nulls.join(F.broadcast(cut), "i").groupBy("j").agg(F.count_if(F.col("v") > F.col("cut")).alias("n_exceed"))
+    return nulls.join(cut, "i").groupBy("j").agg(F.count_if(F.col("v") > F.col("cut")).alias("n_exceed"))

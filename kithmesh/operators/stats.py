@@ -256,4 +256,4 @@ def density(values: DataFrame, by: str, value: str, points: int = 64) -> DataFra
     q = q.withColumn("h", 0.9 * F.when(iqr > 0, F.least("sd", iqr)).otherwise(F.col("sd")) * F.pow(F.col("n").cast("double"), F.lit(-0.2))).where("h > 0")
     grid = q.select(by, "h", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.col("lo") - 3 * F.col("h") + k * (F.col("hi") - F.col("lo") + 6 * F.col("h")) / (points - 1))).alias("x"))
     z = (F.col("x") - F.col(value)) / F.col("h")
-    return values.select(by, value).join(F.broadcast(grid), by).groupBy(by, "x").agg((F.sum(F.exp(-0.5 * z * z)) / F.max(F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("y"))
+    return values.select(by, value).join(grid, by).groupBy(by, "x").agg((F.sum(F.exp(-0.5 * z * z)) / F.max(F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("y"))

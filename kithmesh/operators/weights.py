@@ -30,7 +30,7 @@ def idf_by_value(long: DataFrame, n_total: int | None = None) -> DataFrame:
     """feature, value, n, freq, idf = ln(1 / freq); a null value is a group of its own."""
     counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     if n_total is None:
-        counts = counts.join(F.broadcast(long.groupBy("feature").agg(F.count(F.lit(1)).alias("_t"))), "feature")
+        counts = counts.join(long.groupBy("feature").agg(F.count(F.lit(1)).alias("_t")), "feature")
     else:
         counts = counts.withColumn("_t", F.lit(n_total))
     freq = F.col("n") / F.col("_t")
@@ -55,7 +55,7 @@ def one_hot(long: DataFrame, least_levels: int = 3) -> DataFrame:
     value stays null in each of them. Other features stay as they are, their value as a number."""
     levels = long.where("value is not null").select("feature", "value").distinct()
     many = levels.groupBy("feature").agg(F.collect_set("value").alias("levels")).where(F.size("levels") >= least_levels)
-    joined = long.join(F.broadcast(many), "feature", "left")
+    joined = long.join(many, "feature", "left")
     wide = joined.where("levels is not null").select("entity", "feature", "value", F.explode("levels").alias("level"))
     dummies = wide.select("entity", F.concat_ws("_", "feature", "level").alias("feature"), (F.col("value") == F.col("level")).cast("int").alias("value"))
     rest = joined.where("levels is null").select("entity", "feature", F.expr("try_cast(value as int)").alias("value"))

@@ -64,7 +64,7 @@ def _present(t: _Tables) -> DataFrame:
 
 def _roles(t: _Tables) -> DataFrame:
     role = F.when(F.col("n_regionkey") == 0, "study").when(F.col("n_nationkey") == 1, "interest").otherwise("control")
-    rows = t.customer.select("c_nationkey", "c_mktsegment").distinct().join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = t.customer.select("c_nationkey", "c_mktsegment").distinct().join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.select(F.concat_ws("|", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("entity"), role.alias("role"), F.col("n_regionkey").cast("long").alias("family"))
 
 
@@ -231,8 +231,8 @@ SELECT i, baseline, round(score, 9) AS score, round(p, 9) AS p, round(z, 9) AS z
 @_query(_BASE + _EMP)
 def empirical_p_bh(t):
     pairs, roles = _pairs(t), _roles(t)
-    nulls = pairs.join(F.broadcast(roles.where("role = 'control'").select(F.col("entity").alias("j"))), "j", "left_semi")
-    seen = pairs.join(F.broadcast(roles.where("role = 'interest'").select(F.col("entity").alias("j"))), "j", "left_semi").select("i", F.col("j").alias("baseline"), F.col("v").alias("score"))
+    nulls = pairs.join(roles.where("role = 'control'").select(F.col("entity").alias("j")), "j", "left_semi")
+    seen = pairs.join(roles.where("role = 'interest'").select(F.col("entity").alias("j")), "j", "left_semi").select("i", F.col("j").alias("baseline"), F.col("v").alias("score"))
     return stats.empirical_upper(nulls, seen)
 
 
@@ -456,7 +456,7 @@ def _nation_pairs(t: _Tables) -> DataFrame:
     b = t.customer.groupBy(F.col("c_nationkey").cast("long").alias("id")).agg(F.avg("c_acctbal").alias("b"))
     n = _nodes(t).join(b, "id")
     a, c = (n.select(*[F.col(x).alias(f"{x}{s}") for x in ("id", "lat", "lon", "b")]) for s in ("1", "2"))
-    p = a.join(F.broadcast(c), F.col("id1") < F.col("id2")).select(F.col("id1").alias("i"), F.col("id2").alias("j"), F.abs(F.col("b1") - F.col("b2")).alias("y"), (graph.haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")) / 1000).alias("geo"))
+    p = a.join(c, F.col("id1") < F.col("id2")).select(F.col("id1").alias("i"), F.col("id2").alias("j"), F.abs(F.col("b1") - F.col("b2")).alias("y"), (graph.haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")) / 1000).alias("geo"))
     return p.join(patristic(t).withColumnRenamed("v", "phylo"), ["i", "j"])
 
 
@@ -612,7 +612,7 @@ def land_sea_lengths(t):
 def token_document_frequency(t):
     d = t.documents.select("doc_id", "lang", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("feature")).where("feature <> ''")
     n = t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("t"))
-    c = d.groupBy("lang", "feature").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(n), "lang")
+    c = d.groupBy("lang", "feature").agg(F.count(F.lit(1)).alias("n")).join(n, "lang")
     return c.select("lang", "feature", "n", F.log((F.col("t") + 1) / (F.col("n") + 1)).alias("idf"))
 
 
@@ -640,9 +640,9 @@ def unpivot(t):
     return _part_long(t)
 
 
-@_query("SELECT p_brand AS brand, " + ", ".join(f"nullif(count(*) FILTER (p_size = {k}), 0) AS s{k}" for k in (1, 2, 3)) + " FROM part WHERE p_size IN (1, 2, 3) GROUP BY 1")
+@_query("SELECT p_brand AS brand, " + ", ".join(f"count(*) FILTER (p_size = {k}) AS s{k}" for k in (1, 2, 3)) + " FROM part WHERE p_size IN (1, 2, 3) GROUP BY 1")
 def pivot(t):
-    return t.part.where("p_size in (1, 2, 3)").groupBy(F.col("p_brand").alias("brand")).pivot("p_size", [1, 2, 3]).agg(F.count(F.lit(1))).select("brand", *[F.col(str(k)).alias(f"s{k}") for k in (1, 2, 3)])
+    return t.part.where("p_size in (1, 2, 3)").groupBy(F.col("p_brand").alias("brand")).pivot("p_size", [1, 2, 3]).agg(F.count(F.lit(1))).select("brand", *[F.coalesce(F.col(str(k)), F.lit(0)).alias(f"s{k}") for k in (1, 2, 3)])
 
 
 @_query("WITH r AS (SELECT p_brand, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS pick, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT p_brand, p_partkey, p_retailprice, pick FROM r WHERE pick IN (1, round_even(1 + (n - 1) * 0.5, 0), n)")
