@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import staged, text_of
 
 CHAIN = 2
+_NONE = -(1 << 63)
 #: Common words of English, German, French and Spanish.
 COMMON = (
     "a an and are as at be been but by for from had has have he her his if in into is it its not of on or our she that the their them then there these they this to was we were which with you "
@@ -57,6 +58,11 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def numbers(signatures_: Column) -> Column:
+    """Signatures as 4-byte integers."""
+    return F.transform(signatures_, lambda x: (F.conv(x, 16, 10).cast("long") - (1 << 31)).cast("int"))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard of two sets of signatures; 1 for two empty ones."""
     shared = F.size(F.array_intersect(a, b))
@@ -64,19 +70,24 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(shared / total)
 
 
+def _key(id_col: str) -> Column:
+    """The id; the smallest long for a null."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("id")
+
+
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each document (distinct id and text): key, third (a third of its code points, rounded down), and before_key and
     before_third of the document before it in descending id order; the first one's is the last document. Documents of
     one id are ordered by a hash of their text. Narrow rows only; no task sees all of them."""
     text = text_of(text_col)
-    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.floor(F.length(text) / 3).cast("long").alias("third")).distinct()
-    order = [F.col("id").desc_nulls_last(), F.col("h")]
+    ids = docs.select(_key(id_col), F.xxhash64(text).alias("h"), F.floor(F.length(text) / 3).cast("long").alias("third")).distinct()
+    order = [F.col("id").desc(), F.col("h")]
     n = max(1, min(4096, ids.count() // 2000 + 1))
     dealt = staged(ids.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "order")
     w = Window.partitionBy("part").orderBy(*order)
     before = dealt.withColumn("before", F.lag(F.struct("id", "h", "third")).over(w))
     # The first of each part follows the last of the part before it (parts without rows have none); at most n rows.
-    last = dealt.groupBy("part").agg(F.max_by(F.struct("id", "h", "third"), F.struct(F.col("id").isNull(), -F.col("id"), F.col("h"))).alias("last"))
+    last = dealt.groupBy("part").agg(F.max_by(F.struct("id", "h", "third"), F.struct(-1 - F.col("id"), F.col("h"))).alias("last"))
     ends = last.withColumn("from", F.coalesce(F.lag("last").over(Window.orderBy("part")), F.first("last").over(Window.orderBy(F.col("part").desc())))).select("part", "from")
     return before.join(F.broadcast(ends), "part").select("id", "h", "third", F.coalesce("before", "from").alias("before"))
 
@@ -91,17 +102,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     An empty table gives an empty result; other columns aren't read.
     """
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = docs.select(_key(id_col), F.xxhash64(text).alias("h"), text.alias("text"))
     links = neighbours(docs, id_col, text_col)
-    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
-    # Each document gives the one before it its beginning and its own signatures.
-    given = rows.alias("d").join(links.alias("l"), same("d", "l"))
-    given = given.select(F.col("l.before.id").alias("id"), F.col("l.before.h").alias("h"), F.expr("substring(d.text, 1, cast(l.before.third as int))").alias("beginning"), signatures(F.col("d.text")).alias("next_set"))
+    # Each document gives the one before it its beginning and its own signatures, as numbers.
+    given = rows.join(links, ["id", "h"]).select(F.col("before.id").alias("id"), F.col("before.h").alias("h"), F.expr("substring(text, 1, cast(before.third as int))").alias("beginning"), numbers(signatures(F.col("text"))).alias("next_set"))
     given = given.groupBy("id", "h").agg(F.first("beginning").alias("beginning"), F.first("next_set").alias("next_set"))
-    both = rows.alias("d").join(given.alias("g"), same("d", "g"))
+    both = rows.join(given, ["id", "h"])
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.col("beginning"))
-    flat = both.select(F.col("d.id").alias("doc_id"), F.col("d.text").alias("text"), "beginning", "next_set").withColumn("edited", edited)
+    flat = both.select(F.when(F.col("id") != F.lit(_NONE), F.col("id")).alias("doc_id"), "text", "beginning", "next_set").withColumn("edited", edited)
     sets = flat.select("doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), signatures(F.col("text")).alias("own"), signatures(F.col("edited")).alias("other"), "next_set")
     return sets.select(
         "doc_id",
@@ -110,7 +119,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.array_join("own", "").alias("fingerprint"),
         F.array_join("other", "").alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next_set")).alias("near_next"),
+        likeness(numbers(F.col("own")), F.col("next_set")).alias("near_next"),
     )
 
 
