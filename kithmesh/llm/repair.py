@@ -44,10 +44,7 @@ def compress(ids: np.ndarray, least: int = 4, rounds: int = 24, most_rules: int
         floor = max(least, int(count.max()) >> 8)
         rank = np.where(count >= floor, count, 0).astype(np.int32)[slot]
         rank[~own] = 0
-        take = rank > 0
-        take[1:] &= rank[1:] > rank[:-1]
-        take[:-1] &= rank[:-1] >= rank[1:]
-        chosen = np.flatnonzero(take)
+        chosen = _apart(rank)
         used = np.bincount(slot[chosen], minlength=1 << bits)
         worth = used >= min(least, 3)
         chosen = chosen[worth[slot[chosen]]]
@@ -67,6 +64,21 @@ def compress(ids: np.ndarray, least: int = 4, rounds: int = 24, most_rules: int
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), first
 
 
+def _apart(rank: np.ndarray) -> np.ndarray:
+    """Places of pairs to replace, of which no two overlap: a pair gives way to a neighbouring one of higher rank; of a
+    run of equal ranks every second one is taken."""
+    at = np.flatnonzero(rank)
+    r = rank[at]
+    beside = at[1:] == at[:-1] + 1
+    start = np.ones(len(at), dtype=bool)
+    start[1:] = ~beside | (r[1:] != r[:-1])
+    k = np.arange(len(at))
+    take = (k - np.maximum.accumulate(np.where(start, k, 0))) % 2 == 0
+    take[1:] &= ~(beside & (r[:-1] > r[1:]))
+    take[:-1] &= ~(beside & (r[1:] > r[:-1]))
+    return at[take]
+
+
 def _layers(rules: np.ndarray, first: int) -> Iterator[tuple[int, int]]:
     """Runs (start, stop) of rules that don't use each other; a rule only uses symbols that are older than it."""
     newest = rules.astype(np.int64).max(axis=1, initial=0) - first

@@ -91,7 +91,7 @@ class Pieces:
             out[w] = ids
         if len(self._parts) < _KEPT:
             self._parts.update((w, b) for w, b in new.items() if len(w) < 48)
-        if len(self._kept) < _KEPT // 8:
+        if len(self._kept) < _KEPT // 4:
             self._kept.update((w, b) for w, b in out.items() if len(w) < 48)
         if len(self._tails) > _KEPT // 8:
             self._tails.clear()
