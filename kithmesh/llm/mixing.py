@@ -2,16 +2,17 @@
 
 A multinomial logistic classifier over hashed words, fitted on a bounded sample of the labelled rows, gives every
 document a posterior over domains. Rates r >= `least` minimise |E r - T|^2 / (2 total), where E holds the expected tokens of each
-domain (posterior times length) and T the wanted ones, by projected gradient descent from r = start. Steps are taken in coordinates scaled by
-the square root of a document's length, so that a rate depends on the posterior alone; then all documents of one (rounded) posterior
-have one rate, and each step is a sum over the table of posteriors with their tokens, which Spark computes where it lies.
+domain (posterior times length) and T the wanted ones; of the rates that do, those nearest to r = start. In coordinates scaled by
+the square root of a document's length the optimum is its own projected gradient step: max(least, start + p m) for a posterior p and one
+multiplier m for each domain. All documents of one (rounded) posterior have one rate, and Newton steps on the multipliers need sums over
+the table of posteriors with their tokens, which Spark computes where it lies, until the condition holds.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -24,6 +25,7 @@ from .common import staged, text_of, unit_draw
 
 _WORD = re.compile(r"[^\W\d_]+")
 GRAIN = 50  # posteriors are whole multiples of 1 / GRAIN
+TIE = 1e-7  # weight of the distance from `start` against the distance from the targets
 
 
 @dataclass
@@ -118,55 +120,84 @@ def membership(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col
 
 @dataclass
 class Rates:
-    """The rate of a posterior: start, then each step's gradient subtracted and the result kept at `least` or above."""
+    """The rate of a posterior: start plus its product with the domains' multipliers, kept at `least` or above."""
 
-    steps: np.ndarray  # steps x domains, the gradients with their step length
+    multipliers: np.ndarray
     start: float
     least: float
+    gap: np.ndarray | None = None  # expected tokens less wanted ones, by domain, as shares of all tokens
 
     def column(self, grains: Column) -> Column:
-        total = F.when(F.aggregate(grains, F.lit(0), lambda a, g: a + g) > 0, F.aggregate(grains, F.lit(0), lambda a, g: a + g)).otherwise(1)
-        dot = lambda s: F.aggregate(F.zip_with(grains, s, lambda g, v: g * v), F.lit(0.0), lambda a, v: a + v) / total
-        steps = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in self.steps])
-        return F.aggregate(steps, F.lit(float(self.start)), lambda r, s: F.greatest(r - dot(s), F.lit(float(self.least)))) if len(self.steps) else F.lit(float(self.start))
+        total = F.aggregate(grains, F.lit(0), lambda a, g: a + g)
+        by = F.array(*[F.lit(float(v)) for v in self.multipliers])
+        dot = F.aggregate(F.zip_with(grains, by, lambda g, v: g * v), F.lit(0.0), lambda a, v: a + v) / F.greatest(total, F.lit(1))
+        return F.greatest(F.lit(float(self.start)) + dot, F.lit(float(self.least)))
 
     def of(self, p: np.ndarray) -> np.ndarray:
-        r = np.full(len(p), float(self.start))
-        for s in self.steps:
-            r = np.maximum(r - p @ s, self.least)
-        return r
+        return np.maximum(self.start + p @ self.multipliers, self.least)
 
 
-def _expected(batches: Iterator[pa.RecordBatch], rates: Rates) -> Iterator[pa.RecordBatch]:
-    """Each batch's expected tokens of each domain under the rates."""
+#: Parts of a step that are tried in one pass.
+_PARTS = np.array([1.0, 0.5, *0.25 ** np.arange(1, 15)])
+
+
+def _sums(p: np.ndarray, n: np.ndarray, tried: np.ndarray, start: float, least: float) -> np.ndarray:
+    """For each of the tried multipliers: the value's part from these posteriors, their expected tokens of each domain, and the
+    curvature (domains x domains) of those above `least`."""
+    out = []
+    for m in tried:
+        u = start + p @ m
+        free = u >= least
+        e = p.T @ (n * np.where(free, u, least))
+        h = p.T @ (p * (n * free)[:, None])
+        out.append(np.concatenate([[(n * np.where(free, u * u / 2, least * u - least * least / 2)).sum()], e, h.ravel()]))
+    return np.array(out)
+
+
+def _summed(batches: Iterator[pa.RecordBatch], tried: np.ndarray, start: float, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             g = np.array(batch.column("grains").to_pylist(), dtype=np.float64)
-            p = g / np.maximum(g.sum(axis=1, keepdims=True), 1)
-            e = (p * (rates.of(p) * batch.column("n").to_numpy())[:, None]).sum(axis=0)
+            e = _sums(g / np.maximum(g.sum(axis=1, keepdims=True), 1), batch.column("n").to_numpy().astype(np.float64), tried, start, least).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(e), dtype=np.int32)), pa.array(e)], names=["d", "e"])
 
 
-def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], total: float | None = None, start: float = 1.0, least: float = 0.0, steps: int = 12, enough: float = 1e-4) -> Rates:
+def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], total: float | None = None, start: float = 1.0, least: float = 0.0, enough: float = 1e-6, bound: int = 200) -> Rates:
     """Rates whose expected domain totals come as near to the targets as they can. targets: weights by domain, scaled to sum 1
-    over the domains that the classifier knows (others can't be reached); total: wanted tokens, as many as there are if None."""
+    over the domains that the classifier knows (others can't be reached); total: wanted tokens, as many as there are if None.
+    Raises if the optimum isn't reached to within `enough` of the wanted tokens in `bound` passes."""
     pooled = staged(members.groupBy("grains").agg(F.sum("n_tokens").alias("n")), "posteriors")
     tokens = float(pooled.agg(F.sum("n")).first()[0] or 0)
     t = np.array([max(0.0, targets.get(x, 0.0)) for x in names])
-    rates = Rates(np.empty((0, len(names))), start, least)
     if tokens == 0 or t.sum() == 0:
-        return rates
-    want = t / t.sum() * (tokens * start if total is None else total)
-    for _ in range(steps):
-        got = np.zeros(len(names))
-        for r in pooled.mapInArrow(partial(_expected, rates=rates), "d int, e double").groupBy("d").agg(F.sum("e").alias("e")).collect():  # a row per domain
-            got[r["d"]] = r["e"]
-        gap = got - want
-        if np.abs(gap).max() <= enough * want.sum():
-            break
-        # A domain's own curvature is at most its tokens: dividing by them is the step of a diagonal bound.
-        rates = Rates(np.vstack([rates.steps, gap / np.maximum(got, 1e-3 * tokens)]), start, least)
-    return rates
+        return Rates(np.zeros(len(names)), start, least)
+    want = t / t.sum() * (start if total is None else total / tokens)
+
+    def sums(tried: np.ndarray) -> np.ndarray:
+        rows = pooled.mapInArrow(partial(_summed, tried=tried, start=start, least=least), "d int, e double").groupBy("d").agg(F.sum("e").alias("e")).collect()  # a few per domain
+        out = np.zeros(len(tried) * (1 + len(names) + len(names) ** 2))
+        for r in rows:
+            out[r["d"]] = r["e"] / tokens
+        return out.reshape(len(tried), -1)
+
+    return solved(sums, want, start, least, enough, bound)
+
+
+def solved(sums: Callable[[np.ndarray], np.ndarray], want: np.ndarray, start: float, least: float, enough: float = 1e-6, bound: int = 200) -> Rates:
+    """The optimum by damped Newton steps on the convex function of the multipliers m whose gradient is (expected - wanted + TIE m).
+    Where it is 0, r = max(least, start - p (expected - wanted) / TIE): the rates are their own projected gradient step."""
+    d = len(want)
+    tried = np.zeros((1, d))
+    for _ in range(bound):
+        got = sums(tried)
+        value = got[:, 0] - tried @ want + TIE / 2 * (tried**2).sum(axis=1)
+        best = int(value.argmin())
+        m, gap, curve = tried[best], got[best, 1 : d + 1] - want, got[best, d + 1 :].reshape(d, d)
+        slope = gap + TIE * m
+        if np.abs(slope).max() <= enough * want.sum():
+            return Rates(m, start, least, gap)
+        tried = m - _PARTS[:, None] * np.linalg.solve(curve + TIE * np.eye(d), slope)
+    raise RuntimeError(f"rates not found in {bound} passes: {np.abs(slope).max() / want.sum():.3g} of the wanted tokens are left")
 
 
 def natural_targets(members: DataFrame, names: list[str]) -> dict[str, float]:

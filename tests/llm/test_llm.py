@@ -159,6 +159,31 @@ def test_mixing_reaches_targets(spark, empty, odd):
     assert mixing.resample(odd, model, {"en": 0.6, "de": 0.4}).count() >= len(ODD)
 
 
+@pytest.mark.parametrize("start, least, total", [(1.0, 0.0, None), (5.0, 1.0, 5e6)])
+def test_rates_reach_a_plentiful_and_a_scarce_domain(spark, start, least, total):
+    rng = np.random.default_rng(9)
+    kind = rng.choice(4, 1000, p=[0.4, 0.4, 0.18, 0.02])  # targets .1 .5 .2 .2: the first at 4 times its target, the last scarce
+    soft = np.rint(50 * (0.95 * np.eye(4)[kind] + 0.05 * rng.dirichlet([0.5] * 4, 1000))).astype(int)
+    members = spark.createDataFrame([(g, 1000) for g in soft.tolist()], "grains array<int>, n_tokens long")
+    targets = {"a": 0.1, "b": 0.5, "c": 0.2, "d": 0.2}
+    rates = mixing.fit_rates(members, list("abcd"), targets, total, start, least)
+    p = soft / soft.sum(axis=1, keepdims=True)
+    got = p.T @ (rates.of(p) * 1000) / (total or 1e6)
+    assert np.abs(got - list(targets.values())).max() < 1e-3 and rates.of(p).min() >= least
+    shown = members.select("grains", rates.column(F.col("grains")).alias("r")).collect()
+    assert np.allclose([r["r"] for r in shown], rates.of(np.array([r["grains"] for r in shown]) / np.sum([r["grains"] for r in shown], axis=1, keepdims=True)))
+
+
+def test_rates_are_the_optimum_where_targets_are_out_of_reach(spark):
+    soft = [[30, 20], [25, 25], [40, 10]]
+    members = spark.createDataFrame([(g, 100) for g in soft], "grains array<int>, n_tokens long")
+    rates = mixing.fit_rates(members, ["a", "b"], {"a": 0.1, "b": 0.9})
+    p = np.array(soft) / 50
+    gap = p.T @ (rates.of(p) * 100) - 300 * np.array([0.1, 0.9])
+    g = p @ gap  # no rate can be lowered or, where above 0, moved for the better
+    assert np.allclose(g[rates.of(p) > 1e-6], 0, atol=1e-2) and (g > -1e-2).all() and rates.of(p).max() > 0
+
+
 # --- 4
 
 
