@@ -139,6 +139,13 @@ def test_classes_of_odd_rows(odd, empty):
     assert neardup.classes(empty).count() == 0 and neardup.dedup(empty).count() == 0
 
 
+def test_dedup_keeps_a_row_of_each_class_whatever_its_id(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (10, text(2)), (None, text(3)), (11, text(3)), (7, text(4)), (7, text(5)), (8, text(5)), (12, text(6)), (None, None), (None, "")]
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in neardup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted([(0, text(1)), (0, text(2)), (0, text(3)), (7, text(4)), (7, text(5)), (12, text(6)), (0, "")])
+
+
 # --- 3
 
 
