@@ -4,8 +4,8 @@ Vectors x become points (x, sqrt(M^2 - |x|^2)) on a sphere, M being the largest
 the largest inner product is the smallest distance. A bounded sample is halved again and again at the median between two means: the leaves,
 equal in size, give the centroids. Centroids form a graph that every worker holds in memory and walks best-first.
 A vector goes to the list of its nearest centroid and, near a boundary, to further ones whose distance is within a
-ratio of the nearest. A query reads the lists within a ratio of its nearest centroid. Lists that grow beyond
-`list_rows` are dealt over several tasks. Equal vectors are searched once; each stands for its smallest ids.
+ratio of the nearest. A query reads its nearest lists, as many as a sample of queries needed to find the wanted share of
+their exact answers, so the number grows with the table. Lists that grow beyond `list_rows` are dealt over several tasks. Equal vectors are searched once; each stands for its smallest ids.
 """
 
 from __future__ import annotations
@@ -72,6 +72,13 @@ class Graph:
         return np.take_along_axis(place, order, axis=1), np.sqrt(np.maximum(np.take_along_axis(dist, order, axis=1) + own[:, None], 0))
 
 
+    def ordered(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
+        """As `nearest`, but exactly: places and distances of the `want` nearest centroids of each row of x."""
+        dist = (self.points**2).sum(axis=1) - 2 * x @ self.points.T
+        order = np.argsort(dist, axis=1, kind="stable")[:, :want]
+        return order, np.sqrt(np.maximum(np.take_along_axis(dist, order, axis=1) + (x**2).sum(axis=1)[:, None], 0))
+
+
 def centroids(sample: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
     """Means of the leaves of a balanced splitting of the sample."""
     rng = np.random.default_rng(seed)
@@ -134,13 +141,13 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
 
 def _listed(batches: Iterator[pa.RecordBatch], g: Graph, most: float, dim: int, queries: bool, lists: int, ratio: float, parts: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """(list, part, rep, vector) of each vector or query, for every list that it belongs to or reads. parts: tasks of each list."""
-    block = max(64, min(4096, (1 << 25) // len(g.points)))
+    block = max(64, min(4096, (1 << (23 if queries else 25)) // len(g.points)))
     for batch in batches:
         for at in range(0, batch.num_rows, block):
             some = batch.slice(at, block)
             x = _matrix(some.column("vector"), dim)
             point = aimed(x, most) if queries else lifted(x, most)
-            place, dist = g.nearest(point, lists)
+            place, dist = (g.ordered if queries else g.nearest)(point, lists)
             take = dist <= ratio * dist[:, :1] + 1e-12
             row, col = np.nonzero(take)
             chosen = place[row, col]
@@ -170,6 +177,47 @@ def _found(members: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame
     return pd.concat(out) if out else pd.DataFrame({"query": [], "rep": [], "score": []}).astype({"query": "int64", "rep": "int64", "score": "float64"})
 
 
+def _scanned(batches: Iterator[pa.RecordBatch], asked: np.ndarray, reps: np.ndarray, dim: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best vectors of these batches for each asked one, by its place, without the one itself."""
+    score, rep = np.full((len(asked), k), -np.inf), np.zeros((len(asked), k), dtype=np.int64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            some = batch.slice(at, 4096)
+            own = some.column("rep").to_numpy()
+            s = asked @ _matrix(some.column("vector"), dim).T
+            s[reps[:, None] == own] = -np.inf
+            score, rep = np.concatenate([score, s], axis=1), np.concatenate([rep, np.broadcast_to(own, s.shape)], axis=1)
+            top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            score, rep = np.take_along_axis(score, top, axis=1), np.take_along_axis(rep, top, axis=1)
+    row, col = np.nonzero(np.isfinite(score))
+    yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(rep[row, col]), pa.array(score[row, col])], names=["q", "rep", "score"])
+
+
+def needed_lists(points: DataFrame, g: Graph, most: float, dim: int, k: int, copies: int, copy_ratio: float, read_ratio: float, recall: float, sample: int) -> tuple[int, float]:
+    """How many lists a query must read, and within which ratio (infinite if `read_ratio` would cut too much), so that the lists hold the
+    share `recall` of the exact k nearest of at most `sample` queries. The exact ones come from a scan of all points."""
+    asked = points.where("asks").orderBy(F.xxhash64("rep", F.lit(1)), "rep").select("rep", "vector").limit(sample).collect()
+    if not asked:
+        return 1, read_ratio
+    q, reps = np.array([r["vector"] for r in asked], dtype=np.float64), np.array([r["rep"] for r in asked])
+    scanned = points.select("rep", "vector").mapInArrow(partial(_scanned, asked=q, reps=reps, dim=dim, k=k), "q int, rep long, score double")
+    best = scanned.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("rep")))), 1, k).alias("hit")).select("q", F.explode("hit.rep").alias("rep"))
+    found = points.select("rep", "vector").join(F.broadcast(best), "rep").select("q", "vector").collect()  # at most sample * k rows
+    if not found:
+        return 1, read_ratio
+    who = np.array([r["q"] for r in found])
+    order, dist = g.ordered(aimed(q, most), len(g.points))
+    rank = np.argsort(order, axis=1)
+    place, far = g.nearest(lifted(np.array([r["vector"] for r in found], dtype=np.float64), most), copies)
+    at = np.where(far <= copy_ratio * far[:, :1] + 1e-12, rank[who[:, None], place], len(g.points)).min(axis=1)
+    limit = (dist <= read_ratio * dist[:, :1] + 1e-12).sum(axis=1)[who]
+    for ratio, need in ((read_ratio, np.where(at < limit, at, len(g.points))), (np.inf, at)):
+        lists = int(np.sort(need)[int(np.ceil(recall * len(need))) - 1]) + 1
+        if lists <= len(g.points):
+            break
+    return lists, ratio
+
+
 def search(
     vectors: DataFrame,
     is_query: Column,
@@ -184,6 +232,8 @@ def search(
     copy_ratio: float = 1.2,
     read_lists: int = 64,
     read_ratio: float = 1.25,
+    recall: float = 0.96,
+    judged: int = 256,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query row its k nearest other rows that were found, by inner product,
     nearest first, ties to the smaller vec_id; all found ones if there are fewer.
@@ -191,7 +241,8 @@ def search(
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id or a
     length other than the most frequent one (the larger of two as frequent). Rows that share id and vector are one
     candidate, and a query for each row. An empty table gives an empty result; other columns aren't read. `sample` bounds the vectors that the centroids are
-    fitted on, `most_lists` their number; every vector is indexed, also those outside the sample.
+    fitted on, `most_lists` their number; every vector is indexed, also those outside the sample. A query reads `read_lists` lists, or more
+    where `judged` sampled queries need more to find the share `recall` of their exact answers.
     """
     vector = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -218,6 +269,9 @@ def search(
     schema = "list int, part int, rep long, vector array<double>"
     put = partial(_listed, g=g, most=facts["most"], dim=dim)
     members = staged(points.select("rep", "vector").mapInArrow(partial(put, queries=False, lists=copies, ratio=copy_ratio, parts=None), schema), "postings")
+    if lists > 1:
+        needed, read_ratio = needed_lists(points, g, facts["most"], dim, k, copies, copy_ratio, read_ratio, recall, judged)
+        read_lists = max(read_lists, needed)
     parts = np.ones(lists, dtype=np.int64)
     for r in members.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # at most `most_lists` rows
         parts[r["list"]] = -(-r["n"] // list_rows)

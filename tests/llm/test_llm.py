@@ -74,6 +74,18 @@ def test_ann_recall_and_odd_vectors(spark):
     assert all([r for r, *_ in sorted(g)] == list(range(1, 21)) and not any(v == q for _, v, _ in g) for q, g in got.items())
 
 
+def test_ann_reads_as_many_lists_as_recall_needs(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(4000, 32))
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]  # no clusters
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, list_mean=10, read_lists=6).collect():  # 400 lists, as 64 of 4,096
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = ann.brute_force(x, np.arange(4000), np.arange(0, 4000, 20), 20)
+    assert sum(len(got[q] & {v for v, _ in w}) for q, w in want.items()) / sum(map(len, want.values())) >= 0.93
+
+
 def test_ann_small_tables(spark):
     kind = "vec_id long, embedding array<double>"
     assert ann.search(spark.createDataFrame([], kind), F.col("vec_id") % 20 == 0).count() == 0
