@@ -592,11 +592,13 @@ def raster_grid(t):
 
 @_query()
 def surface_cv(t):
-    nodes, edges = surface.lattice(t.spark, 4, 4)
+    parts = t.embeddings.select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    rows = parts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("v")).orderBy("label").select("v.x").collect()
+    data = np.array([r["x"] for r in rows]) * 4
+    side = max(2, int(np.ceil(np.sqrt(2 * len(data)))))  # every other node is observed
+    _, edges = surface.lattice(t.spark, side, side)
     pairs = np.array([(r["src"], r["dst"]) for r in edges.orderBy("src", "dst").collect()])
-    rows = t.embeddings.groupBy("label").agg(*[F.avg(F.col("embedding")[k].cast("double")).alias(f"x{k}") for k in range(16)]).orderBy("label").limit(6).collect()
-    data = np.array([list(r)[1:] for r in rows]) * 4
-    return surface.cross_validate(t.spark, pairs, 16, np.arange(len(data)) * 2, data, [0.01, 1.0, 100.0], steps=40)
+    return surface.cross_validate(t.spark, pairs, side * side, np.arange(len(data)) * 2, data, [0.01, 1.0, 100.0])
 
 
 @_query("SELECT id, round(land, 3) AS land, round(sea, 3) AS sea FROM (SELECT 1::BIGINT AS id, 6371010 * radians(1.0) AS land, 6371010 * radians(2.0) AS sea)")

@@ -207,3 +207,14 @@ def test_streaming_frequency(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert dict(rows(spark.table("freq"))) == {"x": 2, "y": 1}
+
+
+def test_surface_cv_uses_every_label_and_component(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from kithmesh.plans import catalog
+
+    table = spark.createDataFrame([(k, [float(k + j) for j in range(20)]) for k in range(9)], "label long, embedding array<double>")
+    monkeypatch.setattr(surface, "cross_validate", lambda spark, edges, n, observed, data, lambdas, steps=100: (edges, n, observed, data, steps))
+    edges, n, observed, data, steps = catalog.surface_cv(SimpleNamespace(spark=spark, embeddings=table))
+    assert data.shape == (9, 20) and data[8, 19] == 4 * 27 and observed.max() < n == edges.max() + 1 and steps == 100
