@@ -94,7 +94,8 @@ def network_distances(points: DataFrame, nodes: DataFrame, paths: DataFrame, hub
 
 
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """id, component (its smallest id) of an undirected graph; labels spread and jump until nothing changes."""
+    """id, component (its smallest id) of an undirected graph; labels spread and jump until nothing changes. Raises if
+    they still do after `rounds` rounds."""
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     lab = nodes.select("id", F.col("id").alias("component"))
@@ -107,4 +108,4 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFram
         if not new.where("moved").limit(1).count():
             return new.select("id", "component")
         lab = new.select("id", "component")
-    return lab
+    raise RuntimeError(f"labels still move after {rounds} rounds")

@@ -218,3 +218,9 @@ def test_surface_cv_uses_every_label_and_component(spark, monkeypatch):
     monkeypatch.setattr(surface, "cross_validate", lambda spark, edges, n, observed, data, lambdas, steps=100: (edges, n, observed, data, steps))
     edges, n, observed, data, steps = catalog.surface_cv(SimpleNamespace(spark=spark, embeddings=table))
     assert data.shape == (9, 20) and data[8, 19] == 4 * 27 and observed.max() < n == edges.max() + 1 and steps == 100
+
+
+def test_components_raise_where_labels_still_move(spark):
+    e = spark.createDataFrame([(k, k + 1) for k in range(6)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        graph.components(e, spark.range(7), rounds=1)
