@@ -22,61 +22,109 @@ from .tokens import blocks, pieces
 
 MAGIC = b"KMRP1\0\0\0"
 SHARD = "part int, seq int, n_docs long, n_ids long, payload binary"
+MEAN_BYTES = 2.5  # of text for an id, about; only the number of tasks depends on it
 DOCS = "part int, seq int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
 
-def compress(ids: np.ndarray, least: int = 4, rounds: int = 24, most_rules: int = 1 << 20, bits: int = 18) -> tuple[np.ndarray, np.ndarray, int]:
-    """(symbols, rules, first nonterminal): in each round all pairs that occur often enough, most frequent first where
-    they overlap, are replaced by new symbols. Pairs are counted in a table of 2^bits slots, each of which follows one
-    pair. Ends when a round saves under two percent of the symbols with the bar for pairs at `least`, or nothing is frequent."""
-    seq = np.ascontiguousarray(ids, dtype=np.uint32)
-    first = free = int(seq.max(initial=0)) + 1
-    rules: list[np.ndarray] = []
-    owner = np.empty(1 << bits, dtype=np.uint64)
-    for _ in range(rounds):
-        if len(seq) < 2 * least or free - first >= most_rules:
+def compress(ids: np.ndarray, least: int = 4) -> tuple[np.ndarray, np.ndarray, int]:
+    """(symbols, rules, first nonterminal): in each round the pairs that occur at least `least` times without overlap are
+    replaced by new symbols, the more frequent one where two of them overlap. Ends when no such pair is left.
+
+    Counts are exact. Symbols are a linked list over the places of `ids`, and a round looks only at places whose pair may be
+    frequent: a pair that was too rare once stays so, as only pairs with a new symbol get more frequent."""
+    seq = np.array(ids, dtype=np.uint32)
+    n, first = len(seq), int(seq.max(initial=0)) + 1
+    free, rules, salt = first, [], 0
+    after, before = np.arange(1, n + 1), np.arange(-1, n)  # n: the end; -1: the start, or a place whose symbol is gone
+    at = np.arange(max(n - 1, 0))
+    while len(at) >= least:
+        salt += 1
+        follow = after.take(at) if rules else after[:-1]
+        key = (seq.take(at) if rules else seq[:-1]).astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= seq.take(follow) if rules else seq[1:]
+        bits = min(20, len(at).bit_length())
+        slot = _slots(key, salt, bits)
+        often = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= least).take(slot))
+        at, key, follow = at.take(often), key.take(often), follow.take(often)
+        beside = follow[:-1] == at[1:]
+        odd = _odd(np.flatnonzero(beside & (key[1:] == key[:-1])))
+        counted = np.delete(key, odd)
+        counted.sort()
+        edge = np.flatnonzero(np.concatenate([[True], counted[1:] != counted[:-1], [True]]))
+        count = np.diff(edge)
+        frequent = count >= least
+        if not len(counted) or not frequent.any():
             break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
-        owner[slot] = key  # a frequent pair is likely to be the last in its slot; another one gets its turn in a later round
-        own = owner[slot] == key
-        count = np.bincount(slot[own], minlength=1 << bits)
-        floor = max(least, int(count.max()) >> 8)
-        rank = np.where(count >= floor, count, 0).astype(np.int32)[slot]
-        rank[~own] = 0
-        chosen = _apart(rank)
-        used = np.bincount(slot[chosen], minlength=1 << bits)
-        worth = used >= min(least, 3)
-        chosen = chosen[worth[slot[chosen]]]
-        if len(chosen) == 0:
-            break
-        number = np.cumsum(worth) - 1
-        got = owner[worth]
+        pair, count = counted[edge[:-1][frequent]], count[frequent]
+        which = _places(key, pair, salt)
+        rank = np.empty(len(pair) + 1, dtype=np.int32)
+        rank[np.argsort(count, kind="stable")] = np.arange(1, len(pair) + 1, dtype=np.int32)
+        rank[-1] = 0  # for `which` -1: too rare
+        rank = rank.take(which, mode="wrap")
+        take = rank > 0
+        take[odd] = False
+        chosen = _apart(rank, take, beside)
+        of = which.take(chosen)
+        worth = np.bincount(of, minlength=len(pair)) >= least
+        kept = worth.take(of)
+        chosen, of = chosen[kept], of[kept]
+        got = pair[worth]
         rules.append(np.stack([(got >> np.uint64(32)).astype(np.uint32), got.astype(np.uint32)], axis=1))
-        seq = seq.copy()
-        seq[chosen] = (free + number[slot[chosen]]).astype(np.uint32)
-        gone = np.ones(len(seq), dtype=bool)
-        gone[chosen + 1] = False
+        left, right = at.take(chosen), follow.take(chosen)
+        then = after.take(right)
+        seq[left] = (free + np.cumsum(worth) - 1).astype(np.uint32).take(of)
         free += len(got)
-        seq = seq[gone]
-        if len(chosen) < 0.02 * len(seq) and floor == least:
-            break
-    return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), first
+        after[left], before[then], after[right] = then, left, -1
+        # The pairs with a new symbol are at `left` and before it.
+        at = np.concatenate([at[rank > 0], before.take(left)])
+        at.sort(kind="stable")
+        follow = after.take(at)
+        at = at[(follow >= 0) & (follow < n) & (at >= 0) & np.concatenate([[True], at[1:] != at[:-1]])]
+    return seq[after >= 0], np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), first
+
+
+def _odd(same: np.ndarray) -> np.ndarray:
+    """same: places (ascending) that have the same pair as the next one, which overlaps it. Of each run of such places, the second,
+    the fourth and so on."""
+    k = np.arange(len(same))
+    start = np.ones(len(same), dtype=bool)
+    start[1:] = same[1:] != same[:-1] + 1
+    return same[(k - np.maximum.accumulate(np.where(start, k, 0))) % 2 == 0] + 1
+
+
+def _slots(key: np.ndarray, salt: int, bits: int) -> np.ndarray:
+    return ((key * np.uint64(0x9E3779B97F4A7C15 * (2 * salt + 1) & (1 << 64) - 1)) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _places(key: np.ndarray, pair: np.ndarray, salt: int) -> np.ndarray:
+    """The place of each key in `pair` (ascending), or -1: by a hash table with one pair a slot, and a search for the pairs that lost theirs."""
+    bits = max(8, len(pair).bit_length() + 2)
+    table = np.full(1 << bits, -1, dtype=np.int32)
+    own, slot = _slots(pair, salt, bits), _slots(key, salt, bits)
+    table[own] = np.arange(len(pair), dtype=np.int32)
+    out = table[slot]
+    out[pair[out] != key] = -1
+    lost = np.flatnonzero(table[own] != np.arange(len(pair)))
+    if len(lost):
+        shared = np.zeros(1 << bits, dtype=bool)
+        shared[own[lost]] = True
+        again = np.flatnonzero(shared[slot] & (out < 0))
+        at = np.minimum(np.searchsorted(pair[lost], key[again]), len(lost) - 1)
+        found = pair[lost[at]] == key[again]
+        out[again[found]] = lost[at[found]]
+    return out
 
 
-def _apart(rank: np.ndarray) -> np.ndarray:
-    """Places of pairs to replace, of which no two overlap: a pair gives way to a neighbouring one of higher rank; of a
-    run of equal ranks every second one is taken."""
-    at = np.flatnonzero(rank)
-    r = rank[at]
-    beside = at[1:] == at[:-1] + 1
-    start = np.ones(len(at), dtype=bool)
-    start[1:] = ~beside | (r[1:] != r[:-1])
-    k = np.arange(len(at))
-    take = (k - np.maximum.accumulate(np.where(start, k, 0))) % 2 == 0
-    take[1:] &= ~(beside & (r[:-1] > r[1:]))
-    take[:-1] &= ~(beside & (r[1:] > r[:-1]))
-    return at[take]
+def _apart(rank: np.ndarray, take: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """Places of pairs to replace, of which no two overlap: of those to take, a pair gives way to one beside it of higher rank;
+    the highest rank keeps all its places."""
+    up = rank[1:] > rank[:-1]
+    same = rank[1:] == rank[:-1]
+    take = take.copy()
+    take[1:] &= ~(beside & ~up & ~same)
+    take[:-1] &= ~(beside & up)
+    return np.flatnonzero(take)
 
 
 def _layers(rules: np.ndarray, first: int) -> Iterator[tuple[int, int]]:
@@ -131,6 +179,27 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
     return Grammar(rules, first).expand(symbols)
 
 
+def descend(symbols: np.ndarray, rules: np.ndarray, sizes: np.ndarray, first: int, start: int, stop: int) -> np.ndarray:
+    """The ids start to stop - 1 of what the symbols stand for, through the rules of these symbols alone: level by level each
+    nonterminal is replaced by its two symbols, and symbols outside the range are let go."""
+    symbols = symbols.astype(np.int64)
+    while True:
+        size = np.where(symbols < first, 1, sizes[np.maximum(symbols - first, 0)]) if len(sizes) else np.ones(len(symbols), np.int64)
+        ends = np.cumsum(size)
+        inside = np.flatnonzero((ends > start) & (ends - size < stop))
+        if not len(inside):
+            return np.empty(0, np.uint32)
+        before = int(ends[inside[0]] - size[inside[0]])
+        symbols, start, stop = symbols[inside], start - before, stop - before
+        inner = symbols >= first
+        if not inner.any():
+            return symbols[start:stop].astype(np.uint32)
+        out = np.repeat(symbols, np.where(inner, 2, 1))
+        at = (np.cumsum(np.where(inner, 2, 1)) - np.where(inner, 2, 1))[inner]
+        out[at], out[at + 1] = rules[symbols[inner] - first].T
+        symbols = out
+
+
 def write_shard(docs: list, ends: np.ndarray, ids: np.ndarray) -> bytes:
     """One file: docs are the documents' ids (or None), ends where each ends in `ids`."""
     symbols, rules, first = compress(ids)
@@ -157,25 +226,24 @@ class Shard:
             return out
 
         self.rules = take("<u4", 2 * n_rules).reshape(-1, 2)
-        sizes, self.symbols = take("<u4", n_rules), take("<u4", n_symbols)
+        self.sizes, self.symbols = take("<u4", n_rules).astype(np.int64), take("<u4", n_symbols)
         null, keys, self.ends = take("u1", n_docs), take("<i8", n_docs), take("<i8", n_docs)
         self.docs = [None if x else k for x, k in zip(null.tolist(), keys.tolist(), strict=True)]
         of = self.symbols.astype(np.int64) - self.first
-        self.grammar = Grammar(self.rules, self.first)
-        self.after = np.cumsum(np.where(of < 0, 1, sizes[np.maximum(of, 0)] if n_rules else 1))
+        self.after = np.cumsum(np.where(of < 0, 1, self.sizes[np.maximum(of, 0)] if n_rules else 1))
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         if start >= stop:
             return np.empty(0, np.uint32)
         a, b = np.searchsorted(self.after, [start, stop - 1], side="right")
         before = int(self.after[a - 1]) if a else 0
-        return self.grammar.expand(self.symbols[a : b + 1])[start - before : stop - before]
+        return descend(self.symbols[a : b + 1], self.rules, self.sizes, self.first, start - before, stop - before)
 
     def doc(self, k: int) -> np.ndarray:
         return self.ids(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
     def all(self) -> np.ndarray:
-        return self.grammar.expand(self.symbols)
+        return expand(self.symbols, self.rules, self.first)
 
 
 def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, shard_ids: int) -> Iterator[pa.RecordBatch]:
@@ -207,7 +275,7 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, shard
         yield flush()
 
 
-def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 0, shard_ids: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 0, shard_ids: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the ids of all documents in ascending id order; returns the table of shard files as it is read again:
     part, seq (their order is that of the documents), n_docs, n_ids, payload.
 
@@ -217,7 +285,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(4)), F.lit(0)).alias("b")).first()["b"]
-    parts = max(1, int(size / (4 * shard_ids)) + 1)
+    parts = max(1, int(size / (8 * MEAN_BYTES * shard_ids)) + 1)  # about eight shards each
     sorted_rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     files = sorted_rows.mapInArrow(partial(_write, tokenizer=tokenizer, end_id=end_id, shard_ids=shard_ids), SHARD)
     if path is None:
@@ -237,6 +305,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw, n = shard.all().astype("<u4").tobytes(), len(shard.docs)
             ends = shard.ends.tolist()
             starts = [0, *ends[:-1]]
+            middle = n // 2
+            if n and shard.doc(middle).astype("<u4").tobytes() != raw[4 * starts[middle] : 4 * ends[middle]]:
+                raise ValueError("a document read alone differs from the whole file")
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([row["part"]] * n, pa.int32()),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,9 @@ _LOOSE = ("  ", " \n", "\n ", "\n\n")
 _CUT = re.compile(f"(?<=[{_SEEN}]) (?=[{_SEEN}])")
 #: Letters, then signs that are no letters, digits, white space or apostrophes (which may begin a contraction).
 _TAILED = re.compile("(\n?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
-_KEPT = 900_000
+_KEPT, _KEPT_PARTS = 250_000, 700_000  # pieces, and parts of them, that a worker keeps
+#: Bytes that a text in Latin-1 may have to be cut at any single space.
+_PLAIN = bytes([10, *range(32, 127), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
 
 
 def _byte_chars() -> list[str]:
@@ -54,9 +57,8 @@ class Pieces:
         self._lead = "" if self._dropped else " "
         self._model = self._tok.model
         self._feed = self._whole("\n")
-        self._kept: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
-        self._tails: dict[str, bytes] = {}
+        self._first = {t[0] for t in special}
+        self._kept, self._parts, self._tails = _Kept(self._learn, _KEPT), _Kept(self._letters, _KEPT_PARTS), _Kept(self._whole, 20_000)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self._tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -70,59 +72,44 @@ class Pieces:
         chars = (lead and "Ġ") + core if core.isascii() else "".join(map(_BYTE_CHARS.__getitem__, (lead + core).encode()))
         return head + b"".join([t.id.to_bytes(4, "little") for t in self._model.tokenize(chars)])
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that were not kept. Letters and the signs after them are separate pre-tokens, so a piece of
+    def _learn(self, w: str) -> bytes:
+        """Ids of a piece that was not kept. Letters and the signs after them are separate pre-tokens, so a piece of
         that form is put together from its two parts, which repeat far more often than the piece."""
-        get, new, out = self._parts.get, {}, {}
-        for w in words:
-            m = _TAILED.fullmatch(w)
-            if m is None:
-                out[w] = self._feed + self._whole(w[1:]) if w[:1] == "\n" and not w[1:2].isspace() else self._whole(self._lead + w)
-                continue
-            core, tail = m[1].lower() if self._dropped else m[1], m[2]
-            ids = get(core) or new.get(core)
-            if ids is None:
-                ids = new[core] = self._letters(core)
-            if tail:
-                end = self._tails.get(tail)
-                if end is None:
-                    end = self._tails[tail] = self._whole(tail)
-                ids += end
-            out[w] = ids
-        if len(self._parts) < _KEPT:
-            self._parts.update((w, b) for w, b in new.items() if len(w) < 48)
-        if len(self._kept) < _KEPT // 4:
-            self._kept.update((w, b) for w, b in out.items() if len(w) < 48)
-        if len(self._tails) > _KEPT // 8:
-            self._tails.clear()
-        return out
+        m = _TAILED.fullmatch(w)
+        if m is None:
+            return self._feed + self._whole(w[1:]) if w[:1] == "\n" and not w[1:2].isspace() else self._whole(self._lead + w)
+        core, tail = m.groups()
+        ids = self._parts[core.lower() if self._dropped else core]
+        return ids + self._tails[tail] if tail else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        cut, heads, missing, get = [], {}, set(), self._kept.get
-        for i, text in enumerate(texts):
-            if self._special is not None and self._special.search(text):
-                out[i] = self._whole(text)
-                continue
+        return [self._one(t) for t in texts]
+
+    def _one(self, text: str) -> bytes:
+        if self._special is not None and any(c in text for c in self._first) and self._special.search(text):
+            return self._whole(text)
+        try:
+            odd = bool(text.encode("latin-1").translate(None, _PLAIN))
+        except UnicodeEncodeError:
             odd = _ODD.search(text) is not None
-            if self._dropped:
-                if odd:
-                    words = _CUT.split(text)
-                else:
-                    words = text.split()
-            else:
-                words = _CUT.split(text) if odd or _loose(text) else text.replace("\n", " \n").split(" ")
-                heads[i] = self._whole(words[0]) if words[0] else b""
-                words = words[1:]
-            found = list(map(get, words))
-            if None in found:
-                missing.update(w for w, f in zip(words, found, strict=True) if f is None)
-            cut.append((i, words, found))
-        new = self._learn(missing) if missing else {}
-        for i, words, found in cut:
-            if new and None in found:
-                found = [new[w] if f is None else f for w, f in zip(words, found, strict=True)]
-            out[i] = heads.get(i, b"") + b"".join(found)
+        get = self._kept.__getitem__
+        if self._dropped:
+            return b"".join(map(get, _CUT.split(text) if odd else text.split()))
+        words = _CUT.split(text) if odd or _loose(text) else text.replace("\n", " \n").split(" ")
+        head = self._whole(words[0]) if words[0] else b""
+        return head + b"".join(map(get, words[1:]))
+
+
+class _Kept(dict):
+    """What `make` gives for a key, kept for the first `most` keys."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self._make, self._most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        out = self._make(key)
+        if len(self) < self._most and len(key) < 48:
+            self[key] = out
         return out
 
 
