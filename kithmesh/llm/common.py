@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`. Only where it is unset
-    (tests on one machine) a folder under the temp directory is chosen and set."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Where it is unset, a session on one machine
+    (tests) gets a folder under the temp directory; on a cluster that would lose data, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -25,7 +30,38 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     executor costs only the tasks that it ran."""
     path = f"{shared_dir(df.sparkSession)}/kithmesh-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "staged_path", None)
+        if path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows for what is run inside, so that a worker holds few texts or sets at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, min(int(was), rows) if int(was) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have."""
+    name = f"_{name}"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
