@@ -4,8 +4,8 @@ A multinomial logistic classifier over hashed words, fitted on a bounded sample
 document a posterior over domains. Rates r >= `least` minimise |E r - T|^2 / (2 total), where E holds the expected tokens of each
 domain (posterior times length) and T the wanted ones; of the rates that do, those nearest to r = start. In coordinates scaled by
 the square root of a document's length the optimum is its own projected gradient step: max(least, start + p m) for a posterior p and one
-multiplier m for each domain. All documents of one (rounded) posterior have one rate, and Newton steps on the multipliers need sums over
-the table of posteriors with their tokens, which Spark computes where it lies, until the condition holds.
+multiplier m for each domain. Newton steps on the multipliers need sums over the table of posteriors with their tokens, which Spark
+computes where it lies, until the condition holds.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_of, unit_draw
+from .common import fresh, staged, text_of, unit_draw
 
 _WORD = re.compile(r"[^\W\d_]+")
-GRAIN = 50  # posteriors are whole multiples of 1 / GRAIN
+_NONE = -(1 << 63)  # stands for a null id in joins
 TIE = 1e-7  # weight of the distance from `start` against the distance from the targets
 
 
@@ -49,7 +49,7 @@ class Domains:
 class _Counts:
     """The hash buckets of a text's distinct words."""
 
-    def __init__(self, buckets: int, most: int = 300_000):
+    def __init__(self, buckets: int, most: int = 100_000):
         self._n, self._most, self._known = buckets, most, {}
 
     def of(self, text: str) -> tuple[np.ndarray, int]:
@@ -105,17 +105,16 @@ def _posteriors(batches: Iterator[pa.RecordBatch], model: Domains) -> Iterator[p
         for at in range(0, batch.num_rows, 512):
             some = batch.slice(at, 512)
             p, n = model.posteriors([t or "" for t in some.column("text").to_pylist()])
-            grains = np.rint(p * GRAIN).astype(np.int32)
             d = p.shape[1]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, d * len(p) + 1, d, dtype=np.int32)), pa.array(grains.ravel()))
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("h"), lists, pa.array(n)], names=["doc_id", "h", "grains", "n_tokens"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, d * len(p) + 1, d, dtype=np.int32)), pa.array(p.ravel()))
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("h"), lists, pa.array(n)], names=["doc_id", "h", "p", "n_tokens"])
 
 
 def membership(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h (hash of the text), grains (posterior of each domain in 1 / GRAIN) and n_tokens (words between white space)."""
+    """doc_id, h (hash of the text), p (posterior of each domain) and n_tokens (words between white space)."""
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    return rows.mapInArrow(partial(_posteriors, model=model), "doc_id long, h long, grains array<int>, n_tokens long")
+    return rows.mapInArrow(partial(_posteriors, model=model), "doc_id long, h long, p array<double>, n_tokens long")
 
 
 @dataclass
@@ -127,10 +126,9 @@ class Rates:
     least: float
     gap: np.ndarray | None = None  # expected tokens less wanted ones, by domain, as shares of all tokens
 
-    def column(self, grains: Column) -> Column:
-        total = F.aggregate(grains, F.lit(0), lambda a, g: a + g)
+    def column(self, p: Column) -> Column:
         by = F.array(*[F.lit(float(v)) for v in self.multipliers])
-        dot = F.aggregate(F.zip_with(grains, by, lambda g, v: g * v), F.lit(0.0), lambda a, v: a + v) / F.greatest(total, F.lit(1))
+        dot = F.aggregate(F.zip_with(p, by, lambda g, v: g * v), F.lit(0.0), lambda a, v: a + v)
         return F.greatest(F.lit(float(self.start)) + dot, F.lit(float(self.least)))
 
     def of(self, p: np.ndarray) -> np.ndarray:
@@ -157,17 +155,18 @@ def _sums(p: np.ndarray, n: np.ndarray, tried: np.ndarray, start: float, least:
 def _summed(batches: Iterator[pa.RecordBatch], tried: np.ndarray, start: float, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            g = np.array(batch.column("grains").to_pylist(), dtype=np.float64)
-            e = _sums(g / np.maximum(g.sum(axis=1, keepdims=True), 1), batch.column("n").to_numpy().astype(np.float64), tried, start, least).ravel()
+            p = batch.column("p").flatten().to_numpy().reshape(batch.num_rows, -1)
+            e = _sums(p, batch.column("n_tokens").to_numpy().astype(np.float64), tried, start, least).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(e), dtype=np.int32)), pa.array(e)], names=["d", "e"])
 
 
 def fit_rates(members: DataFrame, names: list[str], targets: dict[str, float], total: float | None = None, start: float = 1.0, least: float = 0.0, enough: float = 1e-6, bound: int = 200) -> Rates:
-    """Rates whose expected domain totals come as near to the targets as they can. targets: weights by domain, scaled to sum 1
+    """Rates whose expected domain totals come as near to the targets as they can. members: p (posteriors in the order of names, of sum 1)
+    and n_tokens, which each pass reads; targets: weights by domain, scaled to sum 1
     over the domains that the classifier knows (others can't be reached); total: wanted tokens, as many as there are if None.
     Raises if the optimum isn't reached to within `enough` of the wanted tokens in `bound` passes."""
-    pooled = staged(members.groupBy("grains").agg(F.sum("n_tokens").alias("n")), "posteriors")
-    tokens = float(pooled.agg(F.sum("n")).first()[0] or 0)
+    pooled = members.select("p", "n_tokens")
+    tokens = float(pooled.agg(F.sum("n_tokens")).first()[0] or 0)
     t = np.array([max(0.0, targets.get(x, 0.0)) for x in names])
     if tokens == 0 or t.sum() == 0:
         return Rates(np.zeros(len(names)), start, least)
@@ -201,8 +200,8 @@ def solved(sums: Callable[[np.ndarray], np.ndarray], want: np.ndarray, start: fl
 
 
 def natural_targets(members: DataFrame, names: list[str]) -> dict[str, float]:
-    """Each domain's expected share of the tokens as they are."""
-    g = members.select(F.posexplode("grains").alias("d", "g"), "n_tokens").groupBy("d").agg(F.sum(F.col("g") * F.col("n_tokens")).alias("e")).collect()
+    """Each domain's expected tokens as they are."""
+    g = members.select(F.posexplode("p").alias("d", "g"), "n_tokens").groupBy("d").agg(F.sum(F.col("g") * F.col("n_tokens")).alias("e")).collect()
     return {names[r["d"]]: float(r["e"] or 0) for r in g}
 
 
@@ -220,21 +219,23 @@ def mix(docs: DataFrame, model: Domains, targets: dict[str, float], total: float
 
 def rated(members: DataFrame, model: Domains, rates: Rates) -> DataFrame:
     names = F.array(*[F.lit(x) for x in model.names])
-    out = members.withColumn("domain", F.get(names, F.array_position("grains", F.array_max("grains")).cast("int") - 1)).withColumn("rate", rates.column(F.col("grains")))
+    out = members.withColumn("domain", F.get(names, F.array_position("p", F.array_max("p")).cast("int") - 1)).withColumn("rate", rates.column(F.col("p")))
     draw = unit_draw(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("h").cast("string"))
     return out.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
 
 
 def resample(docs: DataFrame, model: Domains, targets: dict[str, float], least: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, each as often as its copies say, with all their columns. With `least` 1 every document stays and
-    scarce domains are repeated: the total is what the most plentiful domain, at its target share, asks for."""
+    scarce domains are repeated: the total is what the most plentiful domain, at its target share, asks for. Null texts are empty, null ids
+    are kept, repeated rows each get the copies of their id and text, and an empty table gives an empty result."""
     members = staged(membership(docs, model, id_col, text_col), "members")
     share = natural_targets(members, model.names)
     t = {k: v for k, v in targets.items() if v > 0 and share.get(k, 0) > 0}
-    total = max((share[k] / GRAIN / (v / sum(t.values())) for k, v in t.items()), default=None)
+    total = max((share[k] / (v / sum(t.values())) for k, v in t.items()), default=None)
     tokens = members.agg(F.sum("n_tokens")).first()[0] or 0
     rates = fit_rates(members, model.names, t, total, start=(total or tokens or 1) / (tokens or 1), least=least)
-    counted = rated(members, model, rates).groupBy("doc_id", "h").agg(F.max("copies").alias("_copies"))
-    h = F.xxhash64(text_of(text_col))
-    joined = docs.withColumn("_h", h).join(counted.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h2"), "_copies"), (F.col(id_col).cast("long").eqNullSafe(F.col("_id"))) & (F.col("_h") == F.col("_h2")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).where("_copies > 0").select(*docs.columns)
+    i, h, n = fresh(docs, "id"), fresh(docs, "hash"), fresh(docs, "copies")
+    counted = rated(members, model, rates).groupBy("doc_id", "h").agg(F.max("copies").alias(n)).select(F.coalesce("doc_id", F.lit(_NONE)).alias(i), F.col("h").alias(h), n)
+    keyed = docs.withColumn(i, F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))).withColumn(h, F.xxhash64(text_of(text_col)))
+    joined = keyed.join(counted, [i, h]).where(F.col(n) > 0)
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

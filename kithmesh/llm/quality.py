@@ -15,7 +15,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -170,15 +170,17 @@ def _gradients(net: Net, docs: list[bytes], y: np.ndarray, decay: float) -> list
     return [g_tables, np.bincount(cols, weights=value, minlength=filters), d @ features + decay * net.dense, np.array([d.sum()])]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column | None, most: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """At most `most` labelled texts and their 0/1 labels, picked by a hash of the id: the bound of what reaches the driver.
-    Rows with a null id or label, or outside `learnable`, aren't learned from."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column | None, most: int, most_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
+    """At most `most` labelled texts and their 0/1 labels, in the order of a hash of the id and as long as they begin within
+    `most_bytes` bytes of text: the bound of what reaches the driver. Rows with a null id or label, or outside `learnable`, aren't learned from."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1))
     if learnable is not None:
         known = known.withColumnRenamed("_id", id_col).where(learnable).withColumnRenamed(id_col, "_id")
     known = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(most)
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    got = rows.join(F.broadcast(known), "_id").select("_text", "_y", F.xxhash64("_id").alias("_h")).orderBy("_h", "_text").limit(most).collect()
+    some = rows.join(F.broadcast(known), "_id").select("_text", "_y", F.xxhash64("_id").alias("_h")).orderBy("_h", "_text").limit(most)
+    upto = F.sum(F.octet_length("_text")).over(Window.orderBy("_h", "_text", "_y").rowsBetween(Window.unboundedPreceding, -1))  # of `most` rows
+    got = some.withColumn("_upto", F.coalesce(upto, F.lit(0))).where(F.col("_upto") < most_bytes).orderBy("_h", "_text", "_y").select("_text", "_y").collect()
     return [r["_text"] for r in got], np.array([r["_y"] for r in got], dtype=np.float64)
 
 
@@ -207,7 +209,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, m
 
 
 def keep(docs: DataFrame, net: Net, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents that score at least `threshold`, with all their columns."""
+    """The documents that score at least `threshold`, with all their columns. Null texts count as empty; a score equal to the threshold
+    stays; repeated rows stay or go together; an empty table gives an empty result."""
     schema = docs.schema
     at = docs.columns.index(text_col)
     return docs.mapInArrow(partial(_kept, net=net, at=at, threshold=threshold), schema)

@@ -1,11 +1,13 @@
 """Counterfactual-regularised toxicity classifier (op 6).
 
 A sentence scores z = offset + the sum of the weights of its distinct words; a word's weight is its own and those of
-its first 4 and 5 letters, so that inflected and compound forms of one stem share what is learned. A document is toxic if any sentence is:
-P = 1 - prod(1 - sigmoid(z)). Fitting adds, for every labelled sentence with an identity term, a penalty on
-(z - z')^2, z' being the score of the sentence with its terms swapped for others of the same kind, so that naming a
-group doesn't move a score by itself. Words and beginnings that are too rare in the sample have weight 0,
-and no weight is negative: what surrounds an insult can't excuse it.
+its first 4 and 5 letters, so that inflected and compound forms of one stem share what is learned. A document counts by its WORST worst
+sentences with different scores: e = sum of softplus(z) - softplus(offset) over them, so its length and repetitions don't matter, and
+P = sigmoid(shift + slope log(exp(e) - 1)), both fitted on a part of the sample that the weights used for it haven't seen. Fitting penalises (z - z')^2 over counterfactuals of
+labelled sentences: one with identity terms has them swapped for others of their kind, and left out; a sample of the others has a term
+put in, which is compared with the sentence as it is and with another term in its place. So naming a group doesn't move a score by
+itself. Words and beginnings that are too rare in the sample have weight 0, and no weight is negative: what surrounds an insult can't
+excuse it. While weights are fitted a document is 1 - prod(1 - sigmoid(z)) over all its sentences.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,7 @@ KINDS = (
 _SWAP = {w: [x for x in kind.split() if x != w] for kind in KINDS for w in kind.split()}
 _WORDS = re.compile(r"[^\W_]+|[.!?\n]")
 _ENDS = frozenset(".!?\n")
+WORST = 3
 
 
 def _features(word: str) -> list[str]:
@@ -54,6 +58,8 @@ def _features(word: str) -> list[str]:
 class Model:
     weights: dict[str, float]
     offset: float
+    shift: float = 0.0
+    slope: float = 1.0
 
     def of(self, word: str) -> float:
         return sum(self.weights.get(f, 0.0) for f in _features(word))
@@ -78,46 +84,84 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
-def _ids(words: list[str], vocab: dict[str, int]) -> list[int]:
-    return [vocab[f] for w in words for f in _features(w) if f in vocab]
+def _counterfactuals(found: list[list[str]], n: int, slots: int, swaps: int, rng: np.random.Generator) -> list[tuple[list[str], list[str]]]:
+    """(words taken out, words put in) of each counterfactual. found: the identity terms of each labelled sentence that has some;
+    n: of how many others there are."""
+    out: list[tuple[list[str], list[str]]] = []
+    other = lambda t: _SWAP[t][int(rng.integers(len(_SWAP[t])))]
+    for terms in found:
+        out.append((terms, []))
+        out += [(terms, [other(t) for t in terms]) for _ in range(swaps)]
+    every = sorted(_SWAP)
+    for k in range(min(slots, n)):  # terms in turn, so that each kind is put in
+        term = every[k % len(every)]
+        out.append(([term], []))
+        out += [([term], [other(term)]) for _ in range(swaps)]
+    return out
 
 
-def fit(texts: list[str], labels: np.ndarray, pull: float = 1.0, shrink: float = 5e-5, least: int = 4, most_words: int = 50_000, epochs: int = 60, rate: float = 0.1, swaps: int = 2, seed: int = 7) -> Model:
-    """pull: weight of the counterfactual penalty; shrink: of the squared weights; least: documents that a word must be
-    in; most_words: bound of the vocabulary; swaps: counterfactuals of each sentence with a term."""
-    rng = np.random.default_rng(seed)
+def fit(texts: list[str], labels: np.ndarray, pull: float = 1.0, aside: int = 4, **how) -> Model:
+    """The model: weights from all texts, shift and slope from every `aside`-th, by weights from the others. pull: weight of the counterfactual
+    penalty, a mean over counterfactuals; how: see `weighted`. Without texts of both labels aside, shift and slope are 0 and 1."""
     y = np.asarray(labels, dtype=np.float64)
-    docs = [_sentences(t) for t in texts]
-    features = {w: _features(w) for w in {w for d in docs for s in d for w in s}}
-    seen = Counter(f for d in docs for f in {f for w in {w for s in d for w in s} for f in features[w]})
-    vocab = {w: k for k, (w, _) in enumerate(sorted(((w, n) for w, n in seen.items() if n >= least), key=lambda x: (-x[1], x[0]))[:most_words])}
-    for w in _SWAP:
-        vocab.setdefault(w, len(vocab))
     if not len(y):
         return Model({}, 0.0)
-    row, col, owner, n = [], [], [], 0  # sentence-word incidence
-    delta: list[tuple[list[int], list[int]]] = []  # words that a swap takes out, puts in
-    for k, d in enumerate(docs):
-        for s in d:
+    out = weighted(texts, y, pull, **how)
+    held = np.arange(len(y)) % aside == aside - 1
+    if min(y[held].sum(), (1 - y[held]).sum()) >= 5:
+        part = weighted([t for t, h in zip(texts, held, strict=True) if not h], y[~held], pull, **how)
+        x = Scorer(part).levels([t for t, h in zip(texts, held, strict=True) if h])
+        out.shift, out.slope = _line(x, y[held])
+    return out
+
+
+def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Shift and slope (not negative) of a logistic regression, held near 0 and 1 by a weak prior; Newton steps."""
+    p, prior = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    design = np.stack([np.ones_like(x), x], axis=1)
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(design @ p, -30, 30)))
+        step = np.linalg.solve((design * (q * (1 - q))[:, None]).T @ design + 0.1 * np.eye(2), design.T @ (q - y) + 0.1 * (p - prior))
+        p = p - np.clip(step, -1, 1)
+    return float(p[0]), float(max(p[1], 0.0))
+
+
+def weighted(texts: list[str], y: np.ndarray, pull: float, shrink: float = 5e-5, least: int = 4, most_words: int = 50_000, epochs: int = 60, rate: float = 0.1, swaps: int = 2, slots: int = 2000, seed: int = 7) -> Model:
+    """shrink: weight of the squared weights; least: documents that a word must be in; most_words: bound of the vocabulary; swaps:
+    counterfactuals with another term for each sentence that has one; slots: sentences that a term is put into."""
+    rng = np.random.default_rng(seed)
+    features: dict[str, list[str]] = {}
+    seen: Counter = Counter()
+    for t in texts:
+        words = {w for w in _WORDS.findall(t.lower()) if w not in _ENDS}
+        features.update((w, _features(w)) for w in words if w not in features)
+        seen.update({f for w in words for f in features[w]})
+    vocab = {w: k for k, (w, _) in enumerate(sorted(((w, n) for w, n in seen.items() if n >= least), key=lambda x: (-x[1], x[0]))[:most_words])}
+    del seen
+    for w in _SWAP:
+        for f in _features(w):
+            vocab.setdefault(f, len(vocab))
+    known = {w: np.array([vocab[f] for f in fs if f in vocab], np.int32) for w, fs in features.items()}
+    del features
+    cols, sizes, owner, found = [], [], [], []  # sentence-word incidence
+    for k, t in enumerate(texts):
+        for s in _sentences(t):
             words = set(s)
-            ids = [vocab[f] for w in words for f in features[w] if f in vocab]
-            row += [n] * len(ids)
-            col += ids
+            ids = [i for w in words if len(i := known[w])]
+            cols.append(np.concatenate(ids) if ids else np.empty(0, np.int32))
+            sizes.append(len(cols[-1]))
             owner.append(k)
-            n += 1
             if terms := sorted(w for w in words if w in _SWAP):
-                for _ in range(swaps):
-                    new = [_SWAP[t][int(rng.integers(len(_SWAP[t])))] for t in terms]
-                    delta.append((_ids(terms, vocab), _ids(new, vocab)))
-    # Terms that no sentence shows must not differ either: each kind's terms are tied by one swap each.
-    delta += [(_ids([w], vocab), _ids([x], vocab)) for w, others in _SWAP.items() for x in others[:1]]
-    row, col, owner = np.array(row, np.int64), np.array(col, np.int64), np.array(owner, np.int64)
-    d_row = np.array([i for i, (out, new) in enumerate(delta) for _ in (*out, *new)], np.int64)
-    d_col = np.array([c for out, new in delta for c in (*out, *new)], np.int64)
-    d_sign = np.array([s for out, new in delta for s in (*[1.0] * len(out), *[-1.0] * len(new))])
+                found.append(terms)
+    n = len(owner)
+    col, row, owner = np.concatenate(cols), np.repeat(np.arange(n, dtype=np.int32), sizes), np.array(owner, np.int32)
+    del cols, known
+    delta = _counterfactuals(found, n - len(found), slots, swaps, rng)
+    signed = [(i, vocab[f], sign) for i, pair in enumerate(delta) for words, sign in zip(pair, (1.0, -1.0), strict=True) for w in words for f in _features(w)]
+    d_row, d_col = (np.array([x[j] for x in signed], np.int64) for j in (0, 1))
+    d_sign = np.array([x[2] for x in signed])
     share = (y.sum() + 0.5) / (len(y) + 1)
-    w = np.zeros(len(vocab))
-    b = np.array([np.log(share / (1 - share)) - np.log(max(1.0, n / len(y)))])
+    w, b = np.zeros(len(vocab)), np.array([np.log(share / (1 - share)) - np.log(max(1.0, n / len(y)))])
     m, v, bm, bv = np.zeros_like(w), np.zeros_like(w), np.zeros(1), np.zeros(1)
     for step in range(1, epochs + 1):
         z = np.bincount(row, weights=w[col], minlength=n) + b
@@ -133,57 +177,69 @@ def fit(texts: list[str], labels: np.ndarray, pull: float = 1.0, shrink: float =
             vv += 0.02 * (gg * gg - vv)
             p -= rate * (mm / (1 - 0.9**step)) / (np.sqrt(vv / (1 - 0.98**step)) + 1e-7)
         np.maximum(w, 0, out=w)
-    return Model({t: float(w[k]) for t, k in vocab.items() if abs(w[k]) > 1e-3}, float(b[0]))
+    return Model({t: float(w[k]) for t, k in vocab.items() if w[k] > 1e-3}, float(b[0]))
 
 
 class Scorer:
-    """Scores texts; keeps the weights of the words that it met first."""
+    """Scores texts; keeps the weights of words that it met."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 100_000):
         self._model, self._most, self._known = model, most, dict.fromkeys(_ENDS)
-        self._base = float(_softplus(np.array([model.offset]))[0])
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """1 - prod(1 - sigmoid(z)) over each text's sentences."""
-        return np.array([self._one(t) for t in texts])
-
-    def _one(self, text: str) -> float:
+        return 1 / (1 + np.exp(-np.clip(self._model.shift + self._model.slope * self.levels(texts), -40, 40)))
+
+    def levels(self, texts: list[str]) -> np.ndarray:
+        """log(exp(e) - 1) of each text; a text without any weight has the level of e = 1e-6."""
+        z = np.zeros((len(texts), WORST))
+        for k, t in enumerate(texts):
+            worst = self._worst(t)
+            z[k, : len(worst)] = worst
+        e = (_softplus(z + self._model.offset) - _softplus(np.array(self._model.offset))).sum(axis=1)
+        e = np.maximum(e, 1e-6)
+        return e + np.log(-np.expm1(-e))
+
+    def _worst(self, text: str) -> list[float]:
+        """The WORST largest sums of weights of the text's sentences, without repetitions."""
         words = _WORDS.findall(text.lower())
-        known, of, offset = self._known, self._model.of, self._model.offset
+        known, of = self._known, self._model.of
         if len(known) > self._most:
             self._known = known = dict.fromkeys(_ENDS)
         for w in set(words).difference(known):
             known[w] = of(w)
-        z, hit, parts, n = offset, set(), [], 0
+        sums, z, hit = set(), 0.0, set()
         for w in words:
             f = known[w]
             if f is None:
                 if hit:
-                    parts.append(z)
-                    z, hit = offset, set()
-            elif w not in hit:
+                    sums.add(round(z, 9))
+                    z, hit = 0.0, set()
+            elif f and w not in hit:
                 hit.add(w)
                 z += f
-        if hit or not parts:
-            parts.append(z)
-        return float(-np.expm1(-_softplus(np.array(parts)).sum()))
+        if hit:
+            sums.add(round(z, 9))
+        return nlargest(WORST, sums)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
     for batch in batches:
-        out = scorer.scores([t or "" for t in batch.column("text").to_pylist()])
+        texts = batch.column("text")
+        out = np.concatenate([scorer.scores([t or "" for t in texts.slice(k, 256).to_pylist()]) for k in range(0, max(1, len(texts)), 256)])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out)], names=["doc_id", "score"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch], model: Model, at: int, threshold: float) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
     for batch in batches:
-        yield batch.filter(pa.array(scorer.scores([t or "" for t in batch.column(at).to_pylist()]) < threshold))
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            yield part.filter(pa.array(scorer.scores([t or "" for t in part.column(at).to_pylist()]) < threshold))
 
 
 def train(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, most: int = 6000) -> Model:
-    """The model for labels.toxic, fitted on at most `most` labelled documents."""
+    """The model for labels.toxic, fitted on at most `most` labelled documents (see `labelled_sample` for the bound of their bytes)."""
     return fit(*labelled_sample(docs, labels, "toxic", learnable, most))
 
 
@@ -195,5 +251,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The documents that score under `threshold`, with all their columns."""
+    """The documents that score under `threshold`, with all their columns. Null texts count as empty; a score equal to the threshold
+    goes; repeated rows stay or go together; an empty table gives an empty result."""
     return docs.mapInArrow(partial(_kept, model=model, at=docs.columns.index(text_col), threshold=threshold), docs.schema)
