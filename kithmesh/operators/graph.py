@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kithmesh.operators.surface import land_lengths
+
 EARTH_M = 6378137.0
 MOST_NODES = 100_000
 
@@ -71,35 +73,104 @@ def all_pairs(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     return d
 
 
-def path_costs(edges: DataFrame, source, rounds: int) -> DataFrame:
-    """id, cost from the source: `rounds` relaxations; unreachable nodes are left out."""
+def path_costs(edges: DataFrame, source, rounds: int | None = None) -> DataFrame:
+    """id, cost from the source by relaxations, until none changes a cost, or `rounds` of them; unreachable nodes are left out."""
     e = both_ways(edges)
     stay = e.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(0.0).alias("cost"))
     e = _cut(e.unionByName(stay))  # staying costs nothing, so a round needs the costs so far only once
     d = stay.where(F.col("src") == source).select(F.col("src").alias("id"), F.col("cost").alias("upto"))
-    for _ in range(rounds):
+    k, before = 0, None
+    while rounds is None or k < rounds:
         d = d.join(e, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("upto") + F.col("cost")).alias("upto"))
+        k += 1
+        if k % 4 == 0:
+            d = _cut(d)
+            now = tuple(d.agg(F.count(F.lit(1)), F.sum("upto")).first())
+            if rounds is None and now == before:
+                break
+            before = now
     return d.select("id", F.col("upto").alias("cost"))
 
 
-def network_distances(points: DataFrame, nodes: DataFrame, paths: DataFrame, hub, ref_lat: float, ref_lon: float, penalty: float = 4.44) -> DataFrame:
-    """id, h1, h2, using_network (km): h1 from a point to its nearest node at `penalty` per metre; h2 the smaller of h1 + path to the
-    hub and the direct penalised line to the reference point. Without a path h2 is the direct line."""
-    near = nearest(points, nodes).select("id", "node", (F.col("distance") * penalty / 1000).alias("h1"))
+def penalised_edges(edges: DataFrame, nodes: DataFrame, rings: list[list[tuple[float, float]]], penalty: float = 4.44) -> DataFrame:
+    """src, dst, cost, crosses_land: edges between nodes (id, lat, lon) in both directions, each once; cost is the length of the straight line in
+    metres, its part on land (rings of lon, lat) times `penalty`."""
+    e = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    a = nodes.select(F.col("id").alias("src"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"))
+    b = nodes.select(F.col("id").alias("dst"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    lines = e.join(a, "src").join(b, "dst").select(F.struct("src", "dst").alias("id"), "lon1", "lat1", "lon2", "lat2")
+    return _measured(lines, rings, penalty).select("id.src", "id.dst", "cost", (F.col("land") > 0).alias("crosses_land"))
+
+
+def _measured(lines: DataFrame, rings: list, penalty: float) -> DataFrame:
+    """land, sea and cost of lines with any id: lines go by their coordinates, which repeat."""
+    ends = ("lon1", "lat1", "lon2", "lat2")
+    keyed = lines.withColumn("_key", F.concat_ws(",", *[F.hex(F.col(c).cast("string")) for c in ends]))
+    one = keyed.groupBy("_key").agg(*[F.first(c).alias(c) for c in ends]).withColumnRenamed("_key", "id")
+    found = land_lengths(one, rings, penalty)
+    return keyed.join(found.withColumnRenamed("id", "_key"), "_key").select("id", "land", "sea", "cost")
+
+
+def connectors(points: DataFrame, nodes: DataFrame, rings: list, penalty: float = 4.44) -> DataFrame:
+    """id, node, cost (metres) of each point's penalised line to its nearest node."""
+    near = nearest(points, nodes).select("id", "node")
+    at = nodes.select(F.col("id").alias("node"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    lines = points.join(near, "id").join(at, "node").select(F.struct("id", "node").alias("id"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), "lon2", "lat2")
+    return _measured(lines, rings, penalty).select("id.id", "id.node", "cost")
+
+
+def network_distances(points: DataFrame, nodes: DataFrame, paths: DataFrame, rings: list, ref_lat: float, ref_lon: float, penalty: float = 4.44) -> DataFrame:
+    """id, node, h1, h2, using_network (km): h1 from a point to its nearest node; h2 the smaller of h1 + path to the hub and the direct line to the
+    reference point, whose nearest node is the hub. Parts of lines on land count `penalty` times; paths (src, dst, cost) are over penalised
+    edges. Without a path h2 is the direct line."""
+    spark = points.sparkSession
+    hub = nearest(spark.createDataFrame([(0, float(ref_lat), float(ref_lon))], "id int, lat double, lon double"), nodes).first()["node"]
+    near = connectors(points, nodes, rings, penalty).select("id", "node", (F.col("cost") / 1000).alias("h1"))
+    lines = points.select("id", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), F.lit(float(ref_lon)).alias("lon2"), F.lit(float(ref_lat)).alias("lat2"))
+    direct = _measured(lines, rings, penalty).select("id", (F.col("cost") / 1000).alias("direct"))
     to = paths.where(F.col("dst") == hub).select(F.col("src").alias("node"), (F.col("cost") / 1000).alias("net"))
-    direct = points.select("id", (haversine(F.col("lat"), F.col("lon"), F.lit(ref_lat), F.lit(ref_lon)) * penalty / 1000).alias("direct"))
     t = near.join(to, "node", "left").join(direct, "id")
     through = F.col("h1") + F.col("net")
-    return t.select("id", "h1", F.least(through, F.col("direct")).alias("h2"), F.coalesce(through < F.col("direct"), F.lit(False)).alias("using_network"))
+    return t.select("id", "node", "h1", F.least(through, F.col("direct")).alias("h2"), F.coalesce(through < F.col("direct"), F.lit(False)).alias("using_network"))
+
+
+def pairwise_distances(near: DataFrame, paths: DataFrame) -> DataFrame:
+    """i, j, v (km) for every ordered pair of different points: both connectors (id, node, cost) and the path between their nodes, the mean of
+    the two directions; 0 where there is no path."""
+    a, b = (near.select(F.col("id").alias(x), F.col("node").alias(f"n{x}"), F.col("cost").alias(f"c{x}")) for x in "ij")
+    net = paths.select(F.col("src").alias("ni"), F.col("dst").alias("nj"), "cost")
+    back = paths.select(F.col("dst").alias("ni"), F.col("src").alias("nj"), F.col("cost").alias("back"))
+    v = F.coalesce((F.col("ci") + F.col("cj") + (F.col("cost") + F.col("back")) / 2) / 1000, F.lit(0.0))
+    found = a.join(net.join(back, ["ni", "nj"]), "ni").join(b, "nj").where("i <> j").select("i", "j", v.alias("v"))
+    apart = a.join(b, F.col("i") != F.col("j")).select("i", "j").join(found, ["i", "j"], "left_anti")
+    return found.unionByName(apart.select("i", "j", F.lit(0.0).alias("v")))
+
+
+def traced_paths(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """src, dst, cost, path: as all_pairs, with the nodes of the cheapest path from src to dst (of equally cheap ones the smallest sequence)."""
+    e = both_ways(edges)
+    ids = e.select("src").distinct()
+    d = e.select("src", "dst", "cost", F.array("src", "dst").alias("path")).unionByName(ids.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("cost"), F.array("src").alias("path")))
+    k, before = 0, None
+    while rounds is None or k < rounds:
+        right = d.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("cost").alias("more"), F.slice("path", 2, 1_000_000).alias("rest"))
+        best = F.min(F.struct((F.col("cost") + F.col("more")).alias("cost"), F.concat("path", "rest").alias("path"))).alias("best")
+        d = _cut(d.join(right, "dst").groupBy("src", F.col("end").alias("dst")).agg(best).select("src", "dst", "best.*"))
+        k += 1
+        if rounds is None:
+            now = tuple(d.agg(F.count(F.lit(1)), F.sum("cost")).first())
+            if now == before:
+                break
+            before = now
+    return d
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """id, component (its smallest id) of an undirected graph; labels spread and jump until nothing changes. Raises if
-    they still do after `rounds` rounds."""
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, component (its smallest id) of an undirected graph; labels spread and jump until nothing changes."""
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     lab = nodes.select("id", F.col("id").alias("component"))
-    for _ in range(rounds):
+    while True:
         near = e.join(lab, e["b"] == lab["id"]).groupBy("a").agg(F.min("component").alias("m"))
         new = lab.join(near, lab["id"] == near["a"], "left").select("id", F.least("component", "m").alias("component"), (F.coalesce(F.col("m") < F.col("component"), F.lit(False))).alias("moved"))
         jump = new.select(F.col("id").alias("component"), F.col("component").alias("further"))
@@ -108,4 +179,3 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFram
         if not new.where("moved").limit(1).count():
             return new.select("id", "component")
         lab = new.select("id", "component")
-    raise RuntimeError(f"labels still move after {rounds} rounds")

@@ -83,17 +83,21 @@ def core_rank(pairs: DataFrame, core: DataFrame) -> DataFrame:
 
 
 def drivers(present: DataFrame, roles: DataFrame, weights: DataFrame) -> DataFrame:
-    """One row per feature: prevalence among study, interest and control entities, variance p (1 - p), how many interests have it, the null-skew
-    leverage idf^6 q (1 - q) (1 - 2q) of control prevalence q where study prevalence is over 0, and whether that is in the top decile of the candidates."""
+    """One row per feature: prevalence among study, interest and control entities, variance p (1 - p), how many interests have it where a
+    control has it too (else 0), whether controls but no interest have it, the null-skew leverage idf^6 q (1 - q) (1 - 2q) of control
+    prevalence q (0 where no study entity has it), whether that reaches the top decile of the features that study and control entities
+    have, and the flag: `both`, `control tail`, `interest` or `neither`."""
     sizes = roles.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
     size = lambda r: F.broadcast(sizes.where(F.col("role") == r).select(F.col("n").alias(f"n_{r}")))
     has = present.join(roles.select("entity", "role"), "entity").groupBy("feature").agg(*[F.count_if(F.col("role") == r).alias(r) for r in ("study", "interest", "control")])
     t = has.crossJoin(size("study")).crossJoin(size("interest")).crossJoin(size("control")).join(weights.select("feature", "idf"), "feature")
-    p, q = F.col("study") / F.col("n_study"), F.col("control") / F.col("n_control")
-    t = t.select("feature", "idf", p.alias("p_study"), (F.col("interest") / F.col("n_interest")).alias("p_interest"), q.alias("p_control"), (p * (1 - p)).alias("variance"), F.col("interest").alias("n_shared"), F.when(p > 0, F.pow("idf", F.lit(6.0)) * q * (1 - q) * (1 - 2 * q)).alias("leverage"))
-    cut = t.agg(F.percentile("leverage", F.lit(0.9)).alias("cut"))
-    kind = F.when((F.col("p_study") > 0) & (F.col("n_shared") > 0), "shared").when(F.col("n_shared") > 0, "interest only").when(F.col("p_study") > 0, "study only").otherwise("neither")
-    return t.crossJoin(F.broadcast(cut)).select("feature", "idf", "p_study", "p_interest", "p_control", "variance", "n_shared", "leverage", F.coalesce(F.col("leverage") >= F.col("cut"), F.lit(False)).alias("high"), kind.alias("kind"))
+    p, q, n = F.col("study") / F.col("n_study"), F.col("control") / F.col("n_control"), F.col("interest")
+    leverage = F.when(p > 0, F.pow("idf", F.lit(6.0)) * q * (1 - q) * (1 - 2 * q)).otherwise(0.0)
+    t = t.select("feature", "idf", p.alias("p_study"), (n / F.col("n_interest")).alias("p_interest"), q.alias("p_control"), (p * (1 - p)).alias("variance"), F.when(q > 0, n).otherwise(0).alias("n_shared"), ((q > 0) & (n == 0)).alias("control_only"), leverage.alias("leverage"))
+    cut = t.where("p_study > 0 and p_control > 0").agg(F.percentile("leverage", F.lit(0.9)).alias("cut"))
+    t = t.crossJoin(F.broadcast(cut)).withColumn("high", F.coalesce(F.col("leverage") >= F.col("cut"), F.lit(False))).drop("cut")
+    any_ = F.col("p_interest") > 0
+    return t.withColumn("flag", F.when(F.col("high") & any_, "both").when(F.col("high"), "control tail").when(any_, "interest").otherwise("neither"))
 
 
 def skew_outliers(nulls: DataFrame, sds: float = 2.0) -> DataFrame:
@@ -107,6 +111,7 @@ def weighted_null(nulls: DataFrame, weights: DataFrame, sds: float = 2.0) -> Dat
     w = nulls.join(weights.select(F.col("entity").alias("j"), "weight"), "j")
     order = Window.partitionBy("i").orderBy("v", "j")
     share = w.withColumn("w", F.col("weight") / F.sum("weight").over(Window.partitionBy("i"))).withColumn("upto", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    stats = share.groupBy("i").agg(F.min(F.when(F.col("upto") >= 0.5 - 1e-12, F.col("v"))).alias("m"), F.sum(F.col("w") * F.col("v")).alias("mean"), F.sum(F.col("w") * F.col("v") * F.col("v")).alias("sq"), F.sum(F.col("w") * F.col("w")).alias("w2"))
-    cut = stats.select("i", (F.col("m") + sds * F.sqrt((F.col("sq") - F.col("mean") * F.col("mean")) / (1 - F.col("w2")))).alias("cut"))
+    share = share.withColumn("mean", F.sum(F.col("w") * F.col("v")).over(Window.partitionBy("i")))
+    stats = share.groupBy("i").agg(F.min(F.when(F.col("upto") >= 0.5 - 1e-12, F.col("v"))).alias("m"), F.sum(F.col("w") * F.pow(F.col("v") - F.col("mean"), F.lit(2))).alias("sq"), F.sum(F.col("w") * F.col("w")).alias("w2"))
+    cut = stats.select("i", (F.col("m") + sds * F.sqrt(F.col("sq") / (1 - F.col("w2")))).alias("cut"))
     return nulls.join(cut, "i").groupBy("j").agg(F.count_if(F.col("v") > F.col("cut")).alias("n_exceed"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -92,15 +93,22 @@ def _anova(block: DataFrame) -> DataFrame:
     return s.select("n", "k", "gm", s2.alias("s2"), F.when(low, F.lit(0.0)).otherwise((ms_e - ms_r) / k).alias("su2"))
 
 
-def mixed_model(block: DataFrame, reference: str) -> DataFrame:
-    """treatment, estimate, se, df, t, d, icc, s2, su2: random entity intercepts on a balanced block by REML in closed form; contrasts with the
-    reference treatment."""
+def mixed_model(block: DataFrame, reference: str, alpha: float = 0.05) -> DataFrame:
+    """treatment, estimate, se, df, t, p, p_adj, reject, d, icc, s2, su2: random entity intercepts on a balanced block by REML in closed form;
+    contrasts with the reference treatment, two-sided p, BH over the contrasts; d is the estimate over the residual deviation."""
     a = _anova(block)
     m = block.groupBy("treatment").agg(F.avg("value").alias("m"))
     ref = m.where(F.col("treatment") == reference).select(F.col("m").alias("m0"))
     t = m.where(F.col("treatment") != reference).crossJoin(F.broadcast(ref)).crossJoin(F.broadcast(a))
     est, se = F.col("m") - F.col("m0"), F.sqrt(2 * F.col("s2") / F.col("n"))
-    return t.select("treatment", est.alias("estimate"), se.alias("se"), ((F.col("n") - 1) * (F.col("k") - 1)).alias("df"), (est / se).alias("t"), (est / F.sqrt(F.col("s2") + F.col("su2"))).alias("d"), (F.col("su2") / (F.col("s2") + F.col("su2"))).alias("icc"), "s2", "su2")
+    t = t.select("treatment", est.alias("estimate"), se.alias("se"), ((F.col("n") - 1) * (F.col("k") - 1)).alias("df"), (est / se).alias("t"), (est / F.sqrt("s2")).alias("d"), (F.col("su2") / (F.col("s2") + F.col("su2"))).alias("icc"), "s2", "su2")
+    t = bh(t.withColumn("p", _t_two_sided("t", "df")).withColumn("_all", F.lit(1)), "p", ["_all"]).drop("_all")
+    return t.withColumn("reject", F.col("p_adj") < alpha)
+
+
+@F.pandas_udf(T.DoubleType())
+def _t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([2 * dist.t_sf(abs(a), b) for a, b in zip(t, df, strict=True)], dtype=float)
 
 
 def random_intercepts(block: DataFrame) -> DataFrame:
@@ -118,21 +126,43 @@ def regions(flags: DataFrame, names: list[str]) -> DataFrame:
 
 
 def mixtures(values: DataFrame, by: str, value: str, most: int = 3) -> DataFrame:
-    """by, entity, k, posterior, influenced: one-dimensional Gaussian mixture of 1 to `most` components per group, equal or unequal variances, by BIC;
-    posterior of the component with the highest mean; influenced is false where k is 1. A group is one task's input."""
+    """by, entity, k, component, posterior, influenced: one-dimensional Gaussian mixture of 1 to `most` components per group, equal or unequal variances,
+    by BIC; component is the likeliest one (0 has the lowest mean), influenced tells that it is the one with the highest mean, whose posterior is
+    given; with k 1 nothing is influenced and the posterior is null. A group is one task's input."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].to_numpy(dtype=float)
-        k, post = best_mixture(x, most)
-        return pd.DataFrame({by: pdf[by], "entity": pdf["entity"], "k": np.full(len(x), k, np.int64), "posterior": post, "influenced": (post > 0.5) & (k > 1)})
+        m = best_mixture(pdf[value].to_numpy(dtype=float), most)
+        likeliest = m.posterior.argmax(axis=1)
+        return pd.DataFrame({by: pdf[by], "entity": pdf["entity"], "k": np.full(len(pdf), m.k, np.int64), "component": likeliest.astype(np.int64), "posterior": m.posterior[:, -1] if m.k > 1 else np.nan, "influenced": (likeliest == m.k - 1) & (m.k > 1)})
 
     kind = dict(values.dtypes)[by]
-    return values.select(by, "entity", value).dropna().groupBy(by).applyInPandas(fit, f"{by} {kind}, entity string, k long, posterior double, influenced boolean")
+    out = values.select(by, "entity", value).dropna().groupBy(by).applyInPandas(fit, f"{by} {kind}, entity string, k long, component long, posterior double, influenced boolean")
+    return out.withColumn("posterior", F.nanvl("posterior", F.lit(None)))
+
+
+def mixture_summary(values: DataFrame, by: str, value: str, most: int = 3) -> DataFrame:
+    """by, k, bic, n_influenced, share_influenced, mean_low, mean_high of each group's mixture; means are those of the outermost components."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = best_mixture(pdf[value].to_numpy(dtype=float), most)
+        hit = (m.posterior.argmax(axis=1) == m.k - 1) & (m.k > 1)
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "k": [m.k], "bic": [m.bic], "n_influenced": [int(hit.sum())], "share_influenced": [float(hit.mean())], "mean_low": [m.means[0]], "mean_high": [m.means[-1]]})
+
+    kind = dict(values.dtypes)[by]
+    return values.select(by, value).dropna().groupBy(by).applyInPandas(fit, f"{by} {kind}, k long, bic double, n_influenced long, share_influenced double, mean_low double, mean_high double")
+
+
+@dataclass
+class Mixture:
+    k: int
+    bic: float
+    means: np.ndarray  # ascending
+    posterior: np.ndarray  # values x components
 
 
-def best_mixture(x: np.ndarray, most: int = 3) -> tuple[int, np.ndarray]:
-    """(components, posterior of the highest one) of the model with the largest BIC."""
-    n, best = len(x), (-math.inf, 1, np.ones(len(x)))
+def best_mixture(x: np.ndarray, most: int = 3) -> Mixture:
+    """The model with the largest BIC."""
+    n, best = len(x), Mixture(1, -math.inf, np.array([np.nan]), np.ones((len(x), 1)))
     floor = max(x.var() * 1e-6, 1e-300) if n else 1.0
     for k in range(1, min(most, n) + 1):
         for equal in (True, False):
@@ -154,21 +184,27 @@ def best_mixture(x: np.ndarray, most: int = 3) -> tuple[int, np.ndarray]:
                 var = np.maximum(np.full(k, (var * nk).sum() / n) if equal else var, floor)
             free = (k - 1) + k + (1 if equal else k)
             bic = 2 * total - free * math.log(n)
-            if bic > best[0] + 1e-9:
-                best = (bic, k, r[:, int(mu.argmax())])
+            if bic > best.bic + 1e-9:
+                order = np.argsort(mu, kind="stable")
+                best = Mixture(k, bic, mu[order], r[:, order])
             if k == 1:
                 break
-    return best[1], best[2]
+    return best
 
 
 def shapiro(values: DataFrame, by: str, value: str) -> DataFrame:
-    """by, n, w, p: Shapiro-Wilk by Royston's approximation (3 <= n <= 5000, values not all equal, else null)."""
+    """by, n, w, p, p_adj, level: Shapiro-Wilk of the values that aren't null, by Royston's approximation (3 <= n <= 5000, values not all equal, else
+    null); BH over the groups; level is the third of the groups by p: `least normal`, `mid`, `most normal` (null p: no level)."""
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(pdf[value].dropna().to_numpy(dtype=float))
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [len(pdf)], "w": [w], "p": [p]})
+        x = pdf[value].dropna().to_numpy(dtype=float)
+        w, p = shapiro_wilk(x)
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "n": [len(x)], "w": [w], "p": [p]})
 
-    return values.select(by, value).groupBy(by).applyInPandas(test, f"{by} {dict(values.dtypes)[by]}, n long, w double, p double")
+    got = values.select(by, value).groupBy(by).applyInPandas(test, f"{by} {dict(values.dtypes)[by]}, n long, w double, p double").withColumn("_all", F.col("p").isNotNull())
+    third = F.ntile(3).over(Window.partitionBy("_all").orderBy("p", by))  # one row per group
+    level = F.when(F.col("_all"), F.element_at(F.array(F.lit("least normal"), F.lit("mid"), F.lit("most normal")), third))
+    return bh(got, "p", ["_all"]).withColumn("level", level).select(by, "n", "w", "p", "p_adj", "level")
 
 
 def shapiro_wilk(x: np.ndarray) -> tuple[float | None, float | None]:
@@ -211,8 +247,9 @@ def weighted_stats(rows: DataFrame, by: list[str], value: str, weight: str) -> D
     """by, w_mean, w_sd (denominator 1 - sum of squared shares), w_median (the first value with half of the weight)."""
     total = F.sum(weight).over(Window.partitionBy(*by))
     w = rows.withColumn("_w", F.col(weight) / total).withColumn("_c", F.sum(F.col(weight) / total).over(Window.partitionBy(*by).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)))
-    s = w.groupBy(*by).agg(F.sum(F.col("_w") * F.col(value)).alias("w_mean"), F.sum(F.col("_w") * F.col(value) * F.col(value)).alias("_q"), F.sum(F.col("_w") * F.col("_w")).alias("_w2"), F.min(F.when(F.col("_c") >= 0.5 - 1e-12, F.col(value))).alias("w_median"))
-    return s.select(*by, "w_mean", F.sqrt(F.greatest(F.lit(0.0), F.col("_q") - F.col("w_mean") * F.col("w_mean")) / (1 - F.col("_w2"))).alias("w_sd"), "w_median")
+    w = w.withColumn("_m", F.sum(F.col("_w") * F.col(value)).over(Window.partitionBy(*by)))
+    s = w.groupBy(*by).agg(F.max("_m").alias("w_mean"), F.sum(F.col("_w") * F.pow(F.col(value) - F.col("_m"), F.lit(2))).alias("_q"), F.sum(F.col("_w") * F.col("_w")).alias("_w2"), F.min(F.when(F.col("_c") >= 0.5 - 1e-12, F.col(value))).alias("w_median"))
+    return s.select(*by, "w_mean", F.sqrt(F.col("_q") / (1 - F.col("_w2"))).alias("w_sd"), "w_median")
 
 
 def quantile_picks(rows: DataFrame, by: list[str], order: list[str], probs: list[float]) -> DataFrame:

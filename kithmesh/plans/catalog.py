@@ -45,10 +45,14 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from kithmesh.plans import verbs  # noqa: F401  registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from kithmesh.plans import verbs  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -185,11 +189,11 @@ def delta_over_control(t):
 @_query(_BASE + """, un AS (SELECT entity, feature, v / norm AS u FROM vec JOIN norm USING (entity)), core AS (SELECT entity FROM roles WHERE role = 'study'),
 cen AS (SELECT feature, sum(u) / (SELECT count(*) FROM core) AS c FROM un SEMI JOIN core USING (entity) GROUP BY feature),
 one AS (SELECT feature, u * c AS x FROM un JOIN cen USING (feature) WHERE entity = (SELECT min(entity) FROM norm))
-SELECT feature, round(x, 9) AS contribution, round(x / sum(x) OVER (), 9) AS share FROM one""")
+SELECT feature, round(x, 9) AS contribution, round(x / sum(x) OVER (), 9) AS share, rank() OVER (ORDER BY x DESC, feature) AS rank FROM one""")
 def contribution_decomposition(t):
     v = _vectors(t)
     first = v.agg(F.min("entity")).first()[0]
-    return similarity.contributions(v, _roles(t).where("role = 'study'"), first).drop("rank")
+    return similarity.contributions(v, _roles(t).where("role = 'study'"), first)
 
 
 @_query(_BASE + "SELECT j, round(avg(v), 9) AS mean, rank() OVER (ORDER BY avg(v) DESC) AS rank FROM pairs GROUP BY j")
@@ -199,12 +203,13 @@ def similarity_rank(t):
 
 @_query(_BASE + """, h AS (SELECT feature, count(*) FILTER (role = 'study') AS s, count(*) FILTER (role = 'interest') AS n, count(*) FILTER (role = 'control') AS c FROM pres JOIN roles USING (entity) GROUP BY feature),
 z AS (SELECT count(*) FILTER (role = 'study') AS zs, count(*) FILTER (role = 'interest') AS zn, count(*) FILTER (role = 'control') AS zc FROM roles),
-d AS (SELECT feature, idf, s / zs AS p, n / zn AS pi, c / zc AS q, n FROM h, z JOIN idf USING (feature)), l AS (SELECT *, CASE WHEN p > 0 THEN pow(idf, 6) * q * (1 - q) * (1 - 2 * q) END AS lev FROM d)
-SELECT feature, round(idf, 9) AS idf, round(p, 9) AS p_study, round(pi, 9) AS p_interest, round(q, 9) AS p_control, round(p * (1 - p), 9) AS variance, n AS n_shared, round(lev, 9) AS leverage,
-CASE WHEN p > 0 AND n > 0 THEN 'shared' WHEN n > 0 THEN 'interest only' WHEN p > 0 THEN 'study only' ELSE 'neither' END AS kind FROM l""".replace("FROM h, z JOIN idf USING (feature)", "FROM h JOIN idf USING (feature) CROSS JOIN z").replace("pi, c / zc AS q, n FROM", "pi, c / zc AS q, h.n AS n FROM").replace("n / zn AS pi", "h.n / zn AS pi"))
+d AS (SELECT feature, idf, s / zs AS p, h.n / zn AS pi, c / zc AS q, h.n AS n FROM h JOIN idf USING (feature) CROSS JOIN z), l AS (SELECT *, CASE WHEN p > 0 THEN pow(idf, 6) * q * (1 - q) * (1 - 2 * q) ELSE 0 END AS lev FROM d),
+c AS (SELECT quantile_cont(lev, 0.9) AS cut FROM l WHERE p > 0 AND q > 0)
+SELECT feature, round(idf, 9) AS idf, round(p, 9) AS p_study, round(pi, 9) AS p_interest, round(q, 9) AS p_control, round(p * (1 - p), 9) AS variance, CASE WHEN q > 0 THEN n ELSE 0 END AS n_shared, q > 0 AND n = 0 AS control_only,
+round(lev, 9) AS leverage, coalesce(lev >= cut, FALSE) AS high, CASE WHEN lev >= cut AND n > 0 THEN 'both' WHEN lev >= cut THEN 'control tail' WHEN n > 0 THEN 'interest' ELSE 'neither' END AS flag FROM l CROSS JOIN c""")
 def driver_table(t):
     p = _present(t)
-    return similarity.drivers(p, _roles(t), weights.idf(p)).drop("high")
+    return similarity.drivers(p, _roles(t), weights.idf(p))
 
 
 @_query(_BASE + ", nul AS (SELECT i, j, v FROM pairs WHERE role = 'control'), cut AS (SELECT i, median(v) + 2 * stddev_samp(v) AS cut FROM nul GROUP BY i) SELECT j, count(*) FILTER (v > cut) AS n_exceed FROM nul JOIN cut USING (i) GROUP BY j")
@@ -250,14 +255,9 @@ def _block(t: _Tables) -> DataFrame:
     return rows.groupBy(F.col("p_brand").alias("entity"), F.col("l_returnflag").alias("treatment")).agg(F.avg("l_discount").alias("value"))
 
 
-@_query(_BLOCK + ", r AS (SELECT *, rank() OVER (PARTITION BY entity ORDER BY value) + (count(*) OVER (PARTITION BY entity, value) - 1) / 2 AS r FROM blk), s AS (SELECT treatment, sum(r) AS s FROM r GROUP BY treatment), c AS (SELECT count(DISTINCT entity) AS n, count(DISTINCT treatment) AS k FROM blk) SELECT n, k, round(12 * sum(s * s) / (n * k * (k + 1)) - 3 * n * (k + 1), 9) AS chi2, round((12 * sum(s * s) / (n * k * (k + 1)) - 3 * n * (k + 1)) / (n * (k - 1)), 9) AS w FROM s, c GROUP BY n, k")
+@_query(_BLOCK + ", r AS (SELECT *, rank() OVER (PARTITION BY entity ORDER BY value) + (count(*) OVER (PARTITION BY entity, value) - 1) / 2 AS r FROM blk), s AS (SELECT treatment, sum(r) AS s FROM r GROUP BY treatment), c AS (SELECT count(DISTINCT entity) AS n, count(DISTINCT treatment) AS k FROM blk) SELECT n, k, round(12 * sum(s * s) / (n * k * (k + 1)) - 3 * n * (k + 1), 9) AS chi2, round((12 * sum(s * s) / (n * k * (k + 1)) - 3 * n * (k + 1)) / (n * (k - 1)), 9) AS w, round(exp(-(12 * sum(s * s) / (n * k * (k + 1)) - 3 * n * (k + 1)) / 2), 9) AS p FROM s, c GROUP BY n, k")
 def friedman(t):
-    return stats.friedman(_block(t)).drop("p")
-
-
-@_query()
-def friedman_p(t):
-    return stats.friedman(_block(t))
+    return stats.friedman(_block(t))  # three treatments: two degrees of freedom
 
 
 @_query(_BASE + ", d AS (SELECT baseline, delta, rank() OVER (PARTITION BY baseline ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY baseline, abs(delta)) - 1) / 2 AS r FROM deltas WHERE delta <> 0) SELECT baseline, count(*) AS n, round(sum(CASE WHEN delta > 0 THEN r ELSE 0 END), 9) AS v, round(2 * sum(CASE WHEN delta > 0 THEN r ELSE 0 END) / (count(*) * (count(*) + 1) / 2) - 1, 9) AS r FROM d GROUP BY baseline")
@@ -270,7 +270,12 @@ def wilcoxon_p(t):
     return stats.signed_rank(similarity.over_control(_scores(t)))
 
 
-@_query(_BLOCK + _ANOVA + ", c AS (SELECT treatment, tm - (SELECT tm FROM tm WHERE treatment = 'A') AS est FROM tm WHERE treatment <> 'A') SELECT treatment, round(est, 9) AS estimate, round(sqrt(2 * s2 / n), 9) AS se, (n - 1) * (k - 1) AS df, round(est / sqrt(2 * s2 / n), 9) AS t, round(est / sqrt(s2 + su2), 9) AS d, round(su2 / (s2 + su2), 9) AS icc, round(s2, 9) AS s2, round(su2, 9) AS su2 FROM c, vc")
+# Student's t with an even number of degrees of freedom has a finite series.
+@_query(_BLOCK + _ANOVA + """, c AS (SELECT treatment, tm - (SELECT tm FROM tm WHERE treatment = 'A') AS est FROM tm WHERE treatment <> 'A'),
+x AS (SELECT * EXCLUDE (se), sqrt(2 * s2 / n) AS se, (n - 1) * (k - 1) AS df, est / sqrt(2 * s2 / n) AS t FROM c, vc),
+p AS (SELECT *, 1 - abs(t) / sqrt(df + t * t) * (SELECT sum(exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * pow(df / (df + t * t), j)) FROM (SELECT unnest(range(df // 2)) AS j)) AS p FROM x),
+b AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS raw FROM p), a AS (SELECT *, least(1, min(raw) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS adj FROM b)
+SELECT treatment, round(est, 9) AS estimate, round(se, 9) AS se, df, round(t, 9) AS t, round(est / sqrt(s2), 9) AS d, round(su2 / (s2 + su2), 9) AS icc, round(s2, 9) AS s2, round(su2, 9) AS su2, round(p, 9) AS p, round(adj, 9) AS p_adj, adj < 0.05 AS reject FROM a""")
 def lmm_balanced(t):
     return stats.mixed_model(_block(t), "A")
 
@@ -292,6 +297,11 @@ def gmm_bic(t):
     return stats.mixtures(d.select("baseline", F.col("study").alias("entity"), "delta"), "baseline", "delta")
 
 
+@_query()
+def gmm_summary(t):
+    return stats.mixture_summary(similarity.over_control(_scores(t)).select("baseline", "delta"), "baseline", "delta")
+
+
 @_query()
 def shapiro_wilk(t):
     return stats.shapiro(_pairs(t, "role = 'control'").select("i", "v"), "i", "v")
@@ -374,21 +384,75 @@ def nearest_node(t):
 
 @_query(_NET + "SELECT dst AS id, round(cost, 6) AS cost FROM walk WHERE src = 0")
 def sssp(t):
-    return graph.path_costs(_edges(t), 0, 24).withColumn("cost", F.round("cost", 6))
+    return graph.path_costs(_edges(t), 0).withColumn("cost", F.round("cost", 6))
 
 
 @_query(_NET + "SELECT src, dst, round(cost, 6) AS cost FROM walk")
 def all_pairs_paths(t):
-    return graph.all_pairs(_edges(t), 5).withColumn("cost", F.round("cost", 6))
+    return graph.all_pairs(_edges(t)).withColumn("cost", F.round("cost", 6))
+
+
+_RECT = ("116 + 2.5 * {r}", "117.5 + 2.5 * {r}", "6 + {r}", "13 + {r}")  # west, east, south, north of a region's land
+
+
+def _land(t: _Tables) -> list[list[tuple[float, float]]]:
+    """A rectangle of land for each region."""
+    rows = t.region.select(*[F.expr(x.format(r="r_regionkey")).cast("double").alias(n) for x, n in zip(_RECT, "wesn", strict=True)]).orderBy("w").collect()
+    return [[(r["w"], r["s"]), (r["e"], r["s"]), (r["e"], r["n"]), (r["w"], r["n"])] for r in rows]
 
 
-@_query(_NET + f""", m AS (SELECT 14.6::DOUBLE AS lat, 121.0::DOUBLE AS lon), h AS (SELECT s.id, nn.d * 4.44 / 1000 AS h1, nn.d * 4.44 / 1000 + w.cost / 1000 AS through, {_sql_hav("s", "m")} * 4.44 / 1000 AS direct
-FROM sup s JOIN nn USING (id) LEFT JOIN walk w ON w.src = nn.node AND w.dst = 0 CROSS JOIN m) SELECT id, round(h1, 6) AS h1, round(least(through, direct), 6) AS h2, coalesce(through < direct, FALSE) AS using_network FROM h""")
+def _sql_cost(name: str, seg: str) -> str:
+    """CTEs that give `name`(id, land, cost) of the segments seg(id, lon1, lat1, lon2, lat2): clipped at each rectangle's four lines."""
+    w, e, s, n = (x.format(r="r_regionkey") for x in _RECT)
+    side = lambda t, at, lo, hi: f"CASE WHEN {t} > 0 AND {t} < 1 AND {at} BETWEEN {lo} AND {hi} THEN {t} END"
+    tx = lambda x: f"(({x}) - lon1) / nullif(lon2 - lon1, 0)"
+    ty = lambda y: f"(({y}) - lat1) / nullif(lat2 - lat1, 0)"
+    cuts = ", ".join([*[side(tx(x), f"lat1 + {tx(x)} * (lat2 - lat1)", s, n) for x in (w, e)], *[side(ty(y), f"lon1 + {ty(y)} * (lon2 - lon1)", w, e) for y in (s, n)]])
+    point = lambda t: f"radians(lat1 + {t} * (lat2 - lat1)) AS y_{t}, radians(lon1 + {t} * (lon2 - lon1)) AS x_{t}"
+    return f"""{name}_t AS (SELECT DISTINCT id, t FROM (SELECT id, unnest([0.0, 1.0, {cuts}]) AS t FROM {seg} CROSS JOIN region) WHERE t IS NOT NULL),
+{name}_p AS (SELECT id, t AS a, lead(t) OVER (PARTITION BY id ORDER BY t) AS b FROM {name}_t),
+{name}_q AS (SELECT p.id, {point("a")}, {point("b")}, EXISTS (SELECT 1 FROM region WHERE lon1 + (a + b) / 2 * (lon2 - lon1) BETWEEN {w} AND {e} AND lat1 + (a + b) / 2 * (lat2 - lat1) BETWEEN {s} AND {n}) AS land FROM {name}_p p JOIN {seg} USING (id) WHERE b IS NOT NULL),
+{name}_l AS (SELECT id, land, 2 * 6371010.0 * asin(least(1.0, sqrt(pow(sin((y_b - y_a) / 2), 2) + cos(y_a) * cos(y_b) * pow(sin((x_b - x_a) / 2), 2)))) AS d FROM {name}_q),
+{name} AS (SELECT id, coalesce(sum(d) FILTER (land), 0) AS land, sum(CASE WHEN land THEN 4.44 * d ELSE d END) AS cost FROM {name}_l GROUP BY id)"""
+
+
+_PENALISED = _NET.rstrip() + f""",
+eseg AS (SELECT {{'s': src, 'd': dst}} AS id, a.lon AS lon1, a.lat AS lat1, b.lon AS lon2, b.lat AS lat2 FROM (SELECT DISTINCT src, dst FROM bi) JOIN nd a ON a.id = src JOIN nd b ON b.id = dst),
+{_sql_cost("ec", "eseg")}, pe AS (SELECT id.s AS src, id.d AS dst, cost, land > 0 AS crosses_land FROM ec),
+trail AS (SELECT id AS src, id AS dst, 0.0::DOUBLE AS cost, [id] AS path FROM nd UNION ALL SELECT w.src, pe.dst, w.cost + pe.cost, list_append(w.path, pe.dst) FROM trail w JOIN pe ON pe.src = w.dst AND NOT list_contains(w.path, pe.dst)),
+cseg AS (SELECT s.id, s.lon AS lon1, s.lat AS lat1, n.lon AS lon2, n.lat AS lat2 FROM sup s JOIN nn USING (id) JOIN nd n ON n.id = nn.node), {_sql_cost("cc", "cseg")},
+near AS (SELECT id, node, cost FROM cc JOIN nn USING (id))"""
+
+
+def _penalised(t: _Tables) -> DataFrame:
+    return graph.penalised_edges(_edges(t), _nodes(t), _land(t))
+
+
+@_query(_PENALISED + " SELECT src, dst, round(cost, 6) AS cost, crosses_land FROM pe")
+def penalised_edges(t):
+    return _penalised(t).withColumn("cost", F.round("cost", 6))
+
+
+@_query(_PENALISED + " SELECT src, dst, round(cost, 6) AS cost, array_to_string(path, '-') AS path FROM trail")
+def traced_paths(t):
+    return graph.traced_paths(_penalised(t)).select("src", "dst", F.round("cost", 6).alias("cost"), F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"))
+
+
+@_query(_PENALISED + f""", hub AS (SELECT arg_min(id, {_sql_hav("nd", "m")}) AS hub FROM nd CROSS JOIN (SELECT 14.6::DOUBLE AS lat, 121.0::DOUBLE AS lon) m),
+mseg AS (SELECT id, lon AS lon1, lat AS lat1, 121.0::DOUBLE AS lon2, 14.6::DOUBLE AS lat2 FROM sup), {_sql_cost("mc", "mseg")},
+h AS (SELECT near.id, node, near.cost / 1000 AS h1, near.cost / 1000 + w.cost / 1000 AS through, mc.cost / 1000 AS direct FROM near JOIN mc USING (id) CROSS JOIN hub LEFT JOIN trail w ON w.src = node AND w.dst = hub)
+SELECT id, node, round(h1, 6) AS h1, round(least(through, direct), 6) AS h2, coalesce(through < direct, FALSE) AS using_network FROM h""")
 def h1_h2_distance(t):
-    d = graph.network_distances(_suppliers(t), _nodes(t), graph.all_pairs(_edges(t), 5), 0, 14.6, 121.0)
+    d = graph.network_distances(_suppliers(t), _nodes(t), graph.all_pairs(_penalised(t)), _land(t), 14.6, 121.0)
     return d.withColumn("h1", F.round("h1", 6)).withColumn("h2", F.round("h2", 6))
 
 
+@_query(_PENALISED + " SELECT a.id AS i, b.id AS j, round(coalesce((a.cost + b.cost + (w.cost + v.cost) / 2) / 1000, 0.0), 6) AS v FROM near a JOIN near b ON a.id <> b.id LEFT JOIN trail w ON w.src = a.node AND w.dst = b.node LEFT JOIN trail v ON v.src = b.node AND v.dst = a.node")
+def geographic_matrix(t):
+    near = graph.connectors(_suppliers(t), _nodes(t), _land(t))
+    return graph.pairwise_distances(near, graph.all_pairs(_penalised(t))).withColumn("v", F.round("v", 6))
+
+
 @_query()
 def graph_components(t):
     n = _nodes(t)
@@ -601,10 +665,11 @@ def surface_cv(t):
     return surface.cross_validate(t.spark, pairs, side * side, np.arange(len(data)) * 2, data, [0.01, 1.0, 100.0])
 
 
-@_query("SELECT id, round(land, 3) AS land, round(sea, 3) AS sea FROM (SELECT 1::BIGINT AS id, 6371010 * radians(1.0) AS land, 6371010 * radians(2.0) AS sea)")
+@_query(_PENALISED + f""", mseg AS (SELECT id, lon AS lon1, lat AS lat1, 121.0::DOUBLE AS lon2, 14.6::DOUBLE AS lat2 FROM sup), {_sql_cost("mc", "mseg")}
+SELECT id, round(land, 6) AS land, round(cost - 4.44 * land, 6) AS sea FROM mc""")
 def land_sea_lengths(t):
-    lines = t.spark.createDataFrame([(1, 0.0, 0.0, 0.0, 3.0)], "id long, lon1 double, lat1 double, lon2 double, lat2 double")
-    return surface.land_lengths(lines, [[(-1.0, 1.0), (1.0, 1.0), (1.0, 2.0), (-1.0, 2.0)]]).select("id", F.round("land", 3).alias("land"), F.round("sea", 3).alias("sea"))
+    lines = _suppliers(t).select("id", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), F.lit(121.0).alias("lon2"), F.lit(14.6).alias("lat2"))
+    return surface.land_lengths(lines, _land(t)).select("id", F.round("land", 6).alias("land"), F.round("sea", 6).alias("sea"))
 
 
 # --- text, relational verbs, figure data ------------------------------------------------------------------------------------

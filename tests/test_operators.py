@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kithmesh.functions import nulls
 from kithmesh.functions import text as tx
-from kithmesh.operators import cluster, graph, models, similarity, stats, surface, tree, weights
+from kithmesh.operators import cluster, graph, models, relational, similarity, stats, surface, tree, weights
 from kithmesh.sources import tables
 
 
@@ -90,8 +90,8 @@ def test_mixed_model_recovers_anova(spark):
 
 def test_mixture_and_shapiro():
     rng = np.random.default_rng(1)
-    k, post = stats.best_mixture(np.concatenate([rng.normal(0, 1, 60), rng.normal(9, 1, 20)]))
-    assert k == 2 and (post > 0.5).sum() == 20
+    m = stats.best_mixture(np.concatenate([rng.normal(0, 1, 60), rng.normal(9, 1, 20)]))
+    assert m.k == 2 and (m.posterior.argmax(axis=1) == 1).sum() == 20 and m.means[0] == pytest.approx(0, abs=0.5) and m.means[1] == pytest.approx(9, abs=0.5)
     w, p = stats.shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], float))
     assert w == pytest.approx(0.79, abs=0.01) and p == pytest.approx(0.0067, abs=0.001)
 
@@ -100,7 +100,7 @@ def test_paths_and_components(spark):
     e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0), (4, 5, 1.0)], "src long, dst long, cost double")
     d = {(r["src"], r["dst"]): r["cost"] for r in graph.all_pairs(e).collect()}
     assert d[1, 3] == 2 and (1, 4) not in d and all(d[a, c] <= d[a, b] + d[b, c] for a, b in d for c in (1, 2, 3) if (b, c) in d and (a, c) in d)
-    assert {r["id"]: r["cost"] for r in graph.path_costs(e, 1, 4).collect()} == {1: 0, 2: 1, 3: 2}
+    assert {r["id"]: r["cost"] for r in graph.path_costs(e, 1).collect()} == {1: 0, 2: 1, 3: 2}
     n = spark.createDataFrame([(k,) for k in range(1, 7)], "id long")
     assert {r["id"]: r["component"] for r in graph.components(e, n).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
 
@@ -220,7 +220,73 @@ def test_surface_cv_uses_every_label_and_component(spark, monkeypatch):
     assert data.shape == (9, 20) and data[8, 19] == 4 * 27 and observed.max() < n == edges.max() + 1 and steps == 100
 
 
-def test_components_raise_where_labels_still_move(spark):
-    e = spark.createDataFrame([(k, k + 1) for k in range(6)], "src long, dst long")
-    with pytest.raises(RuntimeError):
-        graph.components(e, spark.range(7), rounds=1)
+def test_components_of_a_long_chain(spark):
+    e = spark.createDataFrame([(k, k + 1) for k in range(60)], "src long, dst long")
+    assert {r["component"] for r in graph.components(e, spark.range(61)).collect()} == {0}
+
+
+def test_mixture_of_one_component_and_normality_levels(spark):
+    rows = [("one", f"e{k}", float(k)) for k in range(9)] + [("two", f"e{k}", float(k % 3 + (100 if k > 5 else 0))) for k in range(9)]
+    values = spark.createDataFrame(rows, "g string, entity string, v double")
+    got = {(r["g"], r["entity"]): r for r in stats.mixtures(values, "g", "v").collect()}
+    assert got["one", "e8"]["posterior"] is None and not got["one", "e8"]["influenced"]
+    assert [got["two", f"e{k}"]["influenced"] for k in range(9)] == [False] * 6 + [True] * 3
+    assert {r["g"]: r["n_influenced"] for r in stats.mixture_summary(values, "g", "v").collect()} == {"one": 0, "two": 3}
+    tested = {r["g"]: r for r in stats.shapiro(values.unionByName(spark.createDataFrame([("none", "e", None), ("two", "e", None)], values.schema)), "g", "v").collect()}
+    assert tested["two"]["n"] == 9 and tested["two"]["level"] == "least normal" and tested["one"]["p_adj"] >= tested["one"]["p"] and tested["none"]["level"] is None
+
+
+LAND = [[(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]]
+
+
+def test_land_counts_more_on_edges_and_connectors(spark):
+    deg = 6371010.0 * np.pi / 180
+    nodes = spark.createDataFrame([(1, 0.0, -1.0), (2, 0.0, 3.0), (3, 5.0, 5.0)], "id long, lat double, lon double").withColumn("lat", F.col("lat") + F.when(F.col("id") < 3, 1e-9).otherwise(0.0))
+    edges = spark.createDataFrame([(1, 2)], "src long, dst long")
+    e = graph.penalised_edges(edges, nodes, LAND, 3.0).collect()
+    assert len(e) == 2 and all(r["cost"] == pytest.approx((2 + 2 * 3) * deg, rel=1e-6) and r["crosses_land"] for r in e)
+    points = spark.createDataFrame([(7, 0.0, -2.0), (8, 6.0, 5.0)], "id long, lat double, lon double")
+    paths = graph.all_pairs(graph.penalised_edges(edges, nodes, LAND, 3.0))
+    got = {r["id"]: r for r in graph.network_distances(points, nodes, paths, LAND, 0.0, 3.0, 3.0).collect()}
+    assert got[7]["node"] == 1 and got[7]["h1"] == pytest.approx(deg / 1000, rel=1e-6) and got[8]["node"] == 3
+    assert not got[8]["using_network"] and got[8]["h2"] > 0  # node 3 has no edge: the direct line
+    both = {(r["i"], r["j"]): r["v"] for r in graph.pairwise_distances(graph.connectors(points, nodes, LAND, 3.0), paths).collect()}
+    assert both == {(7, 8): 0.0, (8, 7): 0.0}  # no path
+    with pytest.raises(ValueError):
+        surface.land_lengths(points, LAND, 0.9)
+
+
+def test_paths_are_traced(spark):
+    e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0)], "src long, dst long, cost double")
+    got = {(r["src"], r["dst"]): (r["cost"], r["path"]) for r in graph.traced_paths(e).collect()}
+    assert got[1, 3] == (2.0, [1, 2, 3]) and got[3, 1] == (2.0, [3, 2, 1]) and got[2, 2] == (0.0, [2])
+
+
+def test_verbs_state_nulls_and_ties(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, None), ("a", 3, 2.0), ("b", 4, None), (None, 5, 1.0)], "g string, id int, v double")
+    assert {(r["g"], r["id"]) for r in relational.top_per_group(df, ["g"], "v", "id").collect()} == {("a", 1), ("b", 4), (None, 5)}
+    assert {r["id"] for r in relational.first_per_group(df, ["g"], [F.col("id").desc()]).collect()} == {3, 4, 5}
+    kept = relational.keep_unless(df, [F.col("g") == "a", F.col("v") == 2.0])
+    assert sorted(r["id"] for r in kept.collect()) == [4, 5]  # row 2: the conjunction is null
+    assert relational.smallest_group(df, "g").first()["n"] == 3 and relational.smallest_group(df.limit(0), "g").first()["n"] is None
+    assert relational.columns_like(df, "^v", ("id",)).columns == ["id", "v"]
+    with pytest.raises(ValueError, match="more than 1"):
+        relational.impute_one(df, "v")
+    assert relational.impute_one(df, "v", permitted=2).where("v is null").count() == 0
+    with pytest.raises(ValueError):
+        relational.require(df, F.col("v") > 0, "positive")
+    assert [r["n"] for r in df.select(relational.named(F.col("g"), {"a": "x"}).alias("n")).collect()] == ["x"] * 3 + [None] * 2
+    q = relational.qq_points(df.fillna({"g": "z"}), "g", "v").where("g = 'a'").orderBy("rank").collect()
+    assert [r["theoretical"] for r in q] == pytest.approx([-0.5895, 0.5895], abs=1e-3)  # two values: ranks 1 - 3/8 and 2 - 3/8 of 2.25
+
+
+def test_frequency_table_and_shift(spark):
+    rows = [(1, 1, "p", False), (1, 2, "q", False), (2, 3, "p", True), (2, 3, "q", None), (3, 4, "p", False)]
+    inv = spark.createDataFrame(rows, "code int, inventory int, feature string, marginal boolean")
+    got = {r["feature"]: r for r in relational.frequency_table(inv, spark.createDataFrame([("p",), ("q",), ("r",)], "feature string"), F.col("code") == 1).collect()}
+    assert (got["p"]["n"], got["p"]["n_subset"], got["q"]["n"], got["r"]["n"], got["r"]["idf"]) == (2, 1, 1, 0, None) and got["p"]["n_total"] == 3
+    ours = spark.createDataFrame([("p", 0.0), ("q", 1.0)], "feature string, idf double")
+    theirs = spark.createDataFrame([("P", 2.0), ("Q", 1.0)], "symbol string, idf double")
+    walk = spark.createDataFrame([("p", "p"), ("q", "q")], "feature string, symbol string")
+    shift = {r["feature"]: (r["shift"], r["direction"]) for r in relational.idf_shift(ours, theirs, walk, F.upper).collect()}
+    assert shift == {"p": (1.0, "rarer"), "q": (-1.0, "commoner")}
