@@ -284,7 +284,11 @@ def search(
     hits = members.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(partial(_found, k=k + 1), "query long, rep long, score double")
     hits = hits.groupBy("query", "rep").agg(F.max("score").alias("score"))
     first = lambda c: F.slice(F.array_sort(c), 1, k + 1)
-    best = hits.groupBy("query").agg(first(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("rep")))).alias("hit")).select("query", F.explode("hit").alias("hit"))
+    # A query has up to k + 1 hits from each part of the lists that it reads: each salt keeps its best ones, then all salts together do.
+    salts = int(max(1, read_lists * int(parts.max()) // 64))
+    hits = hits.withColumn("hit", F.struct((-F.col("score")).alias("s"), F.col("rep")))
+    hits = hits.groupBy("query", F.pmod(F.xxhash64("rep"), F.lit(salts)).alias("salt")).agg(first(F.collect_list("hit")).alias("hit"))
+    best = hits.groupBy("query").agg(first(F.flatten(F.collect_list("hit"))).alias("hit")).select("query", F.explode("hit").alias("hit"))
     ids = best.select("query", F.col("hit.rep").alias("rep"), F.col("hit.s").alias("s")).join(points.select("rep", "ids"), "rep")
     top = ids.groupBy("query").agg(first(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("s"), i.alias("id")))))).alias("top"))
     queries = rows.where("asks").join(points.where("asks").select("vector", F.col("rep").alias("query")), "vector").select(F.col("id").alias("query_id"), "query")

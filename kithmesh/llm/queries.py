@@ -147,9 +147,9 @@ def _signatures_sql(text: str) -> str:
     chain = "(a.w || CASE WHEN a.n < len(c) THEN ' ' || c[a.n + 1] ELSE '' END || CASE WHEN a.n + 1 < len(c) THEN ' ' || c[a.n + 2] ELSE '' END)"
     return f"""(SELECT list_sort(list_distinct(list_transform(anchors, lambda a: substr(md5({chain}), 1, 8)))) FROM (
   SELECT c, list_concat(
-    CASE WHEN len(w) > 0 THEN [{{'w': '^', 'n': 0::BIGINT}}] ELSE [] END,
+    CASE WHEN len(w) > 0 AND len(i) = 0 THEN [{{'w': '^', 'n': 0::BIGINT}}] ELSE [] END,
     list_transform(list_zip(i, range(len(i))), lambda z: {{'w': w[z[1]], 'n': (z[1] - 1 - z[2])::BIGINT}}),
-    list_transform(list_filter(range(len(c)), lambda k: substr(md5(c[k + 1]), 1, 1) IN ('0', '1')), lambda k: {{'w': c[k + 1], 'n': (k + 1)::BIGINT}})) AS anchors
+    list_transform(list_filter(range(CASE WHEN len(i) = 0 THEN len(c) ELSE 0 END), lambda k: substr(md5(c[k + 1]), 1, 1) IN ('0', '1')), lambda k: {{'w': c[k + 1], 'n': (k + 1)::BIGINT}})) AS anchors
   FROM (SELECT w, list_filter(w, lambda x: x NOT IN ({common})) AS c, list_filter(range(1, len(w) + 1), lambda p: w[p] IN ({common})) AS i FROM (SELECT {words} AS w))))"""
 
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, text_of, unit_draw
+from .common import fresh, gapless_rank, staged, text_of, unit_draw
 
 
 @dataclass(frozen=True)
@@ -75,10 +75,11 @@ def shard_of(df: DataFrame, key: Column, leaves: list[Leaf], out: str) -> DataFr
         regions[region][name] = sum(shards.values())
     root = {"": {r: sum(w.values()) for r, w in regions.items()}}
     text = F.coalesce(key.cast("string"), F.lit(""))
-    df = df.withColumn("_region", _winner(text, F.lit(""), _children(F.lit(""), root)))
-    df = df.withColumn("_rack", F.concat("_region", F.lit("/"), _winner(text, F.col("_region"), _children(F.col("_region"), regions))))
-    df = df.withColumn(out, _winner(text, F.col("_rack"), _children(F.col("_rack"), racks)).cast("int"))
-    return df.drop("_region", "_rack")
+    region, rack = fresh(df, "region"), fresh(df, "rack")
+    df = df.withColumn(region, _winner(text, F.lit(""), _children(F.lit(""), root)))
+    df = df.withColumn(rack, F.concat(region, F.lit("/"), _winner(text, F.col(region), _children(F.col(region), regions))))
+    df = df.withColumn(out, _winner(text, F.col(rack), _children(F.col(rack), racks)).cast("int"))
+    return df.drop(region, rack)
 
 
 def place(docs: DataFrame, n_shards: int = 40, grown: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,6 +97,7 @@ def place(docs: DataFrame, n_shards: int = 40, grown: int | None = None, id_col:
     )
     rows = shard_of(rows, F.col("doc_id"), fleet(n_shards), "shard")
     rows = shard_of(rows, F.col("doc_id"), fleet(grown or n_shards + 1), "grown_shard")
+    rows = staged(rows, "placed")  # texts are hashed and keys placed once; the numbers below need the rows twice
     bucket = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2)
     rows = gapless_rank(rows, ["shard"], bucket, [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")], "slot")
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

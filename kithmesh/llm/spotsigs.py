@@ -1,9 +1,10 @@
 """SpotSigs document fingerprints in DataFrame functions alone (op 4).
 
 Words are runs of letters and digits in lower case. An anchor is a common word; its signature is the anchor and the next CHAIN
-content words (words that aren't common) after it. So that texts with few common words have signatures too, a content word
-whose md5 begins with 0 or 1 (one in eight) is an anchor as well, and so is the start of the text. A
-fingerprint is the set of signatures, each as the first 8 hex digits of its md5, in ascending order without gaps between them; likeness is Jaccard.
+content words (words that aren't common) after it. In a text without any common word, whose fingerprint would be empty, a content word
+whose md5 begins with 0 or 1 (one in eight) is an anchor, and so is the start of the text. A
+fingerprint is the set of signatures, each as the first 8 hex digits of its md5, in ascending order without gaps between them; likeness is
+Jaccard. Different chains share 32 bits with probability 2^-32, so that a text of 10,000 chains is expected to have 0.01 such pairs.
 
 The join of similar documents deals documents by the length of their sets: a pair can only reach a threshold t if the
 smaller set has at least t times the size of the larger. It meets on the rarest signatures of each set, as many as a similar set can't all miss.
@@ -37,7 +38,7 @@ def words_of(text: Column) -> Column:
 
 def signatures(text: Column) -> Column:
     """The set of a text's signatures as 8 hex digits each, ascending. No signature for a text without words."""
-    marked = F.transform(words_of(text), lambda w, i: F.struct(w.alias("w"), i.alias("i"), w.isin(COMMON).alias("c"), F.substring(F.md5(w.cast("binary")), 1, 1).isin("0", "1").alias("p")))
+    marked = F.transform(words_of(text), lambda w, i: F.struct(w.alias("w"), i.alias("i"), w.isin(COMMON).alias("c")))
 
     def from_marked(m: Column) -> Column:
         return _let(F.filter(m, lambda x: ~x["c"]), lambda content: from_content(m, content))
@@ -45,8 +46,9 @@ def signatures(text: Column) -> Column:
     def from_content(m: Column, content: Column) -> Column:
         # The j-th common word, at place i, follows i - j content words; the k-th content word follows k, itself left out.
         common = F.transform(F.filter(m, lambda x: x["c"]), lambda x, j: F.struct(x["w"].alias("w"), (x["i"] - j).alias("n")))
-        picked = F.filter(F.transform(content, lambda x, k: F.when(x["p"], F.struct(x["w"].alias("w"), (k + 1).alias("n")))), lambda x: x.isNotNull())
-        start = F.filter(F.array(F.struct(F.lit("^").alias("w"), F.lit(0).alias("n"))), lambda x: F.size(m) > 0)
+        bare = (F.size(m) > 0) & (F.size(m) == F.size(content))
+        picked = F.filter(F.transform(content, lambda x, k: F.when(bare & F.substring(F.md5(x["w"].cast("binary")), 1, 1).isin("0", "1"), F.struct(x["w"].alias("w"), (k + 1).alias("n")))), lambda x: x.isNotNull())
+        start = F.filter(F.array(F.struct(F.lit("^").alias("w"), F.lit(0).alias("n"))), lambda x: bare)
         chain = lambda a: F.concat_ws(" ", a["w"], *[F.get(content, a["n"] + k)["w"] for k in range(CHAIN)])
         return F.sort_array(F.array_distinct(F.transform(F.concat(start, common, picked), lambda a: F.substring(F.md5(chain(a).cast("binary")), 1, 8))))
 
