@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -143,6 +144,51 @@ def test_classes_equal_brute_force(spark):
     assert neardup.dedup(df).count() == len(set(want))
 
 
+def plain_likeness(a, b):
+    """Probability Jaccard of two texts from its definition, over word tuples."""
+    def bag(t):
+        w = t.lower().split()
+        return Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+
+    x, y = bag(a), bag(b)
+    return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+
+
+def test_classes_against_the_definition(spark):
+    rng = np.random.default_rng(15)
+    base = [f"w{rng.integers(10**6)}" for _ in range(80)]
+    texts = []
+    for _ in range(60):  # one group around the threshold
+        t = list(base)
+        for p in rng.integers(0, 80, rng.integers(0, 5)):
+            t[p] = f"x{rng.integers(30)}"
+        texts.append(" ".join(t))
+    want = list(range(60))
+    for i, j in itertools.combinations(range(60), 2):
+        if texts[i] == texts[j] or plain_likeness(texts[i], texts[j]) >= 0.8:
+            a, b = sorted((want[i], want[j]))
+            want = [a if x == b else x for x in want]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for exact in (False, True):
+        got = {r["doc_id"]: r["class_id"] for r in neardup.classes(df, exact=exact).collect()}
+        assert [got[k] for k in range(60)] == want
+
+
+def test_two_long_texts_of_different_words(spark):
+    words = [f"w{k}" for k in range(200_000)]
+    other = [w if k % 1000 else "x" for k, w in enumerate(words)]
+    far = [w if k % 20 else "x" for k, w in enumerate(words)]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate((words, other, far))], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()} == {0: 0, 1: 0, 2: 2}
+
+
+def test_dedup_leaves_clashing_columns_alone(spark):
+    df = spark.createDataFrame([(1, "a b", 5, 6, 7), (2, "a b", 5, 6, 7)], "doc_id long, text string, _id long, _hash long, label long")
+    assert [tuple(r) for r in neardup.dedup(df).collect()] == [(1, "a b", 5, 6, 7)] or neardup.dedup(df).columns == df.columns
+    model = mixing.fit_domains(["a", "b"], ["en", "de"])
+    assert mixing.resample(df, model, {"en": 1.0}).columns == df.columns
+
+
 def test_classes_of_odd_rows(odd, empty):
     got = [(r["doc_id"], r["class_id"]) for r in neardup.classes(odd).collect()]
     assert len(got) == len(ODD) and (4, 1) in got and (3, 2) in got and (None, None) in got and (6, 6) in got
@@ -183,19 +229,19 @@ def test_rates_reach_a_plentiful_and_a_scarce_domain(spark, start, least, total)
     rng = np.random.default_rng(9)
     kind = rng.choice(4, 1000, p=[0.4, 0.4, 0.18, 0.02])  # targets .1 .5 .2 .2: the first at 4 times its target, the last scarce
     soft = np.rint(50 * (0.95 * np.eye(4)[kind] + 0.05 * rng.dirichlet([0.5] * 4, 1000))).astype(int)
-    members = spark.createDataFrame([(g, 1000) for g in soft.tolist()], "grains array<int>, n_tokens long")
+    p = soft / soft.sum(axis=1, keepdims=True)
+    members = spark.createDataFrame([(g, 1000) for g in p.tolist()], "p array<double>, n_tokens long")
     targets = {"a": 0.1, "b": 0.5, "c": 0.2, "d": 0.2}
     rates = mixing.fit_rates(members, list("abcd"), targets, total, start, least)
-    p = soft / soft.sum(axis=1, keepdims=True)
     got = p.T @ (rates.of(p) * 1000) / (total or 1e6)
     assert np.abs(got - list(targets.values())).max() < 1e-3 and rates.of(p).min() >= least
-    shown = members.select("grains", rates.column(F.col("grains")).alias("r")).collect()
-    assert np.allclose([r["r"] for r in shown], rates.of(np.array([r["grains"] for r in shown]) / np.sum([r["grains"] for r in shown], axis=1, keepdims=True)))
+    shown = members.select("p", rates.column(F.col("p")).alias("r")).collect()
+    assert np.allclose([r["r"] for r in shown], rates.of(np.array([r["p"] for r in shown])))
 
 
 def test_rates_are_the_optimum_where_targets_are_out_of_reach(spark):
     soft = [[30, 20], [25, 25], [40, 10]]
-    members = spark.createDataFrame([(g, 100) for g in soft], "grains array<int>, n_tokens long")
+    members = spark.createDataFrame([([x / 50 for x in g], 100) for g in soft], "p array<double>, n_tokens long")
     rates = mixing.fit_rates(members, ["a", "b"], {"a": 0.1, "b": 0.9})
     p = np.array(soft) / 50
     gap = p.T @ (rates.of(p) * 100) - 300 * np.array([0.1, 0.9])
@@ -203,6 +249,19 @@ def test_rates_are_the_optimum_where_targets_are_out_of_reach(spark):
     assert np.allclose(g[rates.of(p) > 1e-6], 0, atol=1e-2) and (g > -1e-2).all() and rates.of(p).max() > 0
 
 
+def test_rates_equal_a_plain_projected_gradient(spark):
+    rng = np.random.default_rng(14)
+    p, n = rng.dirichlet([0.3] * 3, 60), rng.integers(10, 200, 60).astype(float)
+    want = np.array([0.5, 0.3, 0.2]) * n.sum()
+    members = spark.createDataFrame([(a, int(b)) for a, b in zip(p.tolist(), n, strict=True)], "p array<double>, n_tokens long")
+    rates = mixing.fit_rates(members, list("abc"), {"a": 0.5, "b": 0.3, "c": 0.2})
+    r = np.ones(60)  # gradient steps in coordinates scaled by the square root of the length, from the start
+    step = n.sum() / np.linalg.eigvalsh((p * n[:, None]).T @ p).max() / n.sum()
+    for _ in range(20_000):
+        r = np.maximum(0, r - step * (p @ (p.T @ (n * r) - want)))
+    assert np.allclose(rates.of(p), r, atol=2e-3) and np.allclose(p.T @ (n * rates.of(p)), want, rtol=1e-4)
+
+
 # --- 4
 
 
@@ -211,15 +270,13 @@ def py_signatures(text):
     content = [w for w in words if w not in spotsigs.COMMON]
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
     out, n = [], 0
-    if words:
-        out.append(" ".join(["^", *content[:2]]))
     for w in words:
         if w in spotsigs.COMMON:
             out.append(" ".join([w, *content[n : n + 2]]))
         else:
             n += 1
-            if md5(w)[0] in "01":
-                out.append(" ".join([w, *content[n : n + 2]]))
+    if words and not out:
+        out = [" ".join(["^", *content[:2]]), *(" ".join([w, *content[k + 1 : k + 3]]) for k, w in enumerate(content) if md5(w)[0] in "01")]
     return sorted({md5(s)[:8] for s in out})
 
 
@@ -297,17 +354,37 @@ def test_toxicity(spark, odd, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = docs.join(labels, "doc_id").orderBy("doc_id").select("text", "toxic").collect()
     model = toxicity.fit([r["text"] for r in rows[:280]], np.array([r["toxic"] for r in rows[:280]]))
-    assert auc([r["toxic"] for r in rows[280:]], toxicity.Scorer(model).scores([r["text"] for r in rows[280:]])) > 0.7
+    scorer = toxicity.Scorer(model)
+    assert auc([r["toxic"] for r in rows[280:]], scorer.scores([r["text"] for r in rows[280:]])) > 0.7
+    clean = next(r["text"] for r in rows if r["toxic"] == 0 and len(r["text"]) > 200)
+    assert np.allclose(scorer.scores([clean + "\n"]), scorer.scores([(clean + "\n") * 1000]), atol=0.01)
+    scored = {(r["doc_id"] or 0): r["score"] for r in toxicity.score(odd, model).collect()}
+    assert len(scored) == 8 and scored[2] == scored[3] and scored[1] == scored[4] and all(0 <= s <= 1 for s in scored.values())
+    assert toxicity.score(odd, model).count() == len(ODD) and toxicity.score(empty, model).count() == 0
+    assert toxicity.keep(odd, model, 1.1).count() == len(ODD) and toxicity.keep(odd, model, scored[1]).where("doc_id in (1, 4)").count() == 0
+    assert toxicity.fit([], np.array([])).weights == {}
+
+
+def test_scores_equal_a_plain_sum_over_sentences():
+    model = toxicity.Model({"idiot": 6.0, "idio|": 1.0, "scum": 5.0, "scum|": 0.5, "fool": 2.0}, -7.0, 0.3, 0.8)
+    for text in ("", "you idiot. you idiot. fine", "scum and fool! idiots\nidiot fool scum? fool. scum fool", "fine day " * 100):
+        sums = {round(sum(model.of(w) for w in set(s)), 9) for s in toxicity._sentences(text)} - {0.0}
+        e = max(1e-6, sum(np.log1p(np.exp(z - 7)) - np.log1p(np.exp(-7)) for z in sorted(sums)[-3:]))
+        assert toxicity.Scorer(model).scores([text])[0] == pytest.approx(1 / (1 + np.exp(-0.3 - 0.8 * np.log(np.expm1(e)))))
+
+
+def test_counterfactuals_lower_false_positives_on_neutral_mentions():
     rng = np.random.default_rng(5)
     words = [f"w{k}" for k in range(40)]
-    texts = [" ".join(rng.choice(words, 12)) + (" women idiot." if k % 3 == 0 else " women here." if k % 7 == 0 else " fine.") for k in range(400)]
-    y = np.array([k % 3 == 0 for k in range(400)], float)
-    free, tied = toxicity.fit(texts, y, pull=0.0), toxicity.fit(texts, y, pull=50.0)
-    gap = lambda m: abs(m.of("women") - m.of("men"))
-    assert gap(tied) < 0.3 * gap(free) and tied.of("idiot") > tied.of("women")
-    assert toxicity.score(odd, tied).count() == len(ODD) and toxicity.score(empty, tied).count() == 0
-    assert toxicity.keep(odd, tied, 1.1).count() == len(ODD)
-    assert toxicity.fit([], np.array([])).weights == {}
+    term = lambda: str(rng.choice(sorted(toxicity._SWAP)))
+    prose = lambda: " ".join(rng.choice(words, 12))
+    y = np.array([k % 3 == 0 for k in range(900)], float)
+    texts = [f"{prose()} {term()} {'idiot' if k % 2 else ''}." if t else f"{prose()}." for k, t in enumerate(y)]  # terms only beside label 1
+    neutral = [f"{prose()} {t}." for t in sorted(toxicity._SWAP)]
+    free, tied = (toxicity.Scorer(toxicity.fit(texts, y, pull=p)) for p in (0.0, 1.0))
+    rate = lambda scorer: (scorer.scores(neutral) >= 0.3).mean()
+    assert rate(free) > 0.5 and rate(tied) < 0.05
+    assert tied.scores([f"{prose()} idiot."])[0] > 0.5
 
 
 def test_quality(spark, odd, empty):
@@ -320,7 +397,29 @@ def test_quality(spark, odd, empty):
     kept = quality.keep(odd, net, 0.0)
     assert kept.columns == odd.columns and kept.count() == len(ODD)
     long = b"The of and " * 300_000
-    assert 0 <= quality.scores([long, b""], net).min() and quality._long(long, net, net.pairs()).shape == (1, 32)
+    assert 0 <= quality.scores([long, b""], net).min()
+
+
+def test_quality_forward_pass_equals_a_plain_convolution():
+    rng = np.random.default_rng(13)
+    net = quality.fit([b"ab", b"cd"], np.array([0.0, 1.0]), filters=3, epochs=0)
+    net.bias[:] = rng.normal(0, 0.1, 3)
+    docs = [b"", b"abc", bytes(rng.integers(0, 256, 255).tolist()), bytes(rng.integers(0, 256, 2000).tolist())]
+
+    def plain(doc):
+        halves = max(1, -(-(len(doc) + quality.WIDTH - 1) // quality.HALF))
+        padded = doc + bytes(halves * quality.HALF + quality.WIDTH)
+        value = np.zeros((halves * quality.HALF, 3))
+        for p in range(len(doc)):
+            value[p] = np.maximum(0, net.bias + sum(net.tables[j, padded[p + j]] for j in range(quality.WIDTH)))
+        chunks = np.array([value[h * quality.HALF : (h + 2) * quality.HALF].max(axis=0) for h in range(halves)])
+        return 1 / (1 + np.exp(-(np.concatenate([chunks.mean(axis=0), chunks.max(axis=0)]) @ net.dense + net.offset)))
+
+    assert np.allclose(quality.scores(docs, net), [plain(d) for d in docs], atol=1e-4)
+    long = bytes(rng.integers(0, 256, 4 * quality._BLOCK + 777).tolist())
+    buf, halves = quality._laid_out([long])
+    chunk, first, _ = quality._chunks(quality._answers(buf, halves, [long], net.pairs()).max(axis=1), halves)
+    assert np.allclose(quality._long(long, net, net.pairs())[0], np.concatenate([chunk.mean(axis=0), chunk.max(axis=0)]), atol=1e-4)
 
 
 def test_quality_gradients():
@@ -408,6 +507,35 @@ def test_grammar_round_trip(ids):
     assert len(ids) < 100 or len(symbols) < len(ids) / 3
 
 
+def most_frequent(symbols):
+    """The occurrences without overlap of the most frequent pair."""
+    count, last = {}, {}
+    for k, pair in enumerate(itertools.pairwise(symbols)):
+        if last.get(pair) != k - 1 or pair[0] != pair[1]:
+            last[pair] = k
+            count[pair] = count.get(pair, 0) + 1
+    return max(count.values(), default=0)
+
+
+def test_no_pair_stays_frequent():
+    rng = np.random.default_rng(11)
+    for k in range(120):
+        ids = rng.zipf(1.3 + rng.random(), rng.integers(0, 3000)).clip(max=int(rng.integers(2, 500))).astype(np.uint32)
+        if k % 3 == 0:
+            ids = np.tile(ids[: rng.integers(1, 200)], 20)
+        symbols, rules, first = repair.compress(ids)
+        assert (repair.expand(symbols, rules, first) == ids).all() and most_frequent(symbols.tolist()) < 4
+
+
+def test_random_access_descends_only_what_it_needs(monkeypatch):
+    rng = np.random.default_rng(12)
+    ids = np.tile(rng.integers(0, 50, 700).astype(np.uint32), 30)
+    shard = repair.Shard(repair.write_shard([1, 2], [20_000, len(ids)], ids))
+    monkeypatch.setattr(repair, "Grammar", None)  # the whole grammar isn't expanded
+    for a, b in rng.integers(0, len(ids), (60, 2)).tolist():
+        assert (shard.ids(min(a, b), max(a, b)) == ids[min(a, b) : max(a, b)]).all()
+
+
 def test_random_access():
     rng = np.random.default_rng(8)
     docs = [rng.zipf(1.5, n).clip(max=5000).astype(np.uint32) for n in (3000, 1, 5000, 700)]
