@@ -453,7 +453,7 @@ def geographic_matrix(t):
     return graph.pairwise_distances(near, graph.all_pairs(_penalised(t))).withColumn("v", F.round("v", 6))
 
 
-@_query()
+@_query(_NET + "SELECT id, min(id) OVER (PARTITION BY route) AS component FROM nd")
 def graph_components(t):
     n = _nodes(t)
     return graph.components(graph.route_edges(n), n)
@@ -616,7 +616,11 @@ def knee_eps(t):
     return cluster.knee(_points(t), "x")
 
 
-@_query()
+@_query(f"""WITH RECURSIVE p AS ({_PTS}), near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.0004),
+core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 4), link AS (SELECT a, b FROM near SEMI JOIN core USING (a) WHERE b IN (SELECT a FROM core)),
+reach AS (SELECT a, a AS b FROM core UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b), comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
+num AS (SELECT a, dense_rank() OVER (ORDER BY c) AS cluster FROM comp), edge AS (SELECT near.a, min(cluster) AS cluster FROM near JOIN num ON num.a = near.b WHERE near.a NOT IN (SELECT a FROM core) GROUP BY near.a)
+SELECT vec_id AS entity, coalesce(num.cluster, edge.cluster, 0) AS cluster FROM p LEFT JOIN num ON num.a = vec_id LEFT JOIN edge ON edge.a = vec_id""")
 def dbscan(t):
     return cluster.dbscan(_points(t), 0.02, 4)
 
