@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, neardup, packing, quality, repair, sharding, spotsigs, toxicity, warc
+from . import ann, decontamination, fim, mixing, neardup, negatives, packing, quality, repair, sharding, spotsigs, toxicity, warc
 from .common import crc_mod, table
 
 
@@ -72,6 +72,24 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read(repair.write(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("double"))
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    rows = table(spark, sf_dir, "embeddings").where(finite).select("vec_id", label.alias("label"), whole.alias("embedding"))
+    found = negatives.mine(rows, F.col("vec_id") % 50 == 0)
+    return found.withColumn("positive_score", F.col("positive_score").cast("long")).withColumn("negative_score", F.col("negative_score").cast("long"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items_sha256", F.sha2(F.array_join("items", ",").cast("binary"), 256)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ann": op1_ann,
@@ -84,6 +102,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_packing": op9_packing,
         "op10_repair": op10_repair,
+        "op11_fim": op11_fim,
+        "op12_negatives": op12_negatives,
+        "op13_decontamination": op13_decontamination,
     }
 
 
@@ -164,5 +185,38 @@ SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
   array_to_string(other, '') AS edited_fingerprint, {like("own", "other")} AS near_edited, {like("own", "nx")} AS near_next FROM s"""
 
 
+# Parts are cut from the text by their lengths; the rebuilt text must be the text.
+_OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+  ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, len(u)::BIGINT AS n, h1 % (len(u) + 1) AS x, h2 % (len(u) + 1) AS y, CASE WHEN len(u) = 0 OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (SELECT *, coalesce(list_sum(list_transform(u[1:least(x, y)], lambda w: length(w))), 0)::BIGINT AS a, coalesce(list_sum(list_transform(u[1:greatest(x, y)], lambda w: length(w))), 0)::BIGINT AS b FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || t[1:a] || '<S>' || t[b + 1:] || '<M>' || t[a + 1:b] ELSE '<S>' || t[b + 1:] || '<P>' || t[1:a] || '<M>' || t[a + 1:b] END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM c"""
+
+_OP12_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, other AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+_OP13_SQL = r"""
+WITH words AS (SELECT row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, doc_id FROM documents),
+items AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS phrase FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM items WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT k FROM win),
+spots AS (SELECT row, k, s, array_to_string(w[s:s + k - 1], ' ') AS phrase FROM (SELECT row, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM words CROSS JOIN lengths)),
+hit AS (SELECT row, k, s, item FROM spots JOIN win USING (k, phrase)),
+n_hit AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(s, s + k)) AS p FROM (SELECT DISTINCT row, s, k FROM hit)) GROUP BY row),
+named AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM hit) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN n_hit USING (row) LEFT JOIN named USING (row)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_spotsigs": _op4_sql(), "op5_sharding": _op5_sql(), "op7_warc": _OP7_SQL}
+    return {"op4_spotsigs": _op4_sql(), "op5_sharding": _op5_sql(), "op7_warc": _OP7_SQL, "op11_fim": _OP11_SQL, "op12_negatives": _OP12_SQL, "op13_decontamination": _OP13_SQL}
