@@ -44,6 +44,21 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Stages tables, and deletes together those that the result doesn't read."""
+
+    def __init__(self) -> None:
+        self._tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self._tables.append(staged(df, name))
+        return self._tables[-1]
+
+    def clear(self) -> None:
+        discard(*self._tables)
+        self._tables.clear()
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
     """Arrow batches of at most `rows` rows for what is run inside, so that a worker holds few texts or sets at once."""

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, staged, text_of
+from .common import Scratch, discard, staged, text_of
 
 WINDOW = 10
 RAREST = 2  # terms of a window whose postings are intersected
@@ -58,9 +58,9 @@ def frequencies(corpus: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def postings(corpus: DataFrame, terms: DataFrame) -> DataFrame:
-    """t, id, h, p: every place (from 0) of each of the terms, as a staged table."""
+    """t, id, h, p: every place (from 0) of each of the terms."""
     each = corpus.select("id", "h", F.posexplode("terms").alias("p", "t"))
-    return staged(each.join(_small(terms), "t").select("t", "id", "h", "p"), "postings")
+    return each.join(_small(terms), "t").select("t", "id", "h", "p")
 
 
 def windows(items: DataFrame, n: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -73,7 +73,9 @@ def windows(items: DataFrame, n: int = WINDOW, id_col: str = "item_id", text_col
     cut = staged(cut, "cut")
     # Written before it is read, so a window keeps its number whatever is computed again.
     found = staged(cut.select("words").distinct().withColumn("w", F.monotonically_increasing_id()), "windows")
-    return found, staged(cut.join(found, "words").select("w", "item"), "items")
+    owners = staged(cut.join(found, "words").select("w", "item"), "items")
+    discard(cut)
+    return found, owners
 
 
 def _keyed(found: DataFrame, counts: DataFrame, most: int | None, wide: bool = False) -> DataFrame:
@@ -83,10 +85,10 @@ def _keyed(found: DataFrame, counts: DataFrame, most: int | None, wide: bool = F
     return keys.select("w", F.slice("keys", 1, most).alias("keys") if most else "keys")
 
 
-def _starts(index: DataFrame, keys: DataFrame) -> DataFrame:
+def _starts(index: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
     """w, id, h, s: places where a window may begin: the lists of its two rarest terms, moved by their offsets, agree on them."""
     first, second = F.col("keys")[0], F.get("keys", F.lit(1))
-    lists = _small(staged(keys.select("w", first["t"].alias("t"), first["o"].alias("o"), second["t"].alias("t2"), second["o"].alias("o2")), "lists"))
+    lists = _small(scratch(keys.select("w", first["t"].alias("t"), first["o"].alias("o"), second["t"].alias("t2"), second["o"].alias("o2")), "lists"))
     at = index.join(lists, "t").select("w", "id", "h", (F.col("p") - F.col("o")).alias("s"), "t2", "o2").where("s >= 0")
     single = at.where("t2 is null").select("w", "id", "h", "s")
     asked = at.where("t2 is not null").select("w", "id", "h", "s", F.col("t2").alias("t"), (F.col("s") + F.col("o2")).alias("p"))
@@ -94,19 +96,20 @@ def _starts(index: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def phrases(docs: DataFrame, corpus: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """w, id, h, s, n: every occurrence of each window (w, words) in the documents: it begins at word s and has n words."""
-    vocabulary = staged(found.select(F.explode(terms_of(F.col("words"))).alias("t")).distinct(), "vocabulary")
-    counts = staged(frequencies(corpus, vocabulary), "counts")
-    keys = staged(_keyed(found, counts, RAREST), "keys")
-    index = postings(corpus, staged(keys.select(F.explode("keys.t").alias("t")).distinct(), "rare"))
-    starts = staged(_starts(index, keys).distinct(), "starts")
-    discard(vocabulary, index)
+    """w, id, h, s, n: every occurrence of each window (w, words) in the documents: it begins at word s and has n words. A staged table."""
+    scratch = Scratch()
+    counts = scratch(frequencies(corpus, scratch(found.select(F.explode(terms_of(F.col("words"))).alias("t")).distinct(), "vocabulary")), "counts")
+    keys = scratch(_keyed(found, counts, RAREST), "keys")
+    index = scratch(postings(corpus, scratch(keys.select(F.explode("keys.t").alias("t")).distinct(), "rare")), "postings")
+    starts = scratch(_starts(index, keys, scratch).distinct(), "starts")
     # Word by word: only documents with a candidate are read again.
-    rows = _documents(docs, id_col, text_col).join(_small(staged(starts.select("id", "h").distinct(), "candidates")), ["id", "h"], "left_semi")
+    rows = _documents(docs, id_col, text_col).join(_small(scratch(starts.select("id", "h").distinct(), "candidates")), ["id", "h"], "left_semi")
     texts = rows.dropDuplicates(["id", "h"]).select("id", "h", words_of(F.col("text")).alias("all"))
     places = starts.join(found.select("w", F.size("words").alias("n")), "w").groupBy("id", "h").agg(F.collect_list(F.struct("w", "s", "n")).alias("places"))
     seen = texts.join(places, ["id", "h"]).select("id", "h", F.explode(F.transform("places", lambda x: F.struct(x["w"].alias("w"), x["s"].alias("s"), x["n"].alias("n"), F.slice("all", x["s"] + 1, x["n"]).alias("words")))).alias("x"))
-    return seen.select("id", "h", "x.*").join(found, ["w", "words"]).select("w", "id", "h", "s", "n")
+    out = staged(seen.select("id", "h", "x.*").join(found, ["w", "words"]).select("w", "id", "h", "s", "n"), "hits")
+    scratch.clear()
+    return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -117,7 +120,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str
     a null item id is the empty text. Without documents the result is empty, without items nothing is contaminated. Other columns aren't read."""
     corpus = tokenised(docs, id_col, text_col)
     found, owners = windows(items, n, item_col, item_text_col)
-    hits = staged(phrases(docs, corpus, found, id_col, text_col), "hits")
+    hits = phrases(docs, corpus, found, id_col, text_col)
     # Occurrences in ascending order; each adds what lies beyond the end of those before it.
     places = F.array_sort(F.collect_set(F.struct("s", F.col("n").alias("k"))))
     end = lambda x: x["s"] + x["k"]
@@ -126,6 +129,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str
     n_hit = hits.groupBy("id", "h").agg(covered["n"].alias("n_hit"))
     named = hits.select("id", "h", "w").distinct().join(owners, "w").groupBy("id", "h").agg(F.sort_array(F.collect_set("item")).alias("items"))
     facts = staged(n_hit.join(named, ["id", "h"]), "facts")
+    discard(found, owners, hits)
     out = corpus.select("id", "h", F.size("terms").cast("long").alias("n_words")).join(facts, ["id", "h"], "left")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     found_in = F.coalesce("items", F.array().cast("array<string>"))
@@ -141,13 +145,14 @@ def near(docs: DataFrame, queries: DataFrame, span: int = 2 * WINDOW, id_col: st
     word match nothing, nor does one with more different words than `span`. Null texts have no words; repeated rows match each, equal runs once; null ids
     are kept; empty tables give an empty result. Words are compared by 64-bit hashes first, so two words that share one could hide a run.
     """
+    scratch = Scratch()
     corpus = tokenised(docs, id_col, text_col, wide=True)
     wanted = queries.select("query_id", F.array_distinct("words").alias("words")).where((F.size("words") > 0) & (F.size("words") <= span) & ~F.exists("words", lambda w: w.isNull()))
     wanted = staged(wanted.distinct().withColumn("w", F.monotonically_increasing_id()), "queries")
-    vocabulary = staged(wanted.select(F.explode(terms_of(F.col("words"), True)).alias("t")).distinct(), "vocabulary")
-    counts = staged(frequencies(corpus, vocabulary), "counts")
-    keys = staged(_keyed(wanted.select("w", "words"), counts, None, True).select("w", F.col("keys")[0]["t"].alias("t"), F.transform("keys", lambda x: x["t"]).alias("all")), "keys")
-    index = postings(corpus, vocabulary)
+    vocabulary = scratch(wanted.select(F.explode(terms_of(F.col("words"), True)).alias("t")).distinct(), "vocabulary")
+    counts = scratch(frequencies(corpus, vocabulary), "counts")
+    keys = scratch(_keyed(wanted.select("w", "words"), counts, None, True).select("w", F.col("keys")[0]["t"].alias("t"), F.transform("keys", lambda x: x["t"]).alias("all")), "keys")
+    index = scratch(postings(corpus, vocabulary), "postings")
     block = lambda p: F.floor(p / span)
     rare = index.join(_small(keys), "t").select("w", "id", "h", F.col("p").alias("q"), F.explode("all").alias("t"))
     # A place within span - 1 of q lies in q's block of span places or in one beside it.
@@ -161,7 +166,8 @@ def near(docs: DataFrame, queries: DataFrame, span: int = 2 * WINDOW, id_col: st
     # It ends where its last missing word has come, or at q if that is later.
     heads = F.transform(F.array_distinct(F.transform("at", lambda x: x["t"])), lambda t: F.array_min(F.transform(F.filter("at", lambda x: x["t"] == t), lambda x: x["p"])))
     runs = staged(runs.select("w", "id", "h", "first", F.greatest(F.array_max(heads), F.col("q")).alias("last")).distinct(), "runs")
-    discard(index)
+    scratch.clear()
+    discard(corpus)
     texts = _documents(docs, id_col, text_col).join(_small(staged(runs.select("id", "h").distinct(), "candidates")), ["id", "h"], "left_semi").select("id", "h", words_of(F.col("text")).alias("all"))
     sure = texts.join(runs, ["id", "h"]).join(wanted, "w").where(F.size(F.array_except("words", F.slice("all", F.col("first") + 1, F.col("last") - F.col("first") + 1))) == 0)
     return sure.select("query_id", F.when(F.col("id") != F.lit(_NONE), F.col("id")).alias("doc_id"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))

@@ -13,7 +13,7 @@ smallest ids, so a hot vector is scored once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import Scratch, staged
 
 _SLACK = 1e-6  # share of M by which intervals are widened, for rounding
 _FEW = 200_000  # rows of a broadcast table
@@ -188,8 +188,9 @@ def _few(df: DataFrame, rows: int = _FEW) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def _joined(points: DataFrame, anchors: DataFrame, space: _Space, same_label: bool, block, part_rows: int, anchor_rows: int) -> DataFrame:
-    """anchor, band, p, first, score from the blocks in which rows and anchors (staged, with cell, low and high) meet; `block` scores one."""
+def _joined(points: DataFrame, anchors: DataFrame, space: _Space, same_label: bool, block: Callable, n: int, part_rows: int, anchor_rows: int, scratch: Scratch) -> DataFrame:
+    """anchor, band, p, first, score from the blocks in which rows and anchors (staged, with cell, low and high) meet; `block` scores one.
+    n: the number of points."""
     spans = anchors.groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()  # at most a row for each pivot
     if not spans:
         return anchors.sparkSession.createDataFrame([], "anchor long, band double, p long, first long, score double")
@@ -197,16 +198,18 @@ def _joined(points: DataFrame, anchors: DataFrame, space: _Space, same_label: bo
     sent = points.select("p", F.col("ids")[0].alias("first"), "label", "v").mapInArrow(partial(_sent, space=space, cells=cells, low=low, high=high), "cell int, p long, first long, label long, v array<double>")
     # Rows of a cell (and label) are dealt over so many parts, and its anchors over so many sets, that a block is bounded.
     kind = F.col("label") if same_label else F.lit(0).cast("long")
-    sizes = points.groupBy(kind.alias("kind")).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts"))
-    plan = anchors.groupBy("cell", kind.alias("kind")).agg(F.ceil(F.count(F.lit(1)) / anchor_rows).alias("sets")).join(sizes, "kind")
-    plan = _few(staged(plan, "blocks"))
+    plan = anchors.groupBy("cell", kind.alias("kind")).agg(F.ceil(F.count(F.lit(1)) / anchor_rows).alias("sets"))
+    if same_label:
+        plan = plan.join(points.groupBy(F.col("label").alias("kind")).agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts")), "kind")
+    else:
+        plan = plan.withColumn("parts", F.lit(-(-n // part_rows)).cast("long"))
+    plan = _few(scratch(plan, "blocks"))
     keys = ["cell", "kind", "set", "part"]
     deal = lambda n: F.pmod(F.xxhash64("p"), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     rows = sent.withColumn("kind", kind).join(plan, ["cell", "kind"]).withColumn("part", deal("parts")).select("cell", "kind", "part", "p", "first", "label", "v", each("sets").alias("set"))
     asked = anchors.withColumn("kind", kind).join(plan, ["cell", "kind"]).withColumn("set", deal("sets")).select("cell", "kind", "set", *[c for c in anchors.columns if c not in ("cell", "low", "high")], each("parts").alias("part"))
-    hits = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(block, "anchor long, band double, p long, first long, score double")
-    return hits
+    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(block, "anchor long, band double, p long, first long, score double")
 
 
 def _merged(hits: DataFrame, points: DataFrame, k: int, parts: int) -> DataFrame:
@@ -231,9 +234,9 @@ def mine(
     label_col: str = "label",
     sample: int = 2_048,
     most_pivots: int = 1_024,
-    cell_anchors: int = 256,
+    cell_anchors: int = 1_024,
     part_rows: int = 4_096,
-    anchor_rows: int = 512,
+    anchor_rows: int = 1_024,
 ) -> DataFrame:
     """anchor_id, positive_id, rank (from 1), negative_id, positive_score, negative_score (doubles), exactly.
 
@@ -259,6 +262,7 @@ def mine(
     some = rows.groupBy("label", "v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(least(F.collect_list("id")).alias("ids"), F.max("asks").alias("asks"))
     made = some.groupBy("label", "v").agg(least(F.flatten(F.collect_list("ids"))).alias("ids"), F.max("asks").alias("asks"))
     # Written before it is read, so a point keeps its number whatever is computed again.
+    scratch = Scratch()
     points = staged(made.withColumn("p", F.monotonically_increasing_id()).select("p", "label", "ids", "asks", "v"), "points")
     norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)
     facts = points.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asks"), F.sqrt(F.max(norm)).alias("most"), F.max(F.size("v")).alias("dim")).first()
@@ -273,16 +277,16 @@ def mine(
     space = _Space(x, np.array([r["label"] for r in drawn]), facts["most"], int(min(most_pivots, -(-facts["asks"] // cell_anchors))))
 
     placed = "p long, label long, v array<double>, cell int, low double, high double"
-    anchors = staged(points.where("asks").select("p", "label", "v").mapInArrow(partial(_positive_reach, space=space, k=positives + 1), placed), "anchors")
-    hits = _joined(points, anchors, space, True, partial(_positives, dim=dim, k=positives + 1), part_rows, anchor_rows)
+    anchors = scratch(points.where("asks").select("p", "label", "v").mapInArrow(partial(_positive_reach, space=space, k=positives + 1), placed), "anchors")
+    hits = _joined(points, anchors, space, True, partial(_positives, dim=dim, k=positives + 1), facts["n"], part_rows, anchor_rows, scratch)
     near = staged(_merged(hits, points, positives + 1, parts).select("anchor", "top"), "positives")
 
     bands = near.select(F.col("anchor").alias("p"), F.array_distinct(F.transform("top", lambda t: -t["s"])).alias("bands"))
     placed = "p long, label long, v array<double>, bands array<double>, cell int, low double, high double"
     second = points.where("asks").select("p", "label", "v").join(bands, "p").mapInArrow(partial(_negative_reach, space=space, k=negatives, low=low, high=high), placed)
-    hits = _joined(points, staged(second, "banded"), space, False, partial(_negatives, dim=dim, k=negatives, low=low, high=high), part_rows, anchor_rows)
-    found = _merged(hits, points, negatives, parts)
-    found = found.groupBy("anchor").agg(F.collect_list(F.struct("band", "top")).alias("found"))
+    hits = _joined(points, scratch(second, "banded"), space, False, partial(_negatives, dim=dim, k=negatives, low=low, high=high), facts["n"], part_rows, anchor_rows, scratch)
+    found = staged(_merged(hits, points, negatives, parts).groupBy("anchor").agg(F.collect_list(F.struct("band", "top")).alias("found")), "negatives")
+    scratch.clear()
 
     both = near.join(found, "anchor").withColumnRenamed("anchor", "p")
     asking = rows.where("asks").select("id", "label", "v").join(points.where("asks").select("p", "label", "v"), ["label", "v"]).select("id", "p").distinct()

@@ -178,6 +178,17 @@ def test_contaminated_by_shuffles_alone(spark, monkeypatch):
     assert ordered(decontamination.contaminated(*both(spark, docs, items)).collect()) == leaks(docs, items)
 
 
+def test_tables_in_between_are_deleted(spark):
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared))
+    assert decontamination.contaminated(*both(spark, [(1, "a b c")], [(1, "b c")])).count() == 1
+    mine(spark, [(i, i % 2, [1.0, float(i % 5)]) for i in range(101)])
+    left = sorted(x.split("-")[1] for x in set(os.listdir(shared)) - before)
+    assert left == ["facts", "negatives", "points", "positives", "terms"]
+
+
 def test_contaminated_of_nothing(spark):
     none, some = [], [(1, "a b"), (None, None)]
     assert decontamination.contaminated(*both(spark, none, some)).collect() == []
