@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kithmesh.operators.neighbours import nearest_on_sphere
+from kithmesh.operators.staging import cut
 from kithmesh.operators.surface import land_lengths
 
 EARTH_M = 6378137.0
-MOST_NODES = 100_000
+FEW_NODES = 64
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH_M) -> Column:
@@ -38,57 +40,57 @@ def edge_costs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def nearest(points: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each point (id, lat, lon) with its nearest node and the distance in metres; ties to the smaller node. The node table is a
-    network: up to MOST_NODES nodes (counted here) it is sent to every task; a larger one is refused."""
-    if nodes.limit(MOST_NODES + 1).count() > MOST_NODES:
-        raise ValueError(f"a network has at most {MOST_NODES} nodes")
-    n = F.broadcast(nodes.select(F.col("id").alias("node"), F.col("lat").alias("nlat"), F.col("lon").alias("nlon")))
-    d = points.crossJoin(n).select("id", "node", haversine(F.col("lat"), F.col("lon"), F.col("nlat"), F.col("nlon")).alias("d"))
+    """Each point (id, lat, lon) with its nearest node and the distance in metres; ties to the smaller node; both are null for a point with a null
+    coordinate. Up to FEW_NODES nodes (counted here) are sent to every task; more are searched by cells."""
+    if nodes.limit(FEW_NODES + 1).count() > FEW_NODES:
+        return nearest_on_sphere(points, nodes, haversine, EARTH_M)
+    known = "lat is not null and lon is not null"
+    n = F.broadcast(nodes.where(known).select(F.col("id").alias("node"), F.col("lat").alias("nlat"), F.col("lon").alias("nlon")))
+    d = points.where(known).select("id", "lat", "lon").crossJoin(n).select("id", "node", haversine(F.col("lat"), F.col("lon"), F.col("nlat"), F.col("nlon")).alias("d"))
     best = d.groupBy("id").agg(F.min(F.struct("d", "node")).alias("b"))
-    return best.select("id", F.col("b.node").alias("node"), F.col("b.d").alias("distance"))
+    return points.select("id").join(best, "id", "left").select("id", F.col("b.node").alias("node"), F.col("b.d").alias("distance"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Ends the plan of an iteration: a checkpoint in the shared folder where one is set, else the cache."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+def _settled(old: DataFrame, new: DataFrame, keys: list[str], cost: str, also: str | None = None) -> bool:
+    """No row of `new` is missing in `old`, cheaper by more than rounding, or differs in `also`."""
+    was = old.select(*keys, F.col(cost).alias("_was"), *([F.col(also).alias("_as")] if also else []))
+    moved = F.col("_was").isNull() | (F.col(cost) < F.col("_was") * (1 - 1e-12))
+    if also:
+        moved = moved | (F.col(also) != F.col("_as"))
+    return new.join(was, keys, "left").where(moved).isEmpty()
 
 
 def all_pairs(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """src, dst, cost of the cheapest path of every connected pair (0 to itself), by squaring in the (min, +) sense. rounds: how often
-    paths are doubled; by default until nothing changes (log2 of the longest path)."""
+    paths are doubled; by default until no pair is new or cheaper (log2 of the longest path, and one more)."""
     e = both_ways(edges)
     ids = e.select("src").distinct()
-    d = e.unionByName(ids.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("cost"))).groupBy("src", "dst").agg(F.min("cost").alias("cost"))
-    k, before = 0, None
+    d = cut(e.unionByName(ids.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("cost"))).groupBy("src", "dst").agg(F.min("cost").alias("cost")))
+    k = 0
     while rounds is None or k < rounds:
         right = d.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("cost").alias("more"))
-        d = d.join(right, "dst").groupBy("src", F.col("end").alias("dst")).agg(F.min(F.col("cost") + F.col("more")).alias("cost"))
+        old, d = d, cut(d.join(right, "dst").groupBy("src", F.col("end").alias("dst")).agg(F.min(F.col("cost") + F.col("more")).alias("cost")))
         k += 1
-        d = _cut(d)
-        if rounds is None:
-            now = tuple(d.agg(F.count(F.lit(1)), F.sum("cost")).first())
-            if now == before:
-                break
-            before = now
+        if rounds is None and _settled(old, d, ["src", "dst"], "cost"):
+            break
     return d
 
 
 def path_costs(edges: DataFrame, source, rounds: int | None = None) -> DataFrame:
-    """id, cost from the source by relaxations, until none changes a cost, or `rounds` of them; unreachable nodes are left out."""
+    """id, cost from the source by relaxations, until none makes a node reachable or cheaper, or `rounds` of them; unreachable nodes are left out."""
     e = both_ways(edges)
     stay = e.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(0.0).alias("cost"))
-    e = _cut(e.unionByName(stay))  # staying costs nothing, so a round needs the costs so far only once
-    d = stay.where(F.col("src") == source).select(F.col("src").alias("id"), F.col("cost").alias("upto"))
-    k, before = 0, None
+    e = cut(e.unionByName(stay))  # staying costs nothing, so a round needs the costs so far only once
+    d = old = stay.where(F.col("src") == source).select(F.col("src").alias("id"), F.col("cost").alias("upto"))
+    k = 0
     while rounds is None or k < rounds:
         d = d.join(e, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("upto") + F.col("cost")).alias("upto"))
         k += 1
         if k % 4 == 0:
-            d = _cut(d)
-            now = tuple(d.agg(F.count(F.lit(1)), F.sum("upto")).first())
-            if rounds is None and now == before:
+            d = cut(d)
+            if rounds is None and _settled(old, d, ["id"], "upto"):
                 break
-            before = now
+            old = d
     return d.select("id", F.col("upto").alias("cost"))
 
 
@@ -136,32 +138,31 @@ def network_distances(points: DataFrame, nodes: DataFrame, paths: DataFrame, rin
 
 def pairwise_distances(near: DataFrame, paths: DataFrame) -> DataFrame:
     """i, j, v (km) for every ordered pair of different points: both connectors (id, node, cost) and the path between their nodes, the mean of
-    the two directions; 0 where there is no path."""
+    the two directions; 0 where there is no path. The result has a row for each pair; points meet through the pairs of nodes alone."""
     a, b = (near.select(F.col("id").alias(x), F.col("node").alias(f"n{x}"), F.col("cost").alias(f"c{x}")) for x in "ij")
     net = paths.select(F.col("src").alias("ni"), F.col("dst").alias("nj"), "cost")
     back = paths.select(F.col("dst").alias("ni"), F.col("src").alias("nj"), F.col("cost").alias("back"))
+    # Every ordered pair of nodes that have points, with its path if there is one: nodes are few beside points.
+    used = near.select("node").distinct()
+    every = used.select(F.col("node").alias("ni")).crossJoin(used.select(F.col("node").alias("nj")))
+    both = every.join(net.join(back, ["ni", "nj"]), ["ni", "nj"], "left")
     v = F.coalesce((F.col("ci") + F.col("cj") + (F.col("cost") + F.col("back")) / 2) / 1000, F.lit(0.0))
-    found = a.join(net.join(back, ["ni", "nj"]), "ni").join(b, "nj").where("i <> j").select("i", "j", v.alias("v"))
-    apart = a.join(b, F.col("i") != F.col("j")).select("i", "j").join(found, ["i", "j"], "left_anti")
-    return found.unionByName(apart.select("i", "j", F.lit(0.0).alias("v")))
+    return a.join(both, "ni").join(b, "nj").where("i <> j").select("i", "j", v.alias("v"))
 
 
 def traced_paths(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """src, dst, cost, path: as all_pairs, with the nodes of the cheapest path from src to dst (of equally cheap ones the smallest sequence)."""
     e = both_ways(edges)
     ids = e.select("src").distinct()
-    d = e.select("src", "dst", "cost", F.array("src", "dst").alias("path")).unionByName(ids.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("cost"), F.array("src").alias("path")))
-    k, before = 0, None
+    d = cut(e.select("src", "dst", "cost", F.array("src", "dst").alias("path")).unionByName(ids.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("cost"), F.array("src").alias("path"))))
+    k = 0
     while rounds is None or k < rounds:
         right = d.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("cost").alias("more"), F.slice("path", 2, 1_000_000).alias("rest"))
         best = F.min(F.struct((F.col("cost") + F.col("more")).alias("cost"), F.concat("path", "rest").alias("path"))).alias("best")
-        d = _cut(d.join(right, "dst").groupBy("src", F.col("end").alias("dst")).agg(best).select("src", "dst", "best.*"))
+        old, d = d, cut(d.join(right, "dst").groupBy("src", F.col("end").alias("dst")).agg(best).select("src", "dst", "best.*"))
         k += 1
-        if rounds is None:
-            now = tuple(d.agg(F.count(F.lit(1)), F.sum("cost")).first())
-            if now == before:
-                break
-            before = now
+        if rounds is None and _settled(old, d, ["src", "dst"], "cost", "path"):
+            break
     return d
 
 
@@ -175,7 +176,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         new = lab.join(near, lab["id"] == near["a"], "left").select("id", F.least("component", "m").alias("component"), (F.coalesce(F.col("m") < F.col("component"), F.lit(False))).alias("moved"))
         jump = new.select(F.col("id").alias("component"), F.col("component").alias("further"))
         new = new.join(jump, "component", "left").select("id", F.coalesce("further", "component").alias("component"), "moved")
-        new = _cut(new)
+        new = cut(new)
         if not new.where("moved").limit(1).count():
             return new.select("id", "component")
         lab = new.select("id", "component")

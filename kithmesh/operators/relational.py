@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kithmesh.functions import dist
+from kithmesh.operators.staging import fresh
 
 
 def strict_box(points: DataFrame, south: float, north: float, west: float, east: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -26,8 +27,9 @@ def keep_unless(df: DataFrame, *all_of: list[Column]) -> DataFrame:
 
 def within_sd(df: DataFrame, value: str, sds: float = 1.0) -> DataFrame:
     """Rows whose value lies within `sds` sample deviations of the mean, bounds included; nulls go."""
-    b = df.agg((F.avg(value) - sds * F.stddev_samp(value)).alias("_lo"), (F.avg(value) + sds * F.stddev_samp(value)).alias("_hi"))
-    return df.crossJoin(F.broadcast(b)).where(F.col(value).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    low, high = fresh(df, "low"), fresh(df, "high")
+    b = df.agg((F.avg(value) - sds * F.stddev_samp(value)).alias(low), (F.avg(value) + sds * F.stddev_samp(value)).alias(high))
+    return df.crossJoin(F.broadcast(b)).where(F.col(value).between(F.col(low), F.col(high))).drop(low, high)
 
 
 def columns_like(df: DataFrame, pattern: str, always: tuple[str, ...] = (), kinds: tuple[str, ...] = ()) -> DataFrame:
@@ -52,7 +54,8 @@ def impute_one(cells: DataFrame, value: str, fill: float = 0.0, permitted: int =
 
 def first_per_group(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """One row per group: the first in the given order, which should have no ties."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+    n = fresh(df, "n")
+    return df.withColumn(n, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(n) == 1).drop(n)
 
 
 def top_per_group(df: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:

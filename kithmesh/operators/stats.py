@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kithmesh.functions import dist
+from kithmesh.operators.staging import fresh, ranked
 
 
 def bh(df: DataFrame, p: str, family: list[str], out: str = "p_adj") -> DataFrame:
@@ -19,7 +20,8 @@ def bh(df: DataFrame, p: str, family: list[str], out: str = "p_adj") -> DataFram
     up = Window.partitionBy(*family).orderBy(p).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     down = Window.partitionBy(*family).orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     n = F.count(p).over(Window.partitionBy(*family))
-    return df.withColumn("_rank", F.count(p).over(up)).withColumn("_raw", F.col(p) * n / F.col("_rank")).withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(down))).drop("_rank", "_raw")
+    rank, raw = fresh(df, "rank"), fresh(df, "raw")
+    return df.withColumn(rank, F.count(p).over(up)).withColumn(raw, F.col(p) * n / F.col(rank)).withColumn(out, F.least(F.lit(1.0), F.min(raw).over(down))).drop(rank, raw)
 
 
 def empirical_upper(nulls: DataFrame, observed: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -294,3 +296,14 @@ def density(values: DataFrame, by: str, value: str, points: int = 64) -> DataFra
     grid = q.select(by, "h", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.col("lo") - 3 * F.col("h") + k * (F.col("hi") - F.col("lo") + 6 * F.col("h")) / (points - 1))).alias("x"))
     z = (F.col("x") - F.col(value)) / F.col("h")
     return values.select(by, value).join(grid, by).groupBy(by, "x").agg((F.sum(F.exp(-0.5 * z * z)) / F.max(F.col("n") * F.col("h") * math.sqrt(2 * math.pi))).alias("y"))
+
+
+def tiles(df: DataFrame, order: list, n: int, out: str) -> DataFrame:
+    """Adds `out`, the number from 1 to n of the row's part of the whole table in the given order; parts differ by one row at most, larger ones first. Rows are
+    numbered by ranges, not in one task."""
+    rank, size = fresh(df, "rank"), fresh(df, "size")
+    t = ranked(df, order, rank).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias(size))))
+    least, more = F.floor(F.col(size) / n), F.col(size) % n
+    early = more * (least + 1)
+    part = F.when(F.col(rank) <= early, F.ceil(F.col(rank) / (least + 1))).otherwise(more + F.ceil((F.col(rank) - early) / F.greatest(least, F.lit(1))))
+    return t.select(*df.columns, part.cast("long").alias(out))

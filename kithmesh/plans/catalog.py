@@ -45,13 +45,13 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from kithmesh.plans import verbs  # noqa: F401  registers its queries here
+    from kithmesh.plans import structures, verbs  # noqa: F401  register their queries here
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from kithmesh.plans import verbs  # noqa: F401
+    from kithmesh.plans import structures, verbs  # noqa: F401
 
     return dict(_SQL)
 
@@ -485,17 +485,17 @@ _PATR = f"WITH p AS ({_TIP}) SELECT a.id AS i, b.id AS j, (a.own + b.own + CASE
 
 @_query(_PATR)
 def patristic(t):
-    return tree.patristic(_tree(t), _tips(t), 3)
+    return tree.patristic(_tree(t), _tips(t))
 
 
 @_query(f"WITH p AS ({_TIP}) SELECT a.id AS i, b.id AS j, (CASE WHEN a.id = b.id THEN a.up + a.own WHEN a.r = b.r THEN a.up ELSE 0 END)::DOUBLE AS v FROM p a JOIN p b ON a.id <= b.id")
 def phylo_vcv(t):
-    return tree.shared_depth(_tree(t), _tips(t), 3)
+    return tree.shared_depth(_tree(t), _tips(t))
 
 
 @_query(f"WITH p AS ({_TIP}) SELECT a.id AS i, b.id AS j, round(CASE WHEN a.id = b.id THEN 1 WHEN a.r = b.r THEN 0.5 * a.up / (sqrt((a.up + a.own)::DOUBLE) * sqrt((b.up + b.own)::DOUBLE)) ELSE 0 END, 9)::DOUBLE AS v FROM p a JOIN p b ON a.id <= b.id")
 def pagel_correlation(t):
-    return tree.pagel(tree.shared_depth(_tree(t), _tips(t), 3), 0.5)
+    return tree.pagel(tree.shared_depth(_tree(t), _tips(t)), 0.5)
 
 
 @_query("SELECT DISTINCT 'World, ' || r_name || ', ' || n_name || ', ' || c_mktsegment AS path, c_mktsegment AS level4, n_name AS level3, c_mktsegment AS level9 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -558,7 +558,7 @@ def pair_corr(t):
 
 def _tip_data(t: _Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = t.customer.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("y"), F.count(F.lit(1)).alias("x")).orderBy("c_nationkey").collect()
-    names, cov = models.matrix(tree.shared_depth(_tree(t), _tips(t), 3))
+    names, cov = models.matrix(tree.shared_depth(_tree(t), _tips(t)))
     keep = [names.index(r["c_nationkey"]) for r in rows]
     return np.array([r["y"] for r in rows]) / 1e4, np.array([float(r["x"]) for r in rows]), cov[np.ix_(keep, keep)]
 
@@ -594,11 +594,13 @@ def bayes_waic(t):
 
 # --- vectors, clusters, surfaces -------------------------------------------------------------------------------------------
 
-_PTS = "SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS x, round(embedding[2]::DOUBLE, 6) AS y FROM embeddings"
+# Two directions over all components: signs that alternate by one and by two places.
+_PTS = "SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * embedding[i]::DOUBLE)) / 8, 6) AS x, round(list_sum(list_transform(range(1, 65), lambda i: (CASE WHEN (i - 1) // 2 % 2 = 0 THEN 1 ELSE -1 END) * embedding[i]::DOUBLE)) / 8, 6) AS y FROM embeddings"
 
 
 def _points(t: _Tables) -> DataFrame:
-    return t.embeddings.select(F.col("vec_id").alias("entity"), F.col("vec_id").alias("ord"), F.round(F.col("embedding")[0].cast("double"), 6).alias("x"), F.round(F.col("embedding")[1].cast("double"), 6).alias("y"))
+    along = lambda sign: F.round(F.aggregate(F.transform("embedding", lambda x, i: F.when(sign(i), 1).otherwise(-1) * x.cast("double")), F.lit(0.0), lambda a, x: a + x) / 8, 6)
+    return t.embeddings.select(F.col("vec_id").alias("entity"), F.col("vec_id").alias("ord"), along(lambda i: i % 2 == 0).alias("x"), along(lambda i: F.floor(i / 2) % 2 == 0).alias("y"))
 
 
 @_query()
@@ -608,21 +610,26 @@ def pca_scores(t):
 
 @_query(f"WITH p AS ({_PTS}), d AS (SELECT a.vec_id AS entity, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY d) AS r FROM d) SELECT entity, round(d, 9) AS d FROM r WHERE r = 4")
 def knn_distance(t):
-    return cluster.knn_distance(_points(t), 4, 0.05)
+    return cluster.knn_distance(_points(t), 4)
 
 
-@_query(f"WITH p AS ({_PTS}), s AS (SELECT x, row_number() OVER (ORDER BY x) AS rank FROM p), e AS (SELECT min(x) AS lo, max(x) AS hi, max(rank) AS n FROM s), g AS (SELECT rank, x, round(abs((rank - 1) / (n - 1) - (x - lo) / (hi - lo)), 12) AS gap FROM s, e) SELECT rank, round(x, 9) AS value FROM g ORDER BY gap DESC, rank LIMIT 1")
+_KNEE = f"""p AS ({_PTS}), d AS (SELECT a.vec_id AS entity, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON a.vec_id <> b.vec_id),
+kd AS (SELECT d FROM d QUALIFY row_number() OVER (PARTITION BY entity ORDER BY d) = 4), s AS (SELECT d, row_number() OVER (ORDER BY d) AS rank FROM kd), e AS (SELECT min(d) AS lo, max(d) AS hi, max(rank) AS n FROM s),
+knee AS (SELECT rank, d AS value FROM s, e ORDER BY round(abs((rank - 1) / (n - 1) - (d - lo) / (hi - lo)), 12) DESC, rank LIMIT 1)"""
+
+
+@_query(f"WITH {_KNEE} SELECT rank, round(value, 9) AS value FROM knee")
 def knee_eps(t):
-    return cluster.knee(_points(t), "x")
+    return cluster.knee(cluster.knn_distance(_points(t), 4), "d")
 
 
-@_query(f"""WITH RECURSIVE p AS ({_PTS}), near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.0004),
+@_query(f"""WITH RECURSIVE {_KNEE}, near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= (SELECT value * value FROM knee)),
 core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 4), link AS (SELECT a, b FROM near SEMI JOIN core USING (a) WHERE b IN (SELECT a FROM core)),
 reach AS (SELECT a, a AS b FROM core UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b), comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
 num AS (SELECT a, dense_rank() OVER (ORDER BY c) AS cluster FROM comp), edge AS (SELECT near.a, min(cluster) AS cluster FROM near JOIN num ON num.a = near.b WHERE near.a NOT IN (SELECT a FROM core) GROUP BY near.a)
-SELECT vec_id AS entity, coalesce(num.cluster, edge.cluster, 0) AS cluster FROM p LEFT JOIN num ON num.a = vec_id LEFT JOIN edge ON edge.a = vec_id""")
+SELECT vec_id AS entity, coalesce(num.cluster, edge.cluster, 0) AS cluster, (SELECT round(value, 9) FROM knee) AS eps FROM p LEFT JOIN num ON num.a = vec_id LEFT JOIN edge ON edge.a = vec_id""")
 def dbscan(t):
-    return cluster.dbscan(_points(t), 0.02, 4)
+    return cluster.clustered(_points(t), 4)
 
 
 @_query("WITH m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY label) SELECT a.label::BIGINT AS i, b.label::BIGINT AS j, round(sum(a.x * b.x) / (max(p.n) * max(q.n) + 1e-9), 9) AS v FROM m a JOIN m b ON a.i = b.i JOIN n p ON p.label = a.label JOIN n q ON q.label = b.label GROUP BY ALL")
@@ -650,14 +657,6 @@ def node_value(t):
     return surface.node_values(_ratios(t), _nodes(t))
 
 
-_GRID = [((0.0, 0.0, 1.0), (2.0, 0.0, 2.0), (0.0, 2.0, 4.0)), ((2.0, 0.0, 2.0), (2.0, 2.0, 8.0), (0.0, 2.0, 4.0))]
-
-
-@_query("SELECT round(lon, 9) AS lon, round(lat, 9) AS lat, round(CASE WHEN lon + lat <= 2 + 1e-12 THEN 1 + lon * 0.5 + lat * 1.5 ELSE 8 - (2 - lat) * 3 - (2 - lon) * 2 END, 9) AS value FROM (SELECT i % 21 * 0.1::DOUBLE AS lon, i // 21 * 0.1::DOUBLE AS lat FROM (SELECT unnest(range(441)) AS i))")
-def raster_grid(t):
-    return surface.raster(t.spark, _GRID, 21, 21, (0.0, 2.0, 0.0, 2.0))
-
-
 @_query()
 def surface_cv(t):
     parts = t.embeddings.select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -723,9 +722,7 @@ def quantile_picks(t):
 
 @_query("SELECT p_partkey, ntile(3) OVER (ORDER BY p_retailprice, p_partkey) AS tier FROM part")
 def tertiles(t):
-    from pyspark.sql import Window
-
-    return t.part.select("p_partkey", F.ntile(3).over(Window.orderBy("p_retailprice", "p_partkey")).alias("tier"))
+    return stats.tiles(t.part.select("p_partkey", "p_retailprice"), ["p_retailprice", "p_partkey"], 3, "tier").select("p_partkey", "tier")
 
 
 @_query("WITH a AS (SELECT *, (lag(o_orderstatus) OVER w IS DISTINCT FROM o_orderstatus OR row_number() OVER w = 1)::BIGINT AS new FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)), b AS (SELECT *, sum(new) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM a) SELECT o_custkey, run, min(o_orderstatus) AS o_orderstatus, count(*) AS length, min(o_orderkey) AS first, max(o_orderkey) AS last FROM b GROUP BY o_custkey, run")

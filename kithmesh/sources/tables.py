@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kithmesh.operators.staging import fresh
 from kithmesh.operators.tree import parse_nexus, tree_frame
 
 
@@ -84,8 +85,10 @@ def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> Dat
 
 def exclude_box(points: DataFrame, region: DataFrame, buffer_km: float = 1000.0, km_per_degree: float = 111.32) -> DataFrame:
     """Points (lat, lon) outside the box of the region's points widened by buffer_km; null coordinates are dropped."""
-    b = region.agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d"), F.avg("lat").alias("m"))
-    dy, dx = F.lit(buffer_km / km_per_degree), buffer_km / (km_per_degree * F.cos(F.radians("m")))
+    box = fresh(points, "box")
+    b = region.agg(F.struct(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"), F.avg("lat").alias("middle")).alias(box))
+    at = lambda side: F.col(box)[side]
+    dy, dx = F.lit(buffer_km / km_per_degree), buffer_km / (km_per_degree * F.cos(F.radians(at("middle"))))
     p = points.crossJoin(F.broadcast(b))
-    inside = (F.col("lat") >= F.col("a") - dy) & (F.col("lat") <= F.col("b") + dy) & (F.col("lon") >= F.col("c") - dx) & (F.col("lon") <= F.col("d") + dx)
-    return p.where(~inside).select(*points.columns)
+    inside = (F.col("lat") >= at("south") - dy) & (F.col("lat") <= at("north") + dy) & (F.col("lon") >= at("west") - dx) & (F.col("lon") <= at("east") + dx)
+    return p.where(~inside).drop(box)

@@ -111,7 +111,7 @@ def test_tree(spark):
     df = tree.tree_frame(spark, t)
     tips = df.where("label is not null").select("node")
     name = {r["node"]: r["label"] for r in df.where("label is not null").collect()}
-    d = {(name[r["i"]], name[r["j"]]): r["v"] for r in tree.patristic(df, tips, 4).collect()}
+    d = {(name[r["i"]], name[r["j"]]): r["v"] for r in tree.patristic(df, tips).collect()}
     assert d == {("a", "b"): 3, ("a", "c d"): 8, ("b", "c d"): 9}
     assert sorted(x[3] for x in tree.prune(t, {"a", "b"}) if x[3]) == ["a", "b"]
     text = "#NEXUS\nbegin trees;\n translate\n 1 one,\n 2 two;\n tree T = [&R] (1:1,2:2);\nend;\n"
@@ -143,7 +143,7 @@ def test_clusters(spark):
     pts = [("a", 0, 0.0, 0.0), ("b", 1, 0.1, 0.0), ("c", 2, 0.0, 0.1), ("d", 3, 5.0, 5.0), ("e", 4, 5.1, 5.0), ("f", 5, 5.0, 5.1), ("g", 6, 9.0, 0.0)]
     df = spark.createDataFrame(pts, "entity string, ord long, x double, y double")
     assert {r["entity"]: r["cluster"] for r in cluster.dbscan(df, 0.2, 3).collect()} == {"a": 1, "b": 1, "c": 1, "d": 2, "e": 2, "f": 2, "g": 0}
-    d = {r["entity"]: r["d"] for r in cluster.knn_distance(df, 1, 0.5).collect()}
+    d = {r["entity"]: r["d"] for r in cluster.knn_distance(df, 1).collect()}
     assert len(d) == 7 and d["a"] == pytest.approx(0.1) and d["g"] > 6
     v = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [2.0, 2.0]), ("c", [4.0, 4.1])], "entity string, vector array<double>")
     scores, load, share = cluster.pca(v)
