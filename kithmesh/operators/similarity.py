@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kithmesh.operators.staging import ranked
+
 EPS = 1e-9
 
 
@@ -65,15 +67,46 @@ def unit(vectors: DataFrame) -> DataFrame:
     return vectors.join(norms, "entity").select("entity", "feature", (F.col("v") / F.col("n")).alias("u"))
 
 
-def contributions(vectors: DataFrame, core: DataFrame, entity: str) -> DataFrame:
-    """feature, contribution, share, rank: what each feature adds to the mean similarity of `entity` to the core's entities."""
-    u = unit(vectors)
+def centroid(units: DataFrame, core: DataFrame) -> DataFrame:
+    """feature, c: mean of the unit vectors of the core's entities; where an entity lacks a feature it counts 0."""
     n = core.agg(F.count(F.lit(1)).alias("n_core"))
-    centre = u.join(core.select("entity"), "entity", "left_semi").groupBy("feature").agg(F.sum("u").alias("s")).crossJoin(F.broadcast(n)).select("feature", (F.col("s") / F.col("n_core")).alias("c"))
-    one = u.where(F.col("entity") == entity).join(centre, "feature").select("feature", (F.col("u") * F.col("c")).alias("contribution"))
-    total = one.agg(F.sum("contribution").alias("t"))
-    ranked = Window.orderBy(F.desc("contribution"), "feature")  # one entity's features: a bounded report
-    return one.crossJoin(F.broadcast(total)).select("feature", "contribution", (F.col("contribution") / F.col("t")).alias("share"), F.row_number().over(ranked).cast("long").alias("rank"))
+    return units.join(core.select("entity"), "entity", "left_semi").groupBy("feature").agg(F.sum("u").alias("s")).crossJoin(F.broadcast(n)).select("feature", (F.col("s") / F.col("n_core")).alias("c"))
+
+
+def contributions(vectors: DataFrame, core: DataFrame, entities: DataFrame) -> DataFrame:
+    """entity, feature, contribution, share, rank: what each feature adds to the mean similarity of each of `entities` to the core's entities, its share of the
+    entity's whole, and its place among the entity's features."""
+    u = unit(vectors)
+    one = u.join(entities.select("entity"), "entity", "left_semi").join(centroid(u, core), "feature").select("entity", "feature", (F.col("u") * F.col("c")).alias("contribution"))
+    total = one.groupBy("entity").agg(F.sum("contribution").alias("t"))
+    rows = one.join(total, "entity").select("entity", "feature", "contribution", (F.col("contribution") / F.col("t")).alias("share"))
+    return ranked(rows, [F.col("contribution").desc(), "feature"], "rank", ["entity"])
+
+
+def core_within(pairs: DataFrame, core: DataFrame, sds: float = 1.0) -> DataFrame:
+    """entity: those of the core whose mean similarity (over their rows i of pairs) lies within `sds` sample deviations of the mean of these means, bounds
+    included. One entity alone stays."""
+    m = pairs.join(core.select(F.col("entity").alias("i")), "i", "left_semi").groupBy(F.col("i").alias("entity")).agg(F.avg("v").alias("m"))
+    b = m.agg(F.avg("m").alias("mid"), F.coalesce(F.stddev_samp("m"), F.lit(0.0)).alias("sd"))
+    return m.crossJoin(F.broadcast(b)).where(F.col("m").between(F.col("mid") - sds * F.col("sd"), F.col("mid") + sds * F.col("sd"))).select("entity")
+
+
+def compared_decompositions(vectors: DataFrame, pairs: DataFrame, core: DataFrame, entities: DataFrame) -> DataFrame:
+    """entity, feature, centre, centre_share, partner, most, most_share: side by side what each feature adds to an entity's mean similarity to the core, and to its similarity to
+    its partner, the row i of pairs (i, j: the entity) that it is most similar to, ties to the smaller name.
+
+    Features that add something to one of the two are listed, with 0 for the other; shares are of each sum. All entities are done in the same joins on features. An entity
+    without a partner (no pair, or only null ones) has a null one and zeros; one that isn't in `vectors` has no row."""
+    u = unit(vectors)
+    of = u.join(entities.select("entity"), "entity", "left_semi")
+    best = pairs.where("v is not null").join(entities.select(F.col("entity").alias("j")), "j", "left_semi").groupBy(F.col("j").alias("entity")).agg(F.min(F.struct((-F.col("v")).alias("v"), "i")).alias("b")).select("entity", F.col("b.i").alias("partner"))
+    central = of.join(centroid(u, core), "feature").select("entity", "feature", (F.col("u") * F.col("c")).alias("centre")).where("centre > 0")
+    theirs = best.join(u.withColumnRenamed("entity", "partner").withColumnRenamed("u", "w"), "partner").select("entity", "feature", "w")
+    paired = of.join(theirs, ["entity", "feature"]).select("entity", "feature", (F.col("u") * F.col("w")).alias("most")).where("most > 0")
+    both = central.join(paired, ["entity", "feature"], "full").na.fill(0.0, ["centre", "most"])
+    sums = both.groupBy("entity").agg(F.sum("centre").alias("tc"), F.sum("most").alias("tm"))
+    share = lambda x, t: F.coalesce(F.col(x) / F.nullif(F.col(t), F.lit(0.0)), F.lit(0.0))
+    return both.join(sums, "entity").join(best, "entity", "left").select("entity", "feature", "centre", share("centre", "tc").alias("centre_share"), "partner", "most", share("most", "tm").alias("most_share"))
 
 
 def core_rank(pairs: DataFrame, core: DataFrame) -> DataFrame:

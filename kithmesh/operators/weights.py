@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kithmesh.operators.staging import cut
+
 
 def presence(rows: DataFrame, entity: str, feature: str) -> DataFrame:
     """Distinct (entity, feature) pairs without nulls."""
@@ -50,6 +52,33 @@ def coverage_prune(long: DataFrame, least_entities: int = 80, least_features: in
     return long
 
 
+def prune_until_stable(long: DataFrame, least_entities: int = 80, least_features: int = 50) -> DataFrame:
+    """The rows (entity, feature, value) of the largest part of the table in which every feature has `least_entities` non-null entities and every entity `least_features`
+    non-null features; rows with a null value stay if their feature and entity do. Empty if there is no such part.
+
+    Counts are taken once. In each round the features, then the entities, that fell below their bound go, and only their own cells are read to lower the counts on the other side, until
+    no count is too low: the work of all rounds together is bounded by the cells that go. Repeated cells count once; a null entity or feature is none."""
+    cells = cut(long.where("value is not null and entity is not null and feature is not null").select("entity", "feature").distinct())
+    held = {"feature": cells.groupBy("feature").agg(F.count(F.lit(1)).alias("n")), "entity": cells.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))}
+    least = {"feature": least_entities, "entity": least_features}
+    named = long.select("feature", "entity").where("entity is not null and feature is not null")
+    # Those that have rows, but no value at all, have a count of 0.
+    held = {c: cut(named.select(c).distinct().join(n, c, "left").na.fill(0, ["n"])) for c, n in held.items()}
+    quiet, side, other = 0, "feature", "entity"
+    while quiet < 2:
+        gone = cut(held[side].where(F.col("n") < least[side]).select(side))
+        if gone.isEmpty():
+            quiet += 1
+        else:
+            quiet = 0
+            held[side] = cut(held[side].join(gone, side, "left_anti"))
+            fewer = cells.join(gone, side, "left_semi").groupBy(other).agg(F.count(F.lit(1)).alias("less"))
+            held[other] = cut(held[other].join(fewer, other, "left").select(other, (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")))
+            cells = cut(cells.join(gone, side, "left_anti"))
+        side, other = other, side
+    return long.join(held["feature"].select("feature"), "feature", "left_semi").join(held["entity"].select("entity"), "entity", "left_semi").select(*long.columns)
+
+
 def one_hot(long: DataFrame, least_levels: int = 3) -> DataFrame:
     """Features with at least `least_levels` observed values become one 0/1 feature per value, named feature_value; a null
     value stays null in each of them. Other features stay as they are, their value as a number."""

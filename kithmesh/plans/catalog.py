@@ -45,13 +45,13 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from kithmesh.plans import structures, verbs  # noqa: F401  register their queries here
+    from kithmesh.plans import inventories, structures, verbs  # noqa: F401  register their queries here
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from kithmesh.plans import structures, verbs  # noqa: F401
+    from kithmesh.plans import inventories, structures, verbs  # noqa: F401
 
     return dict(_SQL)
 
@@ -188,12 +188,11 @@ def delta_over_control(t):
 
 @_query(_BASE + """, un AS (SELECT entity, feature, v / norm AS u FROM vec JOIN norm USING (entity)), core AS (SELECT entity FROM roles WHERE role = 'study'),
 cen AS (SELECT feature, sum(u) / (SELECT count(*) FROM core) AS c FROM un SEMI JOIN core USING (entity) GROUP BY feature),
-one AS (SELECT feature, u * c AS x FROM un JOIN cen USING (feature) WHERE entity = (SELECT min(entity) FROM norm))
-SELECT feature, round(x, 9) AS contribution, round(x / sum(x) OVER (), 9) AS share, rank() OVER (ORDER BY x DESC, feature) AS rank FROM one""")
+one AS (SELECT entity, feature, u * c AS x FROM un JOIN cen USING (feature) SEMI JOIN (SELECT entity FROM roles WHERE role = 'interest') USING (entity))
+SELECT entity, feature, round(x, 9) AS contribution, round(x / sum(x) OVER (PARTITION BY entity), 9) AS share, row_number() OVER (PARTITION BY entity ORDER BY x DESC, feature) AS rank FROM one""")
 def contribution_decomposition(t):
-    v = _vectors(t)
-    first = v.agg(F.min("entity")).first()[0]
-    return similarity.contributions(v, _roles(t).where("role = 'study'"), first)
+    r = _roles(t)
+    return similarity.contributions(_vectors(t), r.where("role = 'study'"), r.where("role = 'interest'"))
 
 
 @_query(_BASE + "SELECT j, round(avg(v), 9) AS mean, rank() OVER (ORDER BY avg(v) DESC) AS rank FROM pairs GROUP BY j")

@@ -39,7 +39,7 @@ def test_cosine_is_symmetric_and_bounded(present):
 def test_contributions_sum_to_mean_similarity(spark, present):
     v = similarity.weighted(present, weights.idf(present, n_total=5))
     core = spark.createDataFrame([("b",), ("c",)], "entity string")
-    total = sum(r["contribution"] for r in similarity.contributions(v, core, "a").collect())
+    total = sum(r["contribution"] for r in similarity.contributions(v, core, v.where("entity = 'a'").select("entity").distinct()).collect())
     mean = np.mean([r["v"] for r in similarity.cosine(v, core, spark.createDataFrame([("a",)], "entity string")).collect()])
     assert total == pytest.approx(mean, abs=1e-6)
 
