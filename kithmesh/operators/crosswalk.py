@@ -14,7 +14,7 @@ LEVELS = ("exact", "composed", "letters and marks")
 def keys(symbol: str) -> list[Column]:
     """A key for each of LEVELS: the symbol itself; its composed form without tie bars; its letters without marks, and its sorted marks."""
     apart = tx.nfd(F.col(symbol))
-    return [F.col(symbol), tx.nfc(F.col(symbol)), F.concat_ws("|", tx.base_symbol(apart), tx.modifiers(apart))]
+    return [F.col(symbol), tx.nfc(F.col(symbol)), F.concat(tx.base_symbol(apart), F.lit("|"), tx.modifiers(apart))]
 
 
 def first_match(left: DataFrame, right: DataFrame, left_keys: list[Column], right_keys: list[Column], prefer: list[Column], out: str = "match", level: str = "level") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kithmesh.operators.staging import fresh
@@ -34,6 +34,50 @@ def read_after_preamble(spark: SparkSession, path: str, header_prefix: str | Non
     return body.where("value <> ''").select(*[F.nullif(F.get(parts, F.lit(k)), F.lit("")).alias(c) for k, c in enumerate(names or [])])
 
 
+def read_records(spark: SparkSession, path: str, schema: str, skip: int = 0, sep: str = "\t", null: str = "NA", zero: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """Delimited text without a header, its columns given by place, name and type in `schema`, after a preamble of `skip` lines in each file.
+
+    Fields that are `null`, empty or not of their type are null (strict: one that isn't of its type is an error); in the columns of `zero` null becomes 0. Missing fields at the end of a line are null,
+    further ones are dropped, and lines without a character are left out. A file may be read in many splits: the preamble ends at a line
+    that is found by the splits' places in the file, also if it runs over several of them. Quotes keep separators, not line ends."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    if skip:
+        # A split's lines are numbered in their order, and splits lie one after another: the first skip + 1 lines of a file by (block, n).
+        order = F.struct("block", "n")
+        first = lines.select("file", "block", "n").withColumn("r", F.row_number().over(Window.partitionBy("file").orderBy("block", "n"))).where(F.col("r") <= skip)
+        last = first.groupBy("file").agg(F.max(order).alias("last"), F.count(F.lit(1)).alias("seen")).where(F.col("seen") == skip)
+        lines = lines.join(F.broadcast(last.select("file", "last")), "file").where(order > F.col("last"))
+    options = {"sep": sep, "nullValue": null, "emptyValue": "", "mode": "FAILFAST" if strict else "PERMISSIVE"}
+    rows = lines.where("value <> ''").select(F.from_csv("value", schema, options).alias("r")).select("r.*")
+    return rows.na.fill(0, zero) if zero else rows
+
+
+def feature_values(rows: DataFrame, wanted: list[str], entity: str = "Language_ID", feature: str = "Parameter_ID", value: str = "Value", unknown: str = "?", keep_null: bool = True) -> DataFrame:
+    """entity, feature, value of an exported table of codings, for the wanted features alone (by name, in any case, given back as in the table): `unknown` and
+    what isn't a number is null. keep_null: an entity that has any of the features has a row for each of them, null where it has no coding; else only known values
+    stay. Of several codings of one cell the smallest known one counts."""
+    names = [w.lower() for w in wanted]
+    chosen = rows.where(F.lower(feature).isin(names)).select(F.col(entity).alias("entity"), F.col(feature).alias("feature"), F.expr(f"try_cast(nullif(`{value}`, '{unknown}') as int)").alias("value"))
+    one = chosen.groupBy("entity", "feature").agg(F.min("value").alias("value"))
+    if not keep_null:
+        return one.where("value is not null")
+    spelt = one.select("feature").distinct().agg(F.sort_array(F.collect_set("feature")).alias("all"))  # no more than are wanted, and their spellings
+    every = one.select("entity").distinct().crossJoin(F.broadcast(spelt)).select("entity", F.explode("all").alias("feature"))
+    return every.join(one, ["entity", "feature"], "left")
+
+
+def bridged(rows: DataFrame, bridge: DataFrame, code: str, to: str) -> DataFrame:
+    """`rows` with the column `to` that a bridge table (code, to) has for their code; null for unknown codes. A code with several targets takes the smallest, so no row is repeated."""
+    one = bridge.where(F.col(code).isNotNull()).groupBy(code).agg(F.min(to).alias(to))
+    return rows.join(one, code, "left").select(*rows.columns, to)
+
+
+def affiliated(rows: DataFrame, tree: DataFrame, code: str, family: str, path: str = "affiliation") -> DataFrame:
+    """Rows whose code stands in an affiliation table (code, path of groups from the top, separated by commas) under `family` as its first group."""
+    top = F.trim(F.get(F.split(path, ","), F.lit(0)))
+    return rows.join(tree.where(top == family).select(code).distinct(), code, "left_semi")
+
+
 def read_matrix(spark: SparkSession, path: str, null: str = "NA") -> DataFrame:
     """i, j, v of a matrix written with row names in its unnamed first column; names are kept as they are."""
     wide = spark.read.option("header", True).option("nullValue", null).csv(path)
@@ -66,13 +110,19 @@ def read_tree(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """region, part, ord, lon, lat of a GeoJSON feature collection of Polygons; region is the property `name`."""
+    """region, part, ord, lon, lat of a GeoJSON feature collection of Polygons and MultiPolygons; region is the property `name`. The rings of all of a feature's polygons are
+    numbered on in `part`; the point that closes a ring by repeating its first is left out. Other geometries have no rings."""
     raw = spark.read.option("wholetext", True).text(path)
-    kind = "struct<features array<struct<properties map<string,string>, geometry struct<type string, coordinates array<array<array<double>>>>>>>".replace("features ", "features: ").replace("properties ", "properties: ").replace("geometry ", "geometry: ").replace("type ", "type: ").replace("coordinates ", "coordinates: ")
-    f = raw.select(F.explode(F.from_json("value", kind)["features"]).alias("f")).where("f.geometry.type = 'Polygon'")
-    ring = f.select(F.col("f.properties")["name"].alias("region"), F.posexplode("f.geometry.coordinates").alias("part", "ring"))
-    point = ring.select("region", "part", F.posexplode("ring").alias("ord", "p"))
-    return point.select("region", "part", "ord", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
+    # Coordinates have another depth in each kind, so they are read as text first.
+    kind = "struct<features: array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>>"
+    f = raw.select(F.posexplode(F.from_json("value", kind)["features"]).alias("nr", "f")).select("nr", F.col("f.properties")["name"].alias("region"), "f.geometry.type", "f.geometry.coordinates")
+    one, many = (F.from_json("coordinates", f"array<array<array<{x}>>>") for x in ("double", "array<double>"))
+    rings = F.when(F.col("type") == "Polygon", one).when(F.col("type") == "MultiPolygon", F.flatten(many))
+    ring = f.select("nr", "region", F.posexplode(rings).alias("part", "ring"))
+    open_ = F.when((F.size("ring") > 1) & (F.element_at("ring", 1) == F.element_at("ring", -1)), F.slice("ring", 1, F.greatest(F.size("ring") - 1, F.lit(1)))).otherwise(F.col("ring"))
+    point = ring.select("nr", "region", "part", F.posexplode(open_).alias("ord", "p"))
+    # Features that share a name are one region: parts are told apart by the feature.
+    return point.select("region", (F.col("nr") * 100_000 + F.col("part")).alias("part"), "ord", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
 
 
 def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
