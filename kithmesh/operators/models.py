@@ -100,6 +100,18 @@ def waic(loglik: DataFrame) -> DataFrame:
     return e.agg((-2 * F.sum(F.col("lppd") - F.col("p"))).alias("waic"), F.sum("p").alias("p_waic"), F.sqrt(F.count(F.lit(1)) * F.var_samp(-2 * (F.col("lppd") - F.col("p")))).alias("se"))
 
 
+def compared_fits(loglik: DataFrame, fitted: DataFrame, seen: DataFrame) -> DataFrame:
+    """model, waic, d_waic (over the smallest), p_waic, se, nrmse, the best model first by waic: from pointwise log-likelihoods (model, draw, obs, ll), draws of the fitted means (model, draw, obs, mu) and the
+    observations (obs, y). nrmse is the root mean square of y less the mean over the draws, over the range of y; null where y doesn't vary."""
+    top = loglik.groupBy("model", "obs").agg(F.max("ll").alias("top"), F.var_samp("ll").alias("p"))
+    e = loglik.join(top, ["model", "obs"]).groupBy("model", "obs", "top", "p").agg(F.avg(F.exp(F.col("ll") - F.col("top"))).alias("e")).withColumn("lppd", F.col("top") + F.log("e"))
+    w = e.groupBy("model").agg((-2 * F.sum(F.col("lppd") - F.col("p"))).alias("waic"), F.sum("p").alias("p_waic"), F.sqrt(F.count(F.lit(1)) * F.var_samp(-2 * (F.col("lppd") - F.col("p")))).alias("se"))
+    span = seen.agg((F.max("y") - F.min("y")).alias("span"))
+    error = fitted.groupBy("model", "obs").agg(F.avg("mu").alias("mu")).join(seen.select("obs", "y"), "obs").groupBy("model").agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("mu"), F.lit(2)))).alias("rmse"))
+    t = w.join(error, "model", "left").crossJoin(F.broadcast(span)).crossJoin(F.broadcast(w.agg(F.min("waic").alias("best"))))
+    return t.select("model", "waic", (F.col("waic") - F.col("best")).alias("d_waic"), "p_waic", "se", (F.col("rmse") / F.nullif("span", F.lit(0.0))).alias("nrmse"))
+
+
 def psis_loo(loglik: DataFrame) -> DataFrame:
     """looic, p_loo, and the largest Pareto k: importance weights 1 / likelihood, their upper tail smoothed by a generalised Pareto fit."""
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kithmesh.functions import dist
-from kithmesh.operators.staging import fresh
+from kithmesh.operators.staging import fresh, ranked
 
 
 def strict_box(points: DataFrame, south: float, north: float, west: float, east: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -90,6 +90,17 @@ def level_order(df: DataFrame, level: str, stat: Column) -> DataFrame:
     return s.withColumn("ord", F.row_number().over(Window.orderBy("stat", level)).cast("long"))  # one row per level
 
 
+def appearance_order(df: DataFrame, level: str, order: list[str]) -> DataFrame:
+    """level, ord: the levels' places from 1 by their first row in the given order, which names rows without ties; a null level is one."""
+    key = F.struct(*order)
+    return ranked(df.groupBy(level).agg(F.min(key).alias("first")), ["first"], "ord").select(level, "ord")
+
+
+def head(df: DataFrame, order: list[str | Column], n: int) -> DataFrame:
+    """The first n rows in the given order; of rows that tie at the end any."""
+    return df.orderBy(*order).limit(n)
+
+
 def fold_back(scores: DataFrame, flags: DataFrame, key: str, name: str, value: str, names: list[str], suffix: str) -> DataFrame:
     """The score table with one column `<name>_<suffix>` for each name: the flag of (key, name), null where there is none."""
     wide = flags.groupBy(key).pivot(name, names).agg(F.first(value)).select(key, *[F.col(n).alias(f"{n}_{suffix}") for n in names])
@@ -160,6 +171,15 @@ def segments(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.select("src", "dst").join(a, "src").join(b, "dst").select("src", "dst", "lon1", "lat1", "lon2", "lat2")
 
 
+def drawn_network(edges: DataFrame, nodes: DataFrame, points: DataFrame, near: DataFrame, group: str) -> DataFrame:
+    """kind, src, dst, lon1, lat1, lon2, lat2, arrow, grp: the lines of a network's figure: its edges, plain, and a connector from each point (id, lon, lat, `group`) to its node (of near: id, node), with an
+    arrow there and the point's group. Points without a node, and edges without a place, have no line."""
+    main = segments(edges, nodes).select(F.lit("main").alias("kind"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "lon1", "lat1", "lon2", "lat2", F.lit(False).alias("arrow"), F.lit(None).cast("string").alias("grp"))
+    at = nodes.select(F.col("id").alias("node"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    lines = points.select("id", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), F.col(group).cast("string").alias("grp")).join(near.select("id", "node"), "id").join(at, "node")
+    return main.unionByName(lines.select(F.lit("connector").alias("kind"), F.col("id").cast("string").alias("src"), F.col("node").cast("string").alias("dst"), "lon1", "lat1", "lon2", "lat2", F.lit(True).alias("arrow"), "grp"))
+
+
 def per_node(samples: DataFrame, near: DataFrame, value: str) -> DataFrame:
     """node, n, mean: how many samples (id, value) each node took, and their mean (nulls left out of the mean)."""
     return samples.join(near.select("id", "node"), "id").groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))

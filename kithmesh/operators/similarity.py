@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kithmesh.operators.staging import ranked
+from kithmesh.operators.staging import fresh, ranked
 
 EPS = 1e-9
 
@@ -133,6 +133,32 @@ def drivers(present: DataFrame, roles: DataFrame, weights: DataFrame) -> DataFra
     return t.withColumn("flag", F.when(F.col("high") & any_, "both").when(F.col("high"), "control tail").when(any_, "interest").otherwise("neither"))
 
 
+def driver_profile(present: DataFrame, sets: DataFrame, weights: DataFrame, study: str, control: str, interests: dict[str, str], share: float = 0.9) -> DataFrame:
+    """One row per feature of `weights` (feature, idf): for each reference set of `sets` (set, entity) its prevalence p_<set> and Bernoulli variance var_<set>; for each interest
+    (name: entity) whether it has the feature, has_<name>; control_only (a control has it and no interest), n_shared (interests that have it if a control does), the null-skew
+    leverage idf^6 q (1 - q) (1 - 2q) of the prevalence q in the set `control` (0 where `study` has none), high: whether that reaches the quantile `share` of the features that both
+    sets have, and the flag `both`, `control tail`, `interest` or `neither`.
+
+    A feature that nobody has keeps its row, with prevalences of 0; an entity may be in many sets and counts once in each. The names of sets and interests become columns, so they are few."""
+    member = sets.select("set", "entity").distinct()
+    sizes = {r["set"]: r["n"] for r in member.groupBy("set").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each set
+    named = lambda x: F.count_if(x)
+    has = present.select("entity", "feature").distinct()
+    inside = has.join(member, "entity").groupBy("feature").agg(*[named(F.col("set") == s).alias(f"n_{s}") for s in sizes])
+    marks = has.where(F.col("entity").isin(list(interests.values()))).groupBy("feature").agg(*[F.max(F.col("entity") == e).alias(f"has_{n}") for n, e in interests.items()])
+    t = weights.select("feature", "idf").join(inside, "feature", "left").join(marks, "feature", "left")
+    p = {s: F.coalesce(F.col(f"n_{s}"), F.lit(0)) / float(n) for s, n in sizes.items()}
+    t = t.select("feature", "idf", *[x.alias(f"p_{s}") for s, x in p.items()], *[F.coalesce(f"has_{n}", F.lit(False)).alias(f"has_{n}") for n in interests])
+    t = t.select("*", *[(F.col(f"p_{s}") * (1 - F.col(f"p_{s}"))).alias(f"var_{s}") for s in sizes])
+    q, own = F.col(f"p_{control}"), F.col(f"p_{study}") > 0
+    shared = sum((F.col(f"has_{n}").cast("long") for n in interests), F.lit(0).cast("long"))
+    t = t.withColumn("control_only", (q > 0) & (shared == 0)).withColumn("n_shared", F.when(q > 0, shared).otherwise(0)).withColumn("leverage", F.when(own, F.pow("idf", F.lit(6.0)) * q * (1 - q) * (1 - 2 * q)).otherwise(0.0))
+    cut = t.where(own & (q > 0)).agg(F.percentile("leverage", F.lit(share)).alias("cut"))
+    at = fresh(t, "cut")
+    t = t.crossJoin(F.broadcast(cut.withColumnRenamed("cut", at))).withColumn("high", F.coalesce(F.col("leverage") >= F.col(at), F.lit(False))).drop(at)
+    return t.withColumn("flag", F.when(F.col("high") & (shared > 0), "both").when(F.col("high"), "control tail").when(shared > 0, "interest").otherwise("neither"))
+
+
 def skew_outliers(nulls: DataFrame, sds: float = 2.0) -> DataFrame:
     """j, n_exceed: for how many rows i the control j lies above the row's median + sds standard deviations."""
     cut = nulls.groupBy("i").agg((F.median("v") + sds * F.stddev_samp("v")).alias("cut"))

@@ -60,14 +60,16 @@ def _chi2_sf(x: pd.Series, k: pd.Series) -> pd.Series:
 
 
 def signed_rank(deltas: DataFrame, by: str = "baseline", value: str = "delta") -> DataFrame:
-    """by, n, v, r: one-sample signed-rank statistic (zeros left out) and rank-biserial correlation, with the upper-tail p: exact for under
-    50 values without ties or zeros, else normal with continuity and tie correction."""
+    """by, n, v, r, p, p_adj: one-sample signed-rank statistic (zeros left out) and rank-biserial correlation, with the upper-tail p, exact for under
+    50 values without ties or zeros, else normal with continuity and tie correction, and adjusted by Benjamini-Hochberg over all of them."""
     all_ = deltas.groupBy(by).agg(F.count_if(F.col(value) == 0).alias("zeros"))
     d = deltas.where((F.col(value) != 0) & F.col(value).isNotNull()).withColumn("_a", F.abs(value)).withColumn("r", mid_rank([by], "_a"))
     ties = d.groupBy(by, "_a").agg(F.count(F.lit(1)).alias("t")).groupBy(by).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     t = d.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(value) > 0, F.col("r")).otherwise(0.0)).alias("v"))
     t = t.join(ties, by).join(all_, by)
-    return t.withColumn("r", 2 * F.col("v") / (F.col("n") * (F.col("n") + 1) / 2) - 1).withColumn("p", _signed_rank_p("n", "v", "ties", "zeros")).select(by, "n", "v", "r", "p")
+    t = t.withColumn("r", 2 * F.col("v") / (F.col("n") * (F.col("n") + 1) / 2) - 1).withColumn("p", _signed_rank_p("n", "v", "ties", "zeros"))
+    every = fresh(t, "every")  # one family: a row for each value of `by`
+    return bh(t.withColumn(every, F.lit(1)), "p", [every]).select(by, "n", "v", "r", "p", "p_adj")
 
 
 @F.pandas_udf(T.DoubleType())

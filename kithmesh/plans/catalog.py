@@ -261,7 +261,7 @@ def friedman(t):
 
 @_query(_BASE + ", d AS (SELECT baseline, delta, rank() OVER (PARTITION BY baseline ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY baseline, abs(delta)) - 1) / 2 AS r FROM deltas WHERE delta <> 0) SELECT baseline, count(*) AS n, round(sum(CASE WHEN delta > 0 THEN r ELSE 0 END), 9) AS v, round(2 * sum(CASE WHEN delta > 0 THEN r ELSE 0 END) / (count(*) * (count(*) + 1) / 2) - 1, 9) AS r FROM d GROUP BY baseline")
 def wilcoxon_stat(t):
-    return stats.signed_rank(similarity.over_control(_scores(t))).drop("p")
+    return stats.signed_rank(similarity.over_control(_scores(t))).drop("p", "p_adj")
 
 
 @_query()

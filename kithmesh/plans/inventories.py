@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kithmesh.functions import text as tx
 from kithmesh.functions.metrics import Watched
-from kithmesh.operators import crosswalk, similarity, stats, weights
+from kithmesh.functions.nulls import is_in
+from kithmesh.operators import crosswalk, models, relational, similarity, stats, weights
 from kithmesh.plans.catalog import _ANOVA, _BASE, _BLOCK, _Tables, _block, _pairs, _present, _query, _roles, _vectors
 
 # --- pruning ---------------------------------------------------------------------------------------------------------------------------
@@ -51,6 +52,25 @@ def driver_comparison(t):
     return similarity.compared_decompositions(_vectors(t), p, core, r.where("role = 'interest'"))
 
 
+_NAMES = ("a", "b", "c", "d", "e")
+
+
+@_query(_BASE + """, mem AS (SELECT DISTINCT 'study' AS set, entity FROM roles WHERE role = 'study' UNION SELECT 'control', entity FROM roles WHERE role = 'control' UNION SELECT 'kin', entity FROM roles WHERE family <= 1 UNION SELECT 'all', entity FROM roles),
+sz AS (SELECT set, count(*) AS n FROM mem GROUP BY set), per AS (SELECT feature, set, count(*) AS n FROM pres JOIN mem USING (entity) GROUP BY ALL), nm AS (SELECT entity, row_number() OVER (ORDER BY entity) AS k FROM roles WHERE role = 'interest'),
+mk AS (SELECT feature, list(k) AS ks FROM pres JOIN nm USING (entity) GROUP BY feature),
+t AS (SELECT feature, idf, """ + ", ".join(f"coalesce((SELECT per.n / sz.n FROM per JOIN sz USING (set) WHERE per.feature = idf.feature AND set = '{s}'), 0) AS p_{s}" for s in ("study", "control", "kin", "all")) + ", " + ", ".join(f"coalesce(list_contains(ks, {k}), FALSE) AS has_{n}" for k, n in enumerate(_NAMES, 1)) + """ FROM idf LEFT JOIN mk USING (feature)),
+v AS (SELECT *, has_a::BIGINT + has_b::BIGINT + has_c::BIGINT + has_d::BIGINT + has_e::BIGINT AS shared, CASE WHEN p_study > 0 THEN pow(idf, 6) * p_control * (1 - p_control) * (1 - 2 * p_control) ELSE 0 END AS lev FROM t), c AS (SELECT quantile_cont(lev, 0.9) AS cut FROM v WHERE p_study > 0 AND p_control > 0)
+SELECT feature, round(idf, 9) AS idf, """ + ", ".join(f"round(p_{s}, 9) AS p_{s}, round(p_{s} * (1 - p_{s}), 9) AS var_{s}" for s in ("study", "control", "kin", "all")) + """, has_a, has_b, has_c, has_d, has_e, p_control > 0 AND shared = 0 AS control_only, CASE WHEN p_control > 0 THEN shared ELSE 0 END AS n_shared, round(lev, 9) AS leverage, coalesce(lev >= cut, FALSE) AS high,
+CASE WHEN coalesce(lev >= cut, FALSE) AND shared > 0 THEN 'both' WHEN lev >= cut THEN 'control tail' WHEN shared > 0 THEN 'interest' ELSE 'neither' END AS flag FROM v, c""")
+def driver_profile(t):
+    r, p = _roles(t), _present(t)
+    named = lambda where, name: r.where(where).select(F.lit(name).alias("set"), "entity")
+    sets = named("role = 'study'", "study").unionByName(named("role = 'control'", "control")).unionByName(named("family <= 1", "kin")).unionByName(named("true", "all"))
+    interests = [x["entity"] for x in r.where("role = 'interest'").select("entity").distinct().orderBy("entity").collect()]  # one nation's five segments
+    padded = [*interests, *[""] * len(_NAMES)][: len(_NAMES)]  # small tables lack some of the segments
+    return similarity.driver_profile(p, sets, weights.idf(p), "study", "control", dict(zip(_NAMES, padded, strict=True)))
+
+
 # --- crosswalk: symbols made from parts and lines ----------------------------------------------------------------------------------------
 
 #: Letters and marks by a part's size and key; the second inventory writes its marks apart and its letters in the international alphabet.
@@ -174,3 +194,35 @@ def step_metrics(t):
     w.then("by segment", lambda d: d.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.avg("credit").alias("mean")), "c_mktsegment")
     w.frame.write.format("noop").mode("overwrite").save()
     return w.report().drop("about_keys")
+
+
+# --- null-safe membership, orders, model reports ------------------------------------------------------------------------------------------
+
+
+@_query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS segment, coalesce(CASE WHEN c_acctbal > 0 THEN c_mktsegment END IN ('BUILDING', 'MACHINERY'), FALSE) AS chosen FROM customer")
+def null_safe_membership(t):
+    segment = F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment"))
+    return t.customer.select("c_custkey", segment.alias("segment"), is_in(segment, ["BUILDING", "MACHINERY"]).alias("chosen"))
+
+
+@_query("SELECT event_type, row_number() OVER (ORDER BY min({'t': ts, 'i': event_id})) AS ord FROM events GROUP BY event_type")
+def order_of_appearance(t):
+    return relational.appearance_order(t.events, "event_type", ["ts", "event_id"])
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def largest_orders(t):
+    return relational.head(t.orders.select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 25)
+
+
+_FITS = "m AS (SELECT l_returnflag AS model, l_linenumber::BIGINT AS obs, -pow(l_quantity - 25.0, 2) / 200 - l_discount AS ll, l_quantity / 10 + l_tax * l_linenumber AS mu FROM lineitem), y AS (SELECT l_linenumber::BIGINT AS obs, avg(l_quantity) / 8 AS y FROM lineitem GROUP BY 1)"
+
+
+@_query(f"""WITH {_FITS}, tp AS (SELECT model, obs, max(ll) AS top, var_samp(ll) AS p FROM m GROUP BY ALL), e AS (SELECT model, obs, p, top + ln(avg(exp(ll - top))) AS lppd FROM m JOIN tp USING (model, obs) GROUP BY model, obs, top, p),
+w AS (SELECT model, -2 * sum(lppd - p) AS waic, sum(p) AS p_waic, sqrt(count(*) * var_samp(-2 * (lppd - p))) AS se FROM e GROUP BY model), r AS (SELECT model, sqrt(avg(pow(y - mu, 2))) AS rmse FROM (SELECT model, obs, avg(mu) AS mu FROM m GROUP BY ALL) JOIN y USING (obs) GROUP BY model)
+SELECT model, round(waic, 6) AS waic, round(waic - min(waic) OVER (), 6) AS d_waic, round(p_waic, 6) AS p_waic, round(se, 6) AS se, round(rmse / (SELECT max(y) - min(y) FROM y), 6) AS nrmse FROM w JOIN r USING (model)""")
+def model_comparison(t):
+    rows = t.lineitem.select(F.col("l_returnflag").alias("model"), F.col("l_linenumber").cast("long").alias("obs"), F.concat_ws("-", "l_orderkey", "l_partkey").alias("draw"), (-F.pow(F.col("l_quantity") - 25.0, F.lit(2)) / 200 - F.col("l_discount")).alias("ll"), (F.col("l_quantity") / 10 + F.col("l_tax") * F.col("l_linenumber")).alias("mu"))
+    seen = t.lineitem.groupBy(F.col("l_linenumber").cast("long").alias("obs")).agg((F.avg("l_quantity") / 8).alias("y"))
+    found = models.compared_fits(rows, rows, seen)
+    return found.select("model", *[F.round(c, 6).alias(c) for c in ("waic", "d_waic", "p_waic", "se", "nrmse")])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithmesh.operators import cluster, graph, mesh, surface, tree
-from kithmesh.plans.catalog import _WEDGES, _Tables, _nodes, _point, _query, _ratios, _sql_hav, _sql_point, _suppliers
+from kithmesh.operators import cluster, graph, mesh, relational, surface, tree
+from kithmesh.plans.catalog import _NET, _PATR, _WEDGES, _Tables, _edges, _nodes, _point, _query, _ratios, _sql_hav, _sql_point, _suppliers, _tips, _tree
 
 # --- a tree of five levels: the world, regions, nations, segments, customers ----------------------------------------------------
 
@@ -50,6 +50,19 @@ def tree_strips(t):
     return tree.strips(tree.layout(_deep(t)), groups)
 
 
+@_query(_PATR.replace("WITH p AS", "WITH d AS (WITH p AS", 1) + "), n AS (SELECT n_nationkey::BIGINT AS id, 'g' || n_nationkey % 4 AS name FROM nation) SELECT least(a.name, b.name) AS i, greatest(a.name, b.name) AS j, round(avg(v), 9) AS v FROM d JOIN n a ON a.id = d.i JOIN n b ON b.id = d.j WHERE a.name <> b.name GROUP BY ALL")
+def patristic_by_name(t):
+    names = t.nation.select(F.col("n_nationkey").cast("long").alias("node"), F.concat(F.lit("g"), (F.col("n_nationkey") % 4).cast("string")).alias("name"))
+    return tree.patristic(_tree(t), _tips(t), names)
+
+
+@_query(_NET + """SELECT 'main' AS kind, src::VARCHAR AS src, dst::VARCHAR AS dst, round(a.lon, 9) AS lon1, round(a.lat, 9) AS lat1, round(b.lon, 9) AS lon2, round(b.lat, 9) AS lat2, FALSE AS arrow, NULL::VARCHAR AS grp FROM e JOIN nd a ON a.id = src JOIN nd b ON b.id = dst
+UNION ALL SELECT 'connector', id::VARCHAR, node::VARCHAR, round(sup.lon, 9), round(sup.lat, 9), round(n.lon, 9), round(n.lat, 9), TRUE, CASE WHEN s_acctbal > 4500 THEN 'above' ELSE 'below' END FROM sup JOIN nn USING (id) JOIN nd n ON n.id = node JOIN supplier ON s_suppkey = sup.id""")
+def network_figure(t):
+    points = _suppliers(t).join(t.supplier.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_acctbal") > 4500, "above").otherwise("below").alias("side")), "id")
+    return relational.drawn_network(_edges(t), _nodes(t), points, graph.nearest(_suppliers(t), _nodes(t)), "side")
+
+
 # --- meshes within the regions' land -----------------------------------------------------------------------------------------------
 
 #: A region's land, from its south-west corner: a ring with a bay, and a lake.
