@@ -16,9 +16,9 @@ def weighted(present: DataFrame, weights: DataFrame) -> DataFrame:
     return present.join(weights.where("idf <> 0").select("feature", F.col("idf").alias("v")), "feature").select("entity", "feature", "v")
 
 
-def cosine(vectors: DataFrame, left: DataFrame | None = None, right: DataFrame | None = None, eps: float = EPS) -> DataFrame:
-    """i, j, v for every pair of an entity of `left` and one of `right` (all by default): dot / (|i| |j| + eps); pairs that share
-    no feature have 0. Only pairs that share a feature meet in the join on features."""
+def cosine(vectors: DataFrame, left: DataFrame | None = None, right: DataFrame | None = None, eps: float = EPS, dense: bool = True) -> DataFrame:
+    """i, j, v for every pair of an entity of `left` and one of `right` (all by default): dot / (|i| |j| + eps). Pairs that share no feature have 0; they are listed by
+    crossing the entities, as the result has a row for every pair. Not `dense`: only pairs that share a feature, which meet in the join on features alone."""
     norms = vectors.groupBy("entity").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     a = norms if left is None else norms.join(left.select("entity"), "entity", "left_semi")
     b = norms if right is None else norms.join(right.select("entity"), "entity", "left_semi")
@@ -26,18 +26,24 @@ def cosine(vectors: DataFrame, left: DataFrame | None = None, right: DataFrame |
     vb = vectors if right is None else vectors.join(right.select("entity"), "entity", "left_semi")
     dots = va.select(F.col("entity").alias("i"), "feature", F.col("v").alias("x")).join(vb.select(F.col("entity").alias("j"), "feature", F.col("v").alias("y")), "feature")
     dots = dots.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    pairs = a.select(F.col("entity").alias("i"), F.col("norm").alias("ni")).crossJoin(b.select(F.col("entity").alias("j"), F.col("norm").alias("nj")))
+    a, b = a.select(F.col("entity").alias("i"), F.col("norm").alias("ni")), b.select(F.col("entity").alias("j"), F.col("norm").alias("nj"))
+    if not dense:
+        return dots.join(a, "i").join(b, "j").select("i", "j", (F.col("dot") / (F.col("ni") * F.col("nj") + eps)).alias("v"))
+    pairs = a.crossJoin(b)
     return pairs.join(dots, ["i", "j"], "left").select("i", "j", (F.coalesce("dot", F.lit(0.0)) / (F.col("ni") * F.col("nj") + eps)).alias("v"))
 
 
-def cosine_pairwise(vectors: DataFrame, eps: float = EPS) -> DataFrame:
-    """i <= j, v: cosine over the features that both entities have non-null; null if there are none. Norms belong to the pair."""
+def cosine_pairwise(vectors: DataFrame, eps: float = EPS, dense: bool = True) -> DataFrame:
+    """i <= j, v: cosine over the features that both entities have non-null; null if there are none, or no row if not `dense`. Norms belong to the pair."""
     a = vectors.where("v is not null").select(F.col("entity").alias("i"), "feature", F.col("v").alias("x"))
     b = vectors.where("v is not null").select(F.col("entity").alias("j"), "feature", F.col("v").alias("y"))
     sums = a.join(b, "feature").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("d"), F.sum(F.col("x") * F.col("x")).alias("p"), F.sum(F.col("y") * F.col("y")).alias("q"))
+    value = (F.col("d") / (F.sqrt("p") * F.sqrt("q") + eps)).alias("v")
+    if not dense:
+        return sums.select("i", "j", value)
     e = vectors.select("entity").distinct()
     pairs = e.select(F.col("entity").alias("i")).join(e.select(F.col("entity").alias("j")), F.col("i") <= F.col("j"))
-    return pairs.join(sums, ["i", "j"], "left").select("i", "j", (F.col("d") / (F.sqrt("p") * F.sqrt("q") + eps)).alias("v"))
+    return pairs.join(sums, ["i", "j"], "left").select("i", "j", value)
 
 
 def substitute(long: DataFrame, by_value: DataFrame) -> DataFrame:

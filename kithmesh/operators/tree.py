@@ -137,6 +137,19 @@ def pagel(cov: DataFrame, lam: float) -> DataFrame:
     return c.select("i", "j", (F.col("v") / (F.col("si") * F.col("sj")) * F.when(F.col("i") == F.col("j"), 1.0).otherwise(lam)).alias("v"))
 
 
+def pruned(tree: DataFrame, keep: DataFrame) -> DataFrame:
+    """node, parent, length: the tree (node, parent, length) of the kept tips (node) alone, of any depth: other tips go, nodes with one child left are merged into it, and the root is the kept tips' last
+    common ancestor, with length 0. Kept nodes that aren't tips of the tree, or aren't in it, count for nothing; one tip alone is its own root, and without any the result is empty."""
+    up = ancestors(tree)
+    tips = tree.select("node").distinct().join(tree.select(F.col("parent").alias("node")).where("node is not null").distinct(), "node", "left_anti").join(keep.select("node").distinct(), "node", "left_semi")
+    held = up.join(tips, "node", "left_semi").select(F.col("ancestor").alias("node")).distinct()
+    kids = tree.select("node", "parent").distinct().join(held, "node", "left_semi").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    stay = cut(tips.unionByName(kids.where("n > 1 and node is not null").select("node")))
+    above = up.where("steps > 0").join(stay, "node", "left_semi").join(stay.select(F.col("node").alias("ancestor")), "ancestor", "left_semi")
+    next_ = above.groupBy("node").agg(F.min(F.struct("steps", "ancestor", "up")).alias("a"))
+    return stay.join(next_, "node", "left").select("node", F.col("a.ancestor").alias("parent"), F.coalesce("a.up", F.lit(0.0)).alias("length"))
+
+
 def prune(rows: list[tuple], keep: set[str]) -> list[tuple]:
     """The tree of the kept tips: others go, nodes with one child are merged into it, and the root is the kept tips' last common ancestor."""
     kids: dict = {}

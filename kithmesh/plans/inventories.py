@@ -71,6 +71,12 @@ def driver_profile(t):
     return similarity.driver_profile(p, sets, weights.idf(p), "study", "control", dict(zip(_NAMES, padded, strict=True)))
 
 
+@_query(_BASE + "SELECT j AS i, i AS j, round(v, 9) AS v FROM sims JOIN dots USING (i, j) WHERE j IN (SELECT entity FROM norm)")
+def sparse_cosine(t):
+    r = _roles(t)
+    return similarity.cosine(_vectors(t), None, r.where("role = 'study'"), dense=False)
+
+
 # --- crosswalk: symbols made from parts and lines ----------------------------------------------------------------------------------------
 
 #: Letters and marks by a part's size and key; the second inventory writes its marks apart and its letters in the international alphabet.

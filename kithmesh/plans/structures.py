@@ -50,6 +50,14 @@ def tree_strips(t):
     return tree.strips(tree.layout(_deep(t)), groups)
 
 
+@_query(_LAYOUT + """, kt AS (SELECT t.node, w.path, w.x FROM tips t JOIN walk w USING (node) WHERE t.node % 11 < 2), held AS (SELECT DISTINCT unnest(path) AS node FROM kt),
+stay AS (SELECT node FROM kt UNION SELECT parent FROM tree SEMI JOIN held USING (node) WHERE parent IS NOT NULL GROUP BY parent HAVING count(*) > 1),
+above AS (SELECT s.node, unnest(w.path[1:-2]) AS up, generate_subscripts(w.path[1:-2], 1) AS k FROM stay s JOIN walk w USING (node)), best AS (SELECT node, arg_max(up, k) AS parent FROM above WHERE up IN (SELECT node FROM stay) GROUP BY node)
+SELECT s.node, b.parent, round(coalesce(w.x - p.x, 0), 9)::DOUBLE AS length FROM stay s LEFT JOIN best b USING (node) JOIN walk w ON w.node = s.node LEFT JOIN walk p ON p.node = b.parent""")
+def tree_pruned(t):
+    return tree.pruned(_deep(t), t.customer.where("c_custkey % 11 < 2").select(F.col("c_custkey").alias("node")))
+
+
 @_query(_PATR.replace("WITH p AS", "WITH d AS (WITH p AS", 1) + "), n AS (SELECT n_nationkey::BIGINT AS id, 'g' || n_nationkey % 4 AS name FROM nation) SELECT least(a.name, b.name) AS i, greatest(a.name, b.name) AS j, round(avg(v), 9) AS v FROM d JOIN n a ON a.id = d.i JOIN n b ON b.id = d.j WHERE a.name <> b.name GROUP BY ALL")
 def patristic_by_name(t):
     names = t.nation.select(F.col("n_nationkey").cast("long").alias("node"), F.concat(F.lit("g"), (F.col("n_nationkey") % 4).cast("string")).alias("name"))

@@ -63,6 +63,26 @@ def test_elbows_and_strips(spark):
     assert tree.layout(spark.createDataFrame([], TREE)).collect() == []
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pruned_trees_keep_distances(spark, seed):
+    rows = grown("random", 80, seed)
+    inner = {p for _, p, _ in rows}
+    tips = [n for n, _, _ in rows if n not in inner]
+    kept = random.Random(seed).sample(tips, 9)
+    df, wanted = spark.createDataFrame(rows, TREE), spark.createDataFrame([(k,) for k in [*kept, kept[0], max(x for x in inner if x is not None), 999]], "node long")
+    small = tree.pruned(df, wanted)
+    got = [tuple(r) for r in small.collect()]
+    roots = [r for r in got if r[1] is None]
+    kids = [p for _, p, _ in got if p is not None]
+    assert len(roots) == 1 and roots[0][2] == 0 and all(kids.count(n) != 1 for n, _, _ in got)
+    assert {n for n, _, _ in got if n not in kids} == set(kept)
+    at = spark.createDataFrame([(k,) for k in kept], "node long")
+    whole, part = ({(r["i"], r["j"]): r["v"] for r in tree.patristic(t, at).collect()} for t in (df, small))
+    assert len(whole) == 36 and part == {k: pytest.approx(v) for k, v in whole.items()}
+    assert [tuple(r) for r in tree.pruned(df, at.limit(1)).collect()] == [(kept[0], None, 0.0)]
+    assert tree.pruned(df, at.limit(0)).collect() == []
+
+
 def test_patristic_distance_of_a_deep_tree(spark):
     rows = grown("caterpillar", 12)
     df = spark.createDataFrame(rows, TREE)
