@@ -4,8 +4,8 @@ Vectors x become points (x, sqrt(M^2 - |x|^2)) on a sphere, M being the largest
 the largest inner product is the smallest distance. A bounded sample is halved again and again at the median between two means: the leaves,
 equal in size, give the centroids. Centroids form a graph that every worker holds in memory and walks best-first.
 A vector goes to the list of its nearest centroid and, near a boundary, to further ones whose distance is within a
-ratio of the nearest. A query reads its nearest lists, as many as a sample of queries needed to find the wanted share of
-their exact answers, so the number grows with the table. Lists that grow beyond `list_rows` are dealt over several tasks. Equal vectors are searched once; each stands for its smallest ids.
+ratio of the nearest. A query walks the same graph and reads the lists whose distance is within a ratio of the nearest one's. That ratio is the
+one at which the lists hold the wanted share of the exact answers of a sample of queries, so what is read grows with the table. Lists that grow beyond `list_rows` are dealt over several tasks. Equal vectors are searched once; each stands for its smallest ids.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ class Graph:
         """Places and distances of about the `want` nearest centroids of each row of x, nearest first; best-first
         search over the graph, for all rows at once."""
         n, k = len(x), len(self.points)
-        beam = min(max(beam, 2 * want), k)
+        beam = min(max(beam, want + 16), k)
         norms = (self.points**2).sum(axis=1)
         own = (x**2).sum(axis=1)
         seen = np.zeros((n, k), dtype=bool)
@@ -139,7 +139,13 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(col.flatten(), dtype=np.float64).reshape(-1, dim)
 
 
-def _listed(batches: Iterator[pa.RecordBatch], g: Graph, most: float, dim: int, queries: bool, lists: int, ratio: float, parts: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _within(dist: np.ndarray, ratio: float, most: float) -> np.ndarray:
+    """Which of the lists at these distances, nearest first, lie within the ratio of the nearest; that one's distance
+    counts as at least a twentieth of the sphere's radius."""
+    return dist <= ratio * np.maximum(dist[:, :1], most / 20) + 1e-12
+
+
+def _listed(batches: Iterator[pa.RecordBatch], g: Graph, most: float, dim: int, queries: bool, lists: int, ratio: float, beam: int, parts: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """(list, part, rep, vector) of each vector or query, for every list that it belongs to or reads. parts: tasks of each list."""
     block = max(64, min(4096, (1 << (23 if queries else 25)) // len(g.points)))
     for batch in batches:
@@ -147,8 +153,8 @@ def _listed(batches: Iterator[pa.RecordBatch], g: Graph, most: float, dim: int,
             some = batch.slice(at, block)
             x = _matrix(some.column("vector"), dim)
             point = aimed(x, most) if queries else lifted(x, most)
-            place, dist = (g.ordered if queries else g.nearest)(point, lists)
-            take = dist <= ratio * dist[:, :1] + 1e-12
+            place, dist = g.nearest(point, lists, beam)
+            take = _within(dist, ratio, most) if queries else dist <= ratio * dist[:, :1] + 1e-12
             row, col = np.nonzero(take)
             chosen = place[row, col]
             if queries and parts is not None:
@@ -193,29 +199,36 @@ def _scanned(batches: Iterator[pa.RecordBatch], asked: np.ndarray, reps: np.ndar
     yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(rep[row, col]), pa.array(score[row, col])], names=["q", "rep", "score"])
 
 
-def needed_lists(points: DataFrame, g: Graph, most: float, dim: int, k: int, copies: int, copy_ratio: float, read_ratio: float, recall: float, sample: int) -> tuple[int, float]:
-    """How many lists a query must read, and within which ratio (infinite if `read_ratio` would cut too much), so that the lists hold the
-    share `recall` of the exact k nearest of at most `sample` queries. The exact ones come from a scan of all points."""
+def reach(points: DataFrame, g: Graph, most: float, dim: int, k: int, copies: int, copy_ratio: float, recall: float, sample: int) -> tuple[int, float, int]:
+    """(lists, ratio, beam) of a query: the ratio within which lists hold the share `recall` of the exact k nearest of at most `sample`
+    queries, the most lists that one of them has within it, and the beam with which the graph finds 99 % of those lists.
+    The exact ones come from a scan of all points."""
     asked = points.where("asks").orderBy(F.xxhash64("rep", F.lit(1)), "rep").select("rep", "vector").limit(sample).collect()
     if not asked:
-        return 1, read_ratio
+        return 1, 1.0, 32
     q, reps = np.array([r["vector"] for r in asked], dtype=np.float64), np.array([r["rep"] for r in asked])
     scanned = points.select("rep", "vector").mapInArrow(partial(_scanned, asked=q, reps=reps, dim=dim, k=k), "q int, rep long, score double")
     best = scanned.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("rep")))), 1, k).alias("hit")).select("q", F.explode("hit.rep").alias("rep"))
     found = points.select("rep", "vector").join(F.broadcast(best), "rep").select("q", "vector").collect()  # at most sample * k rows
     if not found:
-        return 1, read_ratio
-    who = np.array([r["q"] for r in found])
-    order, dist = g.ordered(aimed(q, most), len(g.points))
+        return 1, 1.0, 32
+    who, aim = np.array([r["q"] for r in found]), aimed(q, most)
+    order, dist = g.ordered(aim, len(g.points))
     rank = np.argsort(order, axis=1)
     place, far = g.nearest(lifted(np.array([r["vector"] for r in found], dtype=np.float64), most), copies)
     at = np.where(far <= copy_ratio * far[:, :1] + 1e-12, rank[who[:, None], place], len(g.points)).min(axis=1)
-    limit = (dist <= read_ratio * dist[:, :1] + 1e-12).sum(axis=1)[who]
-    for ratio, need in ((read_ratio, np.where(at < limit, at, len(g.points))), (np.inf, at)):
-        lists = int(np.sort(need)[int(np.ceil(recall * len(need))) - 1]) + 1
-        if lists <= len(g.points):
+    need = np.sort(dist[who, at] / np.maximum(dist[who, 0], most / 20))
+    ratio = max(1.0, float(need[int(np.ceil(recall * len(need))) - 1]) * (1 + 1e-9))
+    inside = _within(dist, ratio, most)
+    lists = int(inside.sum(axis=1).max())
+    beam = max(32, lists + 16)
+    while beam < len(g.points):
+        seen = np.zeros_like(inside)
+        np.put_along_axis(seen, g.nearest(aim, lists, beam)[0], True, axis=1)
+        if (np.take_along_axis(seen, order, axis=1) & inside).sum() >= 0.99 * inside.sum():
             break
-    return lists, ratio
+        beam += beam // 2
+    return lists, ratio, min(beam, len(g.points))
 
 
 def search(
@@ -230,8 +243,7 @@ def search(
     list_rows: int = 2_000,
     copies: int = 8,
     copy_ratio: float = 1.2,
-    read_lists: int = 64,
-    read_ratio: float = 1.25,
+    read_lists: int = 1,
     recall: float = 0.96,
     judged: int = 256,
 ) -> DataFrame:
@@ -241,8 +253,8 @@ def search(
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id or a
     length other than the most frequent one (the larger of two as frequent). Rows that share id and vector are one
     candidate, and a query for each row. An empty table gives an empty result; other columns aren't read. `sample` bounds the vectors that the centroids are
-    fitted on, `most_lists` their number; every vector is indexed, also those outside the sample. A query reads `read_lists` lists, or more
-    where `judged` sampled queries need more to find the share `recall` of their exact answers.
+    fitted on, `most_lists` their number; every vector is indexed, also those outside the sample. A query reads the lists within the ratio that
+    `judged` sampled queries need to find the share `recall` of their exact answers, of as many nearest lists as any of these reads (or `read_lists`, if that is more).
     """
     vector = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -268,10 +280,9 @@ def search(
     g = graph(centroids(lifted(x, facts["most"]), lists)) if lists > 1 else Graph(lifted(x, facts["most"]).mean(axis=0)[None, :], np.zeros((1, 1), np.int64), np.zeros(1, np.int64))
     schema = "list int, part int, rep long, vector array<double>"
     put = partial(_listed, g=g, most=facts["most"], dim=dim)
-    members = staged(points.select("rep", "vector").mapInArrow(partial(put, queries=False, lists=copies, ratio=copy_ratio, parts=None), schema), "postings")
-    if lists > 1:
-        needed, read_ratio = needed_lists(points, g, facts["most"], dim, k, copies, copy_ratio, read_ratio, recall, judged)
-        read_lists = max(read_lists, needed)
+    members = staged(points.select("rep", "vector").mapInArrow(partial(put, queries=False, lists=copies, ratio=copy_ratio, beam=32, parts=None), schema), "postings")
+    needed, read_ratio, beam = reach(points, g, facts["most"], dim, k, copies, copy_ratio, recall, judged) if lists > 1 else (1, 1.0, 32)
+    read_lists = min(max(read_lists, needed), lists)
     parts = np.ones(lists, dtype=np.int64)
     for r in members.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # at most `most_lists` rows
         parts[r["list"]] = -(-r["n"] // list_rows)
@@ -280,7 +291,7 @@ def search(
         if table is None:
             table = F.from_json(F.lit("[" + ",".join(map(str, parts.tolist())) + "]"), "array<int>")
         members = members.withColumn("part", F.pmod(F.xxhash64("rep"), F.element_at(table, F.col("list") + 1)).cast("int"))
-    asked = points.where("asks").select("rep", "vector").mapInArrow(partial(put, queries=True, lists=read_lists, ratio=read_ratio, parts=parts), schema)
+    asked = points.where("asks").select("rep", "vector").mapInArrow(partial(put, queries=True, lists=read_lists, ratio=read_ratio, beam=beam, parts=parts), schema)
     hits = members.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(partial(_found, k=k + 1), "query long, rep long, score double")
     hits = hits.groupBy("query", "rep").agg(F.max("score").alias("score"))
     first = lambda c: F.slice(F.array_sort(c), 1, k + 1)
