@@ -1,7 +1,8 @@
 """Content-addressed archive of web pages (op 7).
 
 Two tables. `payloads` has each distinct payload once under its SHA-256, with its SHA-1 and length. `records` has the
-exact header block of every WARC record and the address of its payload. Records are put together again by a join.
+exact header block of every WARC record and the address of its payload. Records are put together again by a join, in which the
+records of a frequent payload are dealt over SALTS keys.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from .common import shared_dir
 
 _FACTS = "page_id long, url string, address string, sha1 string, bytes long"
 _CHECKED = "address string, sha1 string, bytes long, intact boolean"
+SALTS = 64  # keys of a payload with over a thousandth of the records
 
 
 def _sha1(payload: bytes) -> str:
@@ -74,6 +76,18 @@ def _header(date: str):
     )
 
 
+def _met(records: DataFrame, payloads: DataFrame, how: str = "inner") -> DataFrame:
+    """`records` (page_id, address, ...; a written table) with the columns of `payloads`, which has an address once. Addresses with more than
+    a thousandth of the records, under 1,000 by that bound, are dealt over SALTS keys, at each of which is a copy of their payload's row."""
+    least = max(1, records.count() // 1000)
+    hot = F.broadcast(records.groupBy("address").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least).select("address", F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = records.join(hot, "address", "left").withColumn("_salt", salt).drop("_hot")
+    held = payloads.join(hot, "address", "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return dealt.join(held, ["address", "_salt"], how).drop("_salt")
+
+
 def write(pages: DataFrame, path: str | None = None, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> str:
     """Writes an archive of `pages` (page_id, url, html) and returns its path.
 
@@ -91,7 +105,7 @@ def write(pages: DataFrame, path: str | None = None, least_bytes: int = 0, date:
     facts = spark.read.parquet(f"{path}/facts")
     last = facts.groupBy("address").agg(F.max("page_id").alias("original"))
     again = (F.col("bytes") >= least_bytes) & F.coalesce(F.col("page_id") != F.col("original"), F.col("original").isNotNull())
-    typed = facts.join(last, "address").withColumn("record_type", F.when(again, "revisit").otherwise("response"))
+    typed = _met(facts, last).withColumn("record_type", F.when(again, "revisit").otherwise("response"))
     typed.select("page_id", "address", _header(date).alias("header")).write.parquet(f"{path}/records")
     return path
 
@@ -111,7 +125,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 def restore(spark: SparkSession, path: str) -> DataFrame:
     """Every record with its exact payload: page_id, header, payload, and the bytes of the WARC record (revisits have no block)."""
-    both = records(spark, path).join(spark.read.parquet(f"{path}/payloads"), "address", "left")
+    both = _met(records(spark, path), spark.read.parquet(f"{path}/payloads"), "left")
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
     return both.select("page_id", "header", "payload", F.concat(F.encode("header", "UTF-8"), block, F.lit(b"\r\n\r\n")).alias("record"))
 
@@ -124,5 +138,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """
     stored = spark.read.parquet(f"{path}/payloads").mapInArrow(_checked, _CHECKED)
     told = F.regexp_extract("header", "\r\nWARC-Payload-Digest: sha1:([A-Z2-7]+)\r\n", 1)
-    both = records(spark, path).join(stored, "address", "left")
+    both = _met(records(spark, path), stored, "left")
     return both.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", "refers_to", F.coalesce(F.col("intact") & (told == F.col("sha1")), F.lit(False)).alias("intact"))
