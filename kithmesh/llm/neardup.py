@@ -36,6 +36,7 @@ _NONE = -(1 << 63)  # stands for a null id inside
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BLOCK = 1 << 17  # characters whose shingles a worker holds at once
 ENOUGH = 58  # agreeing slots of a pair that is compared
+LIVE = 20_000  # nodes of a file of the tables that rounds write
 _FURTHER = (8, 8, 8, 8)  # each bucket is split by so many further slots, in four ways
 
 
@@ -222,33 +223,33 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(likes, pa.float64())], names=["a", "b", "likeness"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """The pairs (a, b) with their exact likeness."""
     left = sets.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa"))
     right = sets.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb"))
     with small_batches(pairs.sparkSession):
-        out = staged(pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_compared, "a long, b long, likeness double"), "likeness")
+        out = staged(pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_compared, "a long, b long, likeness double").coalesce(parts), "likeness")
     discard(pairs)
     return out
 
 
-def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+def merged(labels: DataFrame, edges: DataFrame, parts: int = 16) -> DataFrame:
     """labels (id, label; staged, and deleted here once there are newer ones) after all edges (a, b) between ids of labels have joined what
-    they touch; a label is the smallest id of its component. Each pass hooks every label to the smallest neighbouring one and jumps once."""
-    edges = staged(edges.select("a", "b"), "edges")
+    they touch; a label is the smallest id of its component. Each pass hooks every label to the smallest neighbouring one and jumps once. Tables in between have at most `parts` files."""
+    edges = staged(edges.select("a", "b").coalesce(parts), "edges")
     while True:
         la = labels.select(F.col("id").alias("a"), F.col("label").alias("la"))
         lb = labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-        apart = staged(edges.join(la, "a").join(lb, "b").where("la <> lb").select("a", "b", F.greatest("la", "lb").alias("c"), F.least("la", "lb").alias("p")), "apart")
+        apart = staged(edges.join(la, "a").join(lb, "b").where("la <> lb").select("a", "b", F.greatest("la", "lb").alias("c"), F.least("la", "lb").alias("p")).coalesce(parts), "apart")
         discard(edges)
         hooks = apart.groupBy("c").agg(F.min("p").alias("p"))
         further = hooks.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        hooks = staged(hooks.join(further, "p", "left").select("c", F.coalesce("pp", "p").alias("p")), "hooks")
+        hooks = staged(hooks.join(further, "p", "left").select("c", F.coalesce("pp", "p").alias("p")).coalesce(parts), "hooks")
         if hooks.isEmpty():
             discard(apart, hooks)
             return labels
         edges, old = apart, labels
-        labels = staged(labels.join(hooks, labels["label"] == hooks["c"], "left").select("id", F.coalesce("p", "label").alias("label")), "labels")
+        labels = staged(labels.join(hooks, labels["label"] == hooks["c"], "left").select("id", F.coalesce("p", "label").alias("label")).coalesce(parts), "labels")
         discard(hooks, old)
 
 
@@ -285,16 +286,17 @@ def _joined(docs: DataFrame, threshold: float, exact: bool, id_col: str, text_co
     members = staged(bucketed.join(hubs.select("key", "hub"), "key").select("node", "key", "hub"), "members")
     discard(bucketed)
     live = staged(nodes.join(members.select("node").distinct(), "node"), "live")
+    parts = max(16, live.count() // LIVE)  # files of a round's tables: in proportion to the nodes
     made = rows.drop("h").join(live.select("id").distinct(), "id", "left_semi")
     with small_batches(docs.sparkSession):
         sets = made.mapInArrow(_sets, "id long, node long, h array<long>, w array<int>").join(live.select("id", "node"), ["id", "node"], "left_semi")
         sets = staged(sets.groupBy("node").agg(F.first("h").alias("h"), F.first("w").alias("w")).withColumnRenamed("node", "id"), "sets")
-    labels = staged(live.select(F.col("node").alias("id"), F.col("node").alias("label")), "labels")
-    pairs = _worth(members.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), live)
-    tried = _verified(pairs, sets)
-    labels = merged(labels, tried.where(F.col("likeness") >= threshold))
+    labels = staged(live.select(F.col("node").alias("id"), F.col("node").alias("label")).coalesce(parts), "labels")
+    pairs = _worth(members.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), live, parts)
+    tried = _verified(pairs, sets, parts)
+    labels = merged(labels, tried.where(F.col("likeness") >= threshold), parts)
     for k in itertools.count():
-        old, live = live, _mixed(live.select("node", "id", "slots"), members.select("node", "key"), labels)
+        old, live = live, _mixed(live.select("node", "id", "slots"), members.select("node", "key"), labels, parts)
         discard(old)
         if live.isEmpty():
             break
@@ -304,31 +306,31 @@ def _joined(docs: DataFrame, threshold: float, exact: bool, id_col: str, text_co
         pick = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(k)).alias("h"), "node", "label")).alias("to"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
         pairs = now.join(pick.select("key", F.col("to.node").alias("to"), F.col("to.label").alias("to_label")), "key").where("label <> to_label")
         pairs = pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
-        more = _verified(_worth(pairs.join(tried, ["a", "b"], "left_anti"), live), sets)
+        more = _verified(_worth(pairs.join(tried, ["a", "b"], "left_anti"), live, parts), sets, parts)
         alike = more.where(F.col("likeness") >= threshold)
         if alike.isEmpty():
             break
-        labels = merged(labels, alike)
-        tried = staged(tried.unionByName(more), "tried") if k % 4 == 3 else tried.unionByName(more)
+        labels = merged(labels, alike, parts)
+        tried = staged(tried.unionByName(more).coalesce(parts), "tried") if k % 4 == 3 else tried.unionByName(more)
     if exact:
         rest = staged(_apart(members, labels, sets, tried, threshold), "rest")
-        labels = merged(labels, _verified(rest, sets).where(F.col("likeness") >= threshold))
+        labels = merged(labels, _verified(rest, sets, 16 * parts).where(F.col("likeness") >= threshold), parts)
     return sketch, nodes.join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
 
 
-def _mixed(live: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+def _mixed(live: DataFrame, members: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
     """The nodes of `live` in buckets that hold more than one component, with their label. What isn't in one no longer can be."""
     now = members.join(live.select("node"), "node").join(labels.withColumnRenamed("id", "node"), "node")
     mixed = now.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
     nodes = now.join(mixed, "key", "left_semi").select("node", "label").distinct()
-    return staged(live.join(nodes, "node"), "live")
+    return staged(live.join(nodes, "node").coalesce(parts), "live")
 
 
-def _worth(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _worth(pairs: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     """The pairs (a, b) of which at least ENOUGH slots agree."""
     a, b = (nodes.select(F.col("node").alias(x), F.col("slots").alias(f"s{x}")) for x in "ab")
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return staged(pairs.join(a, "a").join(b, "b").where(agree >= ENOUGH).select("a", "b"), "pairs")
+    return staged(pairs.join(a, "a").join(b, "b").where(agree >= ENOUGH).select("a", "b").coalesce(parts), "pairs")
 
 
 def _apart(members: DataFrame, labels: DataFrame, sets: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
