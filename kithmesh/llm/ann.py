@@ -4,8 +4,8 @@ Vectors x become points (x, sqrt(M^2 - |x|^2)) on a sphere, M being the largest
 the largest inner product is the smallest distance. A bounded sample is halved again and again at the median between two means: the leaves,
 equal in size, give the centroids. Centroids form a graph that every worker holds in memory and walks best-first.
 A vector goes to the list of its nearest centroid and, near a boundary, to further ones whose distance is within a
-ratio of the nearest. A query walks the same graph and reads the lists whose distance is within a ratio of the nearest one's. That ratio is the
-one at which the lists hold the wanted share of the exact answers of a sample of queries, so what is read grows with the table. Lists that grow beyond `list_rows` are dealt over several tasks. Equal vectors are searched once; each stands for its smallest ids.
+ratio of the nearest. A query walks the same graph and reads its nearest lists whose distance is within a ratio of the nearest one's. The ratio and the
+number of lists are those that hold the wanted share of the exact answers of a sample of queries, so what is read grows with the table. Lists that grow beyond `list_rows` are dealt over several tasks. Equal vectors are searched once; each stands for its smallest ids.
 """
 
 from __future__ import annotations
@@ -200,8 +200,8 @@ def _scanned(batches: Iterator[pa.RecordBatch], asked: np.ndarray, reps: np.ndar
 
 
 def reach(points: DataFrame, g: Graph, most: float, dim: int, k: int, copies: int, copy_ratio: float, recall: float, sample: int) -> tuple[int, float, int]:
-    """(lists, ratio, beam) of a query: the ratio within which lists hold the share `recall` of the exact k nearest of at most `sample`
-    queries, the most lists that one of them has within it, and the beam with which the graph finds 99 % of those lists.
+    """(lists, ratio, beam) of a query, from the exact k nearest of at most `sample` queries: the ratio within which lists hold the share
+    (1 + recall) / 2 of them, how many lists within it hold the share `recall`, and the beam with which the graph finds 99 % of those lists.
     The exact ones come from a scan of all points."""
     asked = points.where("asks").orderBy(F.xxhash64("rep", F.lit(1)), "rep").select("rep", "vector").limit(sample).collect()
     if not asked:
@@ -217,10 +217,11 @@ def reach(points: DataFrame, g: Graph, most: float, dim: int, k: int, copies: in
     rank = np.argsort(order, axis=1)
     place, far = g.nearest(lifted(np.array([r["vector"] for r in found], dtype=np.float64), most), copies)
     at = np.where(far <= copy_ratio * far[:, :1] + 1e-12, rank[who[:, None], place], len(g.points)).min(axis=1)
-    need = np.sort(dist[who, at] / np.maximum(dist[who, 0], most / 20))
-    ratio = max(1.0, float(need[int(np.ceil(recall * len(need))) - 1]) * (1 + 1e-9))
-    inside = _within(dist, ratio, most)
-    lists = int(inside.sum(axis=1).max())
+    last = lambda need, share: np.sort(need)[int(np.ceil(share * len(need))) - 1]
+    near = dist[who, at] / np.maximum(dist[who, 0], most / 20)
+    ratio = max(1.0, float(last(near, (1 + recall) / 2)) * (1 + 1e-9))
+    lists = int(last(np.where(near <= ratio, at, len(g.points)), recall)) + 1
+    inside = _within(dist, ratio, most) & (np.arange(len(g.points)) < lists)
     beam = max(32, lists + 16)
     while beam < len(g.points):
         seen = np.zeros_like(inside)
@@ -253,8 +254,8 @@ def search(
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id or a
     length other than the most frequent one (the larger of two as frequent). Rows that share id and vector are one
     candidate, and a query for each row. An empty table gives an empty result; other columns aren't read. `sample` bounds the vectors that the centroids are
-    fitted on, `most_lists` their number; every vector is indexed, also those outside the sample. A query reads the lists within the ratio that
-    `judged` sampled queries need to find the share `recall` of their exact answers, of as many nearest lists as any of these reads (or `read_lists`, if that is more).
+    fitted on, `most_lists` their number; every vector is indexed, also those outside the sample. A query reads as many nearest lists, within
+    the ratio, as `judged` sampled queries need to find the share `recall` of their exact answers (or `read_lists`, if that is more).
     """
     vector = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
