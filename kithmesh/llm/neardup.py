@@ -6,20 +6,19 @@ process with its weight as rate to random slots; a slot keeps the first arrival'
 earlier than what every slot has. Slots agree with the probability of the likeness. BANDS keys of ROWS slots each put documents
 into buckets; a pair of likeness 0.8 shares none with probability (1 - 0.8^4)^24 = 3e-6.
 
-Documents with equal words are one class from the start. In a bucket each member is compared with one hub. Buckets that still hold
-several components are split by further slots, and members are compared with the hubs of their parts, in rounds until one
-joins nothing: a round takes rows in proportion to the members, however large a group of near copies is. A pair is compared only if
-enough of its SLOTS slots agree; one of likeness 0.8 or more has fewer with probability under 1e-5. What rounds by hubs can miss
-is a link of a document that no hub of its parts shows; `exact` compares every pair of one bucket that is still apart
-and could be alike, found by prefixes of rare shingles. Its rows grow with the square of a group of near copies.
+Documents with equal words are one class from the start. First each member of a bucket is compared with the bucket's hub, which takes
+rows in proportion to the members and joins most of what belongs together. Then all pairs of a bucket that still lie in different
+components are compared, in tiles of bounded size: once by their slots, each pair in the first bucket that it shares, and the documents that have
+a pair with ENOUGH agreeing slots once more by their whole shingle sets. Tiles give the documents or the links that they found, never pairs
+that aren't alike, so rows grow with members and links; the comparisons within a bucket of many components grow with its square by nature.
+
+So a link is only lost if its documents share no bucket (see above), or, unless `exact`, if fewer than ENOUGH slots agree: 3e-9 at likeness 0.8.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
-import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +30,13 @@ from .common import discard, fresh, small_batches, staged, text_of
 
 WORDS, SLOTS, ROWS = 5, 96, 4
 BANDS = SLOTS // ROWS
-GROUPS = 48
 _NONE = -(1 << 63)  # stands for a null id inside
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BLOCK = 1 << 17  # characters whose shingles a worker holds at once
-ENOUGH = 58  # agreeing slots of a pair that is compared
-LIVE = 20_000  # nodes of a file of the tables that rounds write
-_FURTHER = (8, 8, 8, 8)  # each bucket is split by so many further slots, in four ways
+ENOUGH = 52  # agreeing slots of a pair that is compared
+LIVE = 20_000  # nodes of a file of the tables between passes
+TILE_NODES, TILE_SHINGLES = 2048, 1 << 20  # a tile has two blocks of at most so many nodes, or shingles and one document more
+HUB_NODES = 4096  # members of a hub that one task takes, on average
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -190,10 +189,10 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(at, len(some)), pa.array(_nodes(some, words, counts)), hashes.slice(at, len(some)), lists], names=["id", "node", "h", "slots"])
 
 
-def _band_keys(extra: list[int]) -> Column:
-    """An array with a key for each band: of its slots and of those `extra` places after its first."""
-    slot = lambda b, k: F.element_at("slots", F.pmod(b * ROWS + k, F.lit(SLOTS)).cast("int") + 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[slot(b, k) for k in [*range(ROWS), *extra]]))
+def _band_keys() -> Column:
+    """An array with a key for each band."""
+    slot = lambda b, k: F.element_at("slots", (b * ROWS + k + 1).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[slot(b, k) for k in range(ROWS)]))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,27 +209,216 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def split(col: pa.Array, kind: type) -> list[np.ndarray]:
-        at = col.offsets.to_numpy()
-        flat = col.values.to_numpy(zero_copy_only=False).astype(kind, copy=False)
-        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+def _split(col: pa.Array, kind: type) -> list[np.ndarray]:
+    at = col.offsets.to_numpy()
+    flat = col.values.to_numpy(zero_copy_only=False).astype(kind, copy=False)
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
-    for batch in batches:
-        ha, hb = (split(batch.column(c), np.int64) for c in ("ha", "hb"))
-        wa, wb = (split(batch.column(c), np.float64) for c in ("wa", "wb"))
-        likes = [likeness(p.view(np.uint64), u, q.view(np.uint64), v) for p, u, q, v in zip(ha, wa, hb, wb, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(likes, pa.float64())], names=["a", "b", "likeness"])
+
+def _against_hub(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links (a: hub, b) of rows (hub, node, h, w) that follow their hub's own row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            a, b = [], []
+            rows = zip(batch.column("hub").to_pylist(), batch.column("node").to_pylist(), _split(batch.column("h"), np.int64), _split(batch.column("w"), np.float64), strict=True)
+            for hub, node, h, w in rows:
+                if node == hub:
+                    own = h.view(np.uint64), w
+                elif likeness(*own, h.view(np.uint64), w) >= threshold:
+                    a.append(hub)
+                    b.append(node)
+            # The hub's row may lie in an earlier batch, whose memory isn't ours.
+            own = own and (own[0].copy(), own[1].copy())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """The pairs (a, b) with their exact likeness."""
-    left = sets.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa"))
-    right = sets.select(F.col("id").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb"))
+def _hub_links(pairs: DataFrame, sets: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """The pairs (hub, node) that are alike, as (a, b). A hub's members are dealt over as many tasks as HUB_NODES needs, each with the hub's set."""
+    many = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    dealt = pairs.join(many, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / HUB_NODES)).alias("deal"))
+    rows = dealt.unionByName(dealt.select("hub", F.col("hub").alias("node"), "deal").distinct())
+    rows = rows.join(sets.select(F.col("id").alias("node"), "h", "w"), "node").repartition("hub", "deal").sortWithinPartitions("hub", "deal", F.col("node") != F.col("hub"))
     with small_batches(pairs.sparkSession):
-        out = staged(pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_compared, "a long, b long, likeness double").coalesce(parts), "likeness")
-    discard(pairs)
-    return out
+        return staged(rows.select("hub", "node", "h", "w").mapInArrow(_against_hub(threshold), "a long, b long").coalesce(parts), "links")
+
+
+def _tiles(rows: DataFrame, cost: Column, limit: int) -> DataFrame:
+    """rows (key, node, label, ...) with x, y and side: each key's rows are cut into blocks of about `limit` cost in the order of their labels, and those of blocks x and y meet in tile (x, y), on sides 0
+    and 1; on side 0 alone where x = y. Tiles of one label alone are left out."""
+    upto = F.sum(cost).over(Window.partitionBy("key").orderBy("label", "node").rowsBetween(Window.unboundedPreceding, 0))
+    cutup = rows.withColumn("block", F.floor((upto - 1) / limit))
+    blocks = cutup.groupBy("key", "block").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
+    x, y = (blocks.select("key", F.col("block").alias(n), F.col("l0").alias(f"{n}0"), F.col("l1").alias(f"{n}1")) for n in "xy")
+    meet = x.join(y, "key").where("x <= y and least(x0, y0) <> greatest(x1, y1)").select("key", "x", "y")
+    sides = F.when(F.col("x") == F.col("y"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    meet = meet.select("key", "x", "y", F.explode(sides).alias("side")).withColumn("block", F.when(F.col("side") == 0, F.col("x")).otherwise(F.col("y")))
+    return cutup.join(meet, ["key", "block"]).drop("block")
+
+
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Runs of whole tiles of rows sorted by tile, with the bounds of the tiles; only the tile that a batch ends in is kept for the next one."""
+    kept: list[pa.RecordBatch] = []
+
+    def run() -> tuple[pa.Table, np.ndarray]:
+        rows = pa.Table.from_batches(kept).combine_chunks()
+        tile = np.stack([rows[c].to_numpy() for c in ("key", "x", "y")])
+        new = np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(axis=0)) + 1
+        return rows, np.concatenate([[0], new, [len(rows)]])
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = [tuple(batch.column(c)[k].as_py() for c in ("key", "x", "y")) for k in (0, -1)]
+        kept.append(batch)
+        if last in (None, ends[0]) and ends[0] == ends[1]:
+            last = ends[1]
+            continue
+        rows, bounds = run()
+        yield rows.slice(0, bounds[-2]), bounds[:-1]
+        kept, last = rows.slice(bounds[-2]).to_batches(), ends[1]
+    if kept:
+        yield run()
+
+
+def _near(enough: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, node) of those of a tile that have a pair in different components, with `enough` agreeing slots and no earlier band in common."""
+
+    def small(slots: np.ndarray, label: np.ndarray, band: np.ndarray, row: np.ndarray, end: np.ndarray, hit: np.ndarray) -> None:
+        """The pairs of each of `row` with the rows after it up to `end`, many tiles at once."""
+        n = end - row - 1
+        i = np.repeat(row, n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        differ = label[i] != label[j]
+        i, j = i[differ], j[differ]
+        for at in range(0, len(i), 8192):
+            a, b = i[at : at + 8192], j[at : at + 8192]
+            same = slots[a] == slots[b]
+            met = same.reshape(-1, BANDS, ROWS).all(axis=2) & (np.arange(BANDS) < band[a][:, None])
+            found = (same.sum(axis=1) >= enough) & ~met.any(axis=1)
+            hit[a[found]] = hit[b[found]] = True
+
+    def large(slots: np.ndarray, label: np.ndarray, side: np.ndarray, band: int, hit: np.ndarray) -> None:
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        b = b if len(b) else a
+        right, of_right = np.ascontiguousarray(slots[b].T), label[b]
+        for at in range(0, len(a), 256):
+            some = a[at : at + 256]
+            differ = label[some][:, None] != of_right[None, :]
+            if not differ.any():
+                continue
+            agree, met = np.zeros(differ.shape, np.uint8), np.zeros(differ.shape, bool)
+            for k in range(BANDS):
+                whole = np.ones(differ.shape, bool)
+                for j in range(k * ROWS, (k + 1) * ROWS):
+                    same = slots[some, j][:, None] == right[j][None, :]
+                    agree += same
+                    whole &= same
+                if k < band:
+                    met |= whole
+            found = differ & ~met & (agree >= enough)
+            hit[some] |= found.any(axis=1)
+            hit[b] |= found.any(axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in _whole_tiles(batches):
+            slots = rows["slots"].combine_chunks().flatten().to_numpy().reshape(-1, SLOTS)
+            label, side, band = (rows[c].to_numpy() for c in ("label", "side", "band"))
+            hit, n = np.zeros(len(rows), bool), np.diff(bounds)
+            simple = (n <= 64) & ~np.logical_or.reduceat(side > 0, bounds[:-1])
+            row = np.flatnonzero(np.repeat(simple, n))
+            small(slots, label, band, row, np.repeat(bounds[1:], n)[row], hit)
+            for k in np.flatnonzero(~simple):
+                of = slice(bounds[k], bounds[k + 1])
+                large(slots[of], label[of], side[of], int(band[bounds[k]]), hit[of])
+            yield from rows.select(["key", "node"]).filter(pa.array(hit)).to_batches()
+
+    return run
+
+
+def _most_alike(x: np.ndarray, y: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Bounds of the likeness of one document with others: y are the shares that shingles have of their document's weight, x the shares that they have of the one's (or 0), first and size where
+    the documents lie. Of the sum over all j of max(x_j / x_i, y_j / y_i) those that only one document has add (1 - shared x) / x_i and (1 - shared y) / y_i, and the shared ones
+    no less than shared x / x_i and shared y / y_i."""
+    only_x = np.repeat(np.maximum(1 - np.add.reduceat(x, first), 0), size)
+    only_y = np.repeat(np.maximum(1 - np.add.reduceat(np.where(x > 0, y, 0.0), first), 0), size)
+    return np.add.reduceat(x * y / np.maximum(y + only_y * x, x + only_x * y), first)
+
+
+def _linking(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links (a, b) that join all components of a tile that have documents alike across its sides (or anywhere, if it has one side)."""
+
+    def links(tile: pa.Table) -> pa.RecordBatch:
+        node, side = tile["node"].to_numpy(), tile["side"].to_numpy()
+        comp = np.unique(tile["label"].to_numpy(), return_inverse=True)[1]
+        lists = tile["h"].combine_chunks()
+        size = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        first = np.cumsum(size) - size
+        words, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        w = tile["w"].combine_chunks().flatten().to_numpy().astype(np.float64)
+        mass = w / np.repeat(np.add.reduceat(w, first), size)
+        even = np.minimum.reduceat(w, first) == np.maximum.reduceat(w, first)
+        h, mark = lists.flatten().to_numpy().view(np.uint64), np.zeros(len(words))
+        rows, one_side, a, b = np.arange(len(node)), not side.any(), [], []
+        odd = np.repeat(~even, size)
+        uneven = rows[~even], place[odd], np.cumsum(size[~even]) - size[~even]
+        uneven_mass = mass[odd]
+        most = comp == np.bincount(comp).argmax()
+        for x in np.flatnonzero(~most):  # pairs within the largest component aren't needed, others are met from their rows outside it
+            ok = (comp != comp[x]) & (most | (rows > x)) & (one_side | (side != side[x]))
+            if not ok.any():
+                continue
+            mine = slice(first[x], first[x] + size[x])
+            alike = np.zeros(len(node), bool)
+            plain = ok & even if even[x] else alike
+            if plain.any():
+                mark[place[mine]] = 1
+                shared = np.add.reduceat(mark[place], first)
+                alike = plain & (shared / (size[x] + size - shared) >= threshold)
+            rest = ok & ~plain
+            if rest.any():
+                mark[place[mine]] = mass[mine]
+                among, at, bounds = uneven if even[x] else (rows, place, first)
+                bound = np.zeros(len(node))
+                bound[among] = _most_alike(mark[at], uneven_mass if even[x] else mass, bounds, size[among])
+                for y in np.flatnonzero(rest & (bound >= threshold - 1e-9)):
+                    its = slice(first[y], first[y] + size[y])
+                    alike[y] = comp[y] != comp[x] and likeness(h[mine], w[mine], h[its], w[its]) >= threshold
+            mark[place[mine]] = 0
+            for y in np.flatnonzero(alike):
+                if comp[y] != comp[x]:
+                    a.append(node[x])
+                    b.append(node[y])
+                    comp[comp == comp[y]] = comp[x]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in _whole_tiles(batches):
+            for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+                yield links(rows.slice(start, end - start))
+
+    return run
+
+
+def _tile_links(members: DataFrame, labels: DataFrame, live: DataFrame, sets: DataFrame, threshold: float, enough: int, parts: int) -> DataFrame:
+    """Links (a, b) that join all components with documents that are alike, share a bucket of `members` (node, band, key) and agree in `enough` slots."""
+    now = members.select("node", "band", "key").join(labels.withColumnRenamed("id", "node"), "node")
+    mixed = now.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
+    now = staged(now.join(mixed, "key", "left_semi").coalesce(8 * parts), "mixed")
+    tile = ["key", "x", "y"]
+    with small_batches(members.sparkSession):
+        tiles = _tiles(now, F.lit(1), TILE_NODES).join(live.select("node", "slots"), "node")
+        near = tiles.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_near(enough), "key long, node long")
+        near = staged(near.distinct().coalesce(8 * parts), "near")
+        light = near.join(now, ["key", "node"]).join(sets.select(F.col("id").alias("node"), "n"), "node")
+        tiles = _tiles(light, F.greatest("n", F.lit(TILE_SHINGLES // TILE_NODES)), TILE_SHINGLES).join(sets.select(F.col("id").alias("node"), "h", "w"), "node")
+        links = staged(tiles.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_linking(threshold), "a long, b long").coalesce(parts), "links")
+    discard(now, near)
+    return links
 
 
 def merged(labels: DataFrame, edges: DataFrame, parts: int = 16) -> DataFrame:
@@ -258,7 +446,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, exact: bool = False, id_col
 
     Classes are the connected components of likeness >= `threshold` between texts; equal word sequences are alike. Null texts are
     empty. A text without any word is only alike to equal texts; all empty ones are one class. Repeated rows are one row each, of one class. Null ids are kept, and
-    are smaller than all others. An empty table gives an empty result; other columns aren't read. `exact`: see above.
+    are smaller than all others. An empty table gives an empty result; other columns aren't read. `exact`: pairs of a bucket are compared whatever their slots.
     """
     sketch, known = _joined(docs, threshold, exact, id_col, text_col)
     # A class is named by the smallest id of its documents.
@@ -280,92 +468,38 @@ def _joined(docs: DataFrame, threshold: float, exact: bool, id_col: str, text_co
     rows = docs.select(_key(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     with small_batches(docs.sparkSession):
         sketch = staged(rows.mapInArrow(_sketched, "id long, node long, h long, slots array<int>"), "sketches")
-    nodes = staged(sketch.groupBy("node").agg(F.min("id").alias("id"), F.first("slots").alias("slots")), "nodes")
-    bucketed = staged(nodes.where(F.size("slots") > 0).select("node", F.explode(_band_keys([])).alias("key")), "bucketed")
+    wide = staged(sketch.groupBy("node").agg(F.min("id").alias("id"), F.first("slots").alias("slots")), "wide")
+    sketch, old = staged(sketch.select("id", "node", "h"), "rows"), sketch
+    discard(old)
+    bucketed = staged(wide.where(F.size("slots") > 0).select("node", F.posexplode(_band_keys()).alias("band", "key")).withColumn("band", F.col("band").cast("byte")), "bucketed")
     hubs = bucketed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = staged(bucketed.join(hubs.select("key", "hub"), "key").select("node", "key", "hub"), "members")
+    members = staged(bucketed.join(hubs.select("key", "hub"), "key"), "members")
     discard(bucketed)
-    live = staged(nodes.join(members.select("node").distinct(), "node"), "live")
-    parts = max(16, live.count() // LIVE)  # files of a round's tables: in proportion to the nodes
+    live = staged(wide.join(members.select("node").distinct(), "node"), "live")
+    nodes = staged(wide.select("node", "id"), "nodes")
+    discard(wide)
+    parts = max(16, live.count() // LIVE)  # files of the tables between passes: in proportion to the nodes
     made = rows.drop("h").join(live.select("id").distinct(), "id", "left_semi")
     with small_batches(docs.sparkSession):
         sets = made.mapInArrow(_sets, "id long, node long, h array<long>, w array<int>").join(live.select("id", "node"), ["id", "node"], "left_semi")
-        sets = staged(sets.groupBy("node").agg(F.first("h").alias("h"), F.first("w").alias("w")).withColumnRenamed("node", "id"), "sets")
+        sets = staged(sets.groupBy("node").agg(F.first("h").alias("h"), F.first("w").alias("w")).select(F.col("node").alias("id"), "h", "w", F.size("h").alias("n")), "sets")
     labels = staged(live.select(F.col("node").alias("id"), F.col("node").alias("label")).coalesce(parts), "labels")
-    pairs = _worth(members.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), live, parts)
-    tried = _verified(pairs, sets, parts)
-    labels = merged(labels, tried.where(F.col("likeness") >= threshold), parts)
-    for k in itertools.count():
-        old, live = live, _mixed(live.select("node", "id", "slots"), members.select("node", "key"), labels, parts)
-        discard(old)
-        if live.isEmpty():
-            break
-        draw = random.Random(k)
-        keys = F.flatten(F.array(*[_band_keys(sorted(draw.sample(range(ROWS, SLOTS), n))) for n in _FURTHER]))
-        now = live.select("node", "label", F.explode(keys).alias("key"))
-        pick = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(k)).alias("h"), "node", "label")).alias("to"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
-        pairs = now.join(pick.select("key", F.col("to.node").alias("to"), F.col("to.label").alias("to_label")), "key").where("label <> to_label")
-        pairs = pairs.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
-        more = _verified(_worth(pairs.join(tried, ["a", "b"], "left_anti"), live, parts), sets, parts)
-        alike = more.where(F.col("likeness") >= threshold)
-        if alike.isEmpty():
-            break
-        labels = merged(labels, alike, parts)
-        tried = staged(tried.unionByName(more).coalesce(parts), "tried") if k % 4 == 3 else tried.unionByName(more)
-    if exact:
-        rest = staged(_apart(members, labels, sets, tried, threshold), "rest")
-        labels = merged(labels, _verified(rest, sets, 16 * parts).where(F.col("likeness") >= threshold), parts)
+    pairs = _worth(members.where("node <> hub").select("hub", "node").distinct(), live, parts)
+    links = _hub_links(pairs, sets, threshold, parts)
+    discard(pairs)
+    labels = merged(labels, links, parts)
+    links, old = _tile_links(members, labels, live, sets, threshold, 0 if exact else ENOUGH, parts), links
+    discard(old, members, live, sets)
+    labels, old = merged(labels, links, parts), links
+    discard(old)
     return sketch, nodes.join(labels.withColumnRenamed("id", "node"), "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
 
 
-def _mixed(live: DataFrame, members: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
-    """The nodes of `live` in buckets that hold more than one component, with their label. What isn't in one no longer can be."""
-    now = members.join(live.select("node"), "node").join(labels.withColumnRenamed("id", "node"), "node")
-    mixed = now.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
-    nodes = now.join(mixed, "key", "left_semi").select("node", "label").distinct()
-    return staged(live.join(nodes, "node").coalesce(parts), "live")
-
-
 def _worth(pairs: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
-    """The pairs (a, b) of which at least ENOUGH slots agree."""
-    a, b = (nodes.select(F.col("node").alias(x), F.col("slots").alias(f"s{x}")) for x in "ab")
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return staged(pairs.join(a, "a").join(b, "b").where(agree >= ENOUGH).select("a", "b").coalesce(parts), "pairs")
-
-
-def _apart(members: DataFrame, labels: DataFrame, sets: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
-    """Pairs in different components that haven't been compared and could reach the threshold, among the members of
-    buckets that hold more than one component.
-
-    The likeness of two documents is at most the share of either one's weight that is shared. With shingles in one order for
-    all (rare ones first), the first shared shingle of a similar pair lies in the first 1 - threshold of both documents' weight, so pairs
-    meet on those shingles alone. With shares s and t of the weight from there on, the likeness is at most st / (t + s - st), as
-    x y / (y + u x) is concave. Nor is it more than the weight that they can share when only the sums over GROUPS hash groups are
-    known: the sum of the smaller ones; or, if all weights of a document are equal in both, Jaccard's index with that many shared
-    shingles. Rows under the threshold are left out in the join.
-    """
-    now = members.join(labels.withColumnRenamed("id", "node"), "node")
-    mixed = now.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
-    nodes = now.join(mixed, "key").select(F.col("node").alias("id"), "label").distinct()
-    each = sets.join(nodes, "id").withColumn("total", F.aggregate("w", F.lit(0), lambda x, y: x + y))
-    group = F.pmod(F.col("h"), F.lit(GROUPS))
-    summed = each.select("id", "total", F.explode(F.arrays_zip("h", "w")).alias("z")).select("id", "total", F.col("z.h").alias("h"), F.col("z.w").alias("w"))
-    summed = summed.groupBy("id", "total").agg(*[F.sum(F.when(group == g, F.col("w")).otherwise(0)).alias(f"g{g}") for g in range(GROUPS)], F.count(F.lit(1)).alias("size"), (F.min("w") == F.max("w")).alias("even"))
-    summed = summed.select("id", "size", "even", F.transform(F.array(*[f"g{g}" for g in range(GROUPS)]), lambda x: (x / F.col("total")).cast("float")).alias("g"))
-    each = staged(each.select("id", "label", "total", F.explode(F.arrays_zip("h", "w")).alias("z")).select("id", "label", F.col("z.h").alias("h"), (F.col("z.w") / F.col("total")).alias("m")), "shingles")
-    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-    before = F.sum("m").over(Window.partitionBy("id").orderBy("n", "h").rowsBetween(Window.unboundedPreceding, -1))
-    first = each.join(often, "h").withColumn("c", F.coalesce(before, F.lit(0.0))).where((F.col("c") <= 1 - threshold + 1e-9) & (F.col("l0") != F.col("l1")))
-    first = staged(first.select("h", "id", "label", (1 - F.col("c")).alias("s")).join(summed, "id"), "prefixes")
-    a, b = (first.select("h", *[F.col(c).alias(f"{x}{c}") for c in ("id", "label", "s", "size", "even", "g")]) for x in "ab")
-    a, b = a.withColumnsRenamed({"aid": "a", "alabel": "la", "as": "s"}), b.withColumnsRenamed({"bid": "b", "blabel": "lb", "bs": "t"})
-    least = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.least(p, q)), F.lit(0.0), lambda m, v: m + v)
-    shared = least(F.transform("ag", lambda v: v * F.col("asize")), F.transform("bg", lambda v: v * F.col("bsize")))
-    slack = 1e-4  # for masses in single precision
-    fits = F.when(F.col("aeven") & F.col("beven"), shared * (1 + threshold) >= threshold * (F.col("asize") + F.col("bsize")) * (1 - slack)).otherwise(least(F.col("ag"), F.col("bg")) >= threshold - slack)
-    st = F.col("s") * F.col("t")
-    pairs = a.join(b, "h").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (st >= (threshold - 1e-9) * (F.col("s") + F.col("t") - st)) & fits)
-    return pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    """The pairs (hub, node) of which at least ENOUGH slots agree."""
+    a, b = (nodes.select(F.col("node").alias(x), F.col("slots").alias(f"s_{x}")) for x in ("hub", "node"))
+    agree = F.aggregate(F.zip_with("s_hub", "s_node", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return staged(pairs.join(a, "hub").join(b, "node").where(agree >= ENOUGH).select("hub", "node").coalesce(parts), "pairs")
 
 
 def dedup(docs: DataFrame, threshold: float = 0.8, exact: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
