@@ -74,9 +74,13 @@ def unit(vectors: DataFrame) -> DataFrame:
 
 
 def centroid(units: DataFrame, core: DataFrame) -> DataFrame:
-    """feature, c: mean of the unit vectors of the core's entities; where an entity lacks a feature it counts 0."""
+    """feature, c: mean of the unit vectors of the core's entities; where an entity lacks a feature it counts 0. Sums are of decimals, so that they don't depend on the order of
+    rows: features that the same entities have equally have equal means."""
     n = core.agg(F.count(F.lit(1)).alias("n_core"))
-    return units.join(core.select("entity"), "entity", "left_semi").groupBy("feature").agg(F.sum("u").alias("s")).crossJoin(F.broadcast(n)).select("feature", (F.col("s") / F.col("n_core")).alias("c"))
+    nan = F.isnan("u")
+    s = F.sum(F.when(~nan, F.col("u")).cast("decimal(38,28)")).cast("double")
+    s = F.when(F.count_if(nan) > 0, F.lit(float("nan"))).otherwise(s)
+    return units.join(core.select("entity"), "entity", "left_semi").groupBy("feature").agg(s.alias("s")).crossJoin(F.broadcast(n)).select("feature", (F.col("s") / F.col("n_core")).alias("c"))
 
 
 def contributions(vectors: DataFrame, core: DataFrame, entities: DataFrame) -> DataFrame:
