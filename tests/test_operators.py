@@ -256,6 +256,19 @@ def test_land_counts_more_on_edges_and_connectors(spark):
         surface.land_lengths(points, LAND, 0.9)
 
 
+def test_pairs_of_points_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 4, raising=False)
+    points = [(i, i % 3 if i > 9 else 0, float(i)) for i in range(1, 61)] + [(61, 7, 5.0)]  # most at node 0; node 7 has no path
+    near = spark.createDataFrame(points, "id long, node long, cost double")
+    paths = spark.createDataFrame([(a, b, 1000.0 * a + b) for a in range(3) for b in range(3)], "src long, dst long, cost double")
+    pairs = graph.pairwise_distances(near, paths)
+    got = {(r["i"], r["j"]): r["v"] for r in pairs.collect()}
+    want = {(i, j): 0.0 if 7 in (m, n) else (c + d + (1001.0 * (m + n)) / 2) / 1000 for i, m, c in points for j, n, d in points if i != j}
+    assert pairs.count() == len(want) and got == pytest.approx(want)
+    assert pairs.groupBy(F.spark_partition_id()).count().count() > 8  # these few small rows were one task's before
+    assert graph.pairwise_distances(near.limit(0), paths).count() == 0
+
+
 def test_paths_are_traced(spark):
     e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0)], "src long, dst long, cost double")
     got = {(r["src"], r["dst"]): (r["cost"], r["path"]) for r in graph.traced_paths(e).collect()}
