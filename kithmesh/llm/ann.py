@@ -5,7 +5,9 @@ the largest inner product is the smallest distance. A bounded sample is halved a
 equal in size, give the centroids. Centroids form a graph that every worker holds in memory and walks best-first.
 A vector goes to the list of its nearest centroid and, near a boundary, to further ones whose distance is within a
 ratio of the nearest. A query walks the same graph and reads its nearest lists whose distance is within a ratio of the nearest one's. The ratio and the
-number of lists are those that hold the wanted share of the exact answers of a sample of queries, so what is read grows with the table. Lists that grow beyond `list_rows` are dealt over several tasks. Equal vectors are searched once; each stands for its smallest ids.
+number of lists are those that hold the wanted share of the exact answers of a sample of queries, so what is read grows with the table. Lists that grow beyond `list_rows` are dealt over several tasks. A query first reads a few of its lists: its k-th best score there
+is a floor, and the search of all its lists gives no vector below it, and each vector once, in the first list that both have. So a query's rows don't grow with the lists
+that it reads. Equal vectors are searched once; each stands for its smallest ids.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,8 +146,16 @@ def _within(dist: np.ndarray, ratio: float, most: float) -> np.ndarray:
     return dist <= ratio * np.maximum(dist[:, :1], most / 20) + 1e-12
 
 
-def _listed(batches: Iterator[pa.RecordBatch], g: Graph, most: float, dim: int, queries: bool, lists: int, ratio: float, beam: int, parts: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(list, part, rep, vector) of each vector or query, for every list that it belongs to or reads. parts: tasks of each list."""
+def _rows_of(row: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """A list for each of n rows: the values at its places in `row`, which ascends."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def _listed(
+    batches: Iterator[pa.RecordBatch], g: Graph, most: float, dim: int, queries: bool, lists: int, ratio: float, beam: int, parts: np.ndarray | None, units: int | None = None
+) -> Iterator[pa.RecordBatch]:
+    """(list, part, rep, vector, among: all its lists) of each vector or query, for every list that it belongs to or reads; of queries also the floor.
+    parts: tasks of each list; units: how many tasks of its nearest lists a query reads at most."""
     block = max(64, min(4096, (1 << (23 if queries else 25)) // len(g.points)))
     for batch in batches:
         for at in range(0, batch.num_rows, block):
@@ -155,32 +164,65 @@ def _listed(batches: Iterator[pa.RecordBatch], g: Graph, most: float, dim: int,
             point = aimed(x, most) if queries else lifted(x, most)
             place, dist = g.nearest(point, lists, beam)
             take = _within(dist, ratio, most) if queries else dist <= ratio * dist[:, :1] + 1e-12
+            if units:
+                take[:, units:] = False
             row, col = np.nonzero(take)
             chosen = place[row, col]
+            among = _rows_of(row, chosen, some.num_rows)
             if queries and parts is not None:
                 n = parts[chosen]
                 row, chosen = np.repeat(row, n), np.repeat(chosen, n)
                 part = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             else:
                 part = np.zeros(len(row), dtype=np.int64)
+            if units:
+                near = np.arange(len(row)) - np.searchsorted(row, row) < units
+                row, chosen, part = row[near], chosen[near], part[near]
+            own = [some.column(c).take(pa.array(row)) for c in ("rep", "vector")]
+            floor = [some.column("floor").take(pa.array(row))] if queries else []
             yield pa.RecordBatch.from_arrays(
-                [pa.array(chosen.astype(np.int32)), pa.array(part.astype(np.int32)), some.column("rep").take(pa.array(row)), some.column("vector").take(pa.array(row))],
-                names=["list", "part", "rep", "vector"],
+                [pa.array(chosen.astype(np.int32)), pa.array(part.astype(np.int32)), *own, among.take(pa.array(row)), *floor],
+                names=["list", "part", "rep", "vector", "among", *(["floor"] if queries else [])],
             )
 
 
-def _found(members: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best members of one part of a list for each query that reads it."""
+def _flat(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of lists, and how many each row has."""
+    col = table.column(column).combine_chunks()
+    return col.flatten().to_numpy(zero_copy_only=False), np.diff(col.offsets.to_numpy())
+
+
+def _found(members: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """The k best members of one part of a list for each query that reads it: those not below the query's floor, and not in an earlier list
+    (of a smaller number) that the query reads too. Ties go to the smaller rep."""
     out = []
-    if len(members) and len(queries):
-        members = members.sort_values("rep")
-        m, reps = np.array(members["vector"].tolist()), members["rep"].to_numpy()
-        for at in range(0, len(queries), 512):
-            some = queries.iloc[at : at + 512]
-            scores = np.array(some["vector"].tolist()) @ m.T
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"query": np.repeat(some["rep"].to_numpy(), top.shape[1]), "rep": reps[top.ravel()], "score": np.take_along_axis(scores, top, axis=1).ravel()}))
-    return pd.concat(out) if out else pd.DataFrame({"query": [], "rep": [], "score": []}).astype({"query": "int64", "rep": "int64", "score": "float64"})
+    if members.num_rows and queries.num_rows:
+        here = members.column("list")[0].as_py()
+        members = members.sort_by("rep")
+        reps, n = members.column("rep").to_numpy(), members.num_rows
+        m = _flat(members, "vector")[0].reshape(n, -1)
+        lists, size = _flat(members, "among")
+        other = np.full((n, int(size.max())), here, dtype=np.int64)
+        other[np.arange(other.shape[1]) < size[:, None]] = lists
+        largest = np.sqrt((m**2).sum(axis=1).max())
+        for at in range(0, queries.num_rows, 512):
+            some = queries.slice(at, 512)
+            q = _flat(some, "vector")[0].reshape(some.num_rows, -1)
+            read, size = _flat(some, "among")
+            reads = np.zeros((len(q), here + 1), dtype=bool)  # of the lists before this one
+            who = np.repeat(np.arange(len(q)), size)[read < here]
+            reads[who, read[read < here]] = True
+            floor = some.column("floor").combine_chunks().fill_null(-np.inf).to_numpy(zero_copy_only=False)
+            floor = floor - 1e-12 * largest * np.sqrt((q**2).sum(axis=1))  # the last bits of a product depend on the block
+            scores = q @ m.T
+            row, col = np.nonzero(scores >= floor[:, None])
+            fresh = ~reads[row[:, None], np.minimum(other[col], here)].any(axis=1)
+            row, col = row[fresh], col[fresh]
+            score = scores[row, col]
+            order = np.lexsort((col, -score, row))
+            order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]  # `row` ascends, also in this order
+            out.append(pa.table({"query": some.column("rep").to_numpy()[row[order]], "rep": reps[col[order]], "score": score[order]}))
+    return pa.concat_tables(out) if out else pa.table({"query": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
 
 def _scanned(batches: Iterator[pa.RecordBatch], asked: np.ndarray, reps: np.ndarray, dim: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -247,6 +289,7 @@ def search(
     read_lists: int = 1,
     recall: float = 0.96,
     judged: int = 256,
+    first_units: int = 8,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each query row its k nearest other rows that were found, by inner product,
     nearest first, ties to the smaller vec_id; all found ones if there are fewer.
@@ -255,7 +298,8 @@ def search(
     length other than the most frequent one (the larger of two as frequent). Rows that share id and vector are one
     candidate, and a query for each row. An empty table gives an empty result; other columns aren't read. `sample` bounds the vectors that the centroids are
     fitted on, `most_lists` their number; every vector is indexed, also those outside the sample. A query reads as many nearest lists, within
-    the ratio, as `judged` sampled queries need to find the share `recall` of their exact answers (or `read_lists`, if that is more).
+    the ratio, as `judged` sampled queries need to find the share `recall` of their exact answers (or `read_lists`, if that is more). Its floor comes from
+    `first_units` tasks of its nearest lists; it bounds the rows that are handed on and changes no answer.
     """
     vector = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -279,7 +323,7 @@ def search(
     x = np.array([r["vector"] for r in fit_on.toLocalIterator()], dtype=np.float64)
     lists = int(max(1, min(most_lists, facts["n"] // list_mean, len(x))))
     g = graph(centroids(lifted(x, facts["most"]), lists)) if lists > 1 else Graph(lifted(x, facts["most"]).mean(axis=0)[None, :], np.zeros((1, 1), np.int64), np.zeros(1, np.int64))
-    schema = "list int, part int, rep long, vector array<double>"
+    schema = "list int, part int, rep long, vector array<double>, among array<int>"
     put = partial(_listed, g=g, most=facts["most"], dim=dim)
     members = staged(points.select("rep", "vector").mapInArrow(partial(put, queries=False, lists=copies, ratio=copy_ratio, beam=32, parts=None), schema), "postings")
     needed, read_ratio, beam = reach(points, g, facts["most"], dim, k, copies, copy_ratio, recall, judged) if lists > 1 else (1, 1.0, 32)
@@ -292,9 +336,18 @@ def search(
         if table is None:
             table = F.from_json(F.lit("[" + ",".join(map(str, parts.tolist())) + "]"), "array<int>")
         members = members.withColumn("part", F.pmod(F.xxhash64("rep"), F.element_at(table, F.col("list") + 1)).cast("int"))
-    asked = points.where("asks").select("rep", "vector").mapInArrow(partial(put, queries=True, lists=read_lists, ratio=read_ratio, beam=beam, parts=parts), schema)
-    hits = members.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(partial(_found, k=k + 1), "query long, rep long, score double")
-    hits = hits.groupBy("query", "rep").agg(F.max("score").alias("score"))
+    put = partial(put, queries=True, lists=read_lists, ratio=read_ratio, beam=beam, parts=parts)
+
+    def hits_of(queries: DataFrame, units: int | None) -> DataFrame:
+        asked = queries.select("rep", "vector", "floor").mapInArrow(partial(put, units=units), schema + ", floor double")
+        hits = members.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(partial(_found, k=k + 1), "query long, rep long, score double")
+        return hits.groupBy("query", "rep").agg(F.max("score").alias("score"))
+
+    asking = points.where("asks").withColumn("floor", F.lit(None).cast("double"))
+    if read_lists * int(parts.max()) > first_units:
+        few = hits_of(asking, first_units).groupBy("query").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k)).alias("floor"))
+        asking = points.where("asks").join(few.withColumnRenamed("query", "rep"), "rep", "left")
+    hits = hits_of(asking, None)
     first = lambda c: F.slice(F.array_sort(c), 1, k + 1)
     # A query has up to k + 1 hits from each part of the lists that it reads: each salt keeps its best ones, then all salts together do.
     salts = int(max(1, read_lists * int(parts.max()) // 64))

@@ -87,6 +87,24 @@ def test_ann_reads_as_many_lists_as_recall_needs(spark):
     assert sum(len(got[q] & {v for v, _ in w}) for q, w in want.items()) / sum(map(len, want.values())) >= 0.93
 
 
+def test_ann_rows_of_a_query_dont_grow_with_its_lists(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(4000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    made, found = spark.sparkContext.accumulator(0), ann._found
+
+    def counted(members, queries, k):
+        out = found(members, queries, k)
+        made.add(len(out))
+        return out
+
+    monkeypatch.setattr(ann, "_found", counted)
+    answers = lambda **kw: sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, F.col("vec_id") % 20 == 0, list_mean=10, list_rows=50, **kw).collect())
+    got = answers()
+    assert made.value < 200 * 21 * (8 + 4)  # 200 queries; their lists gave ten times as many before
+    assert got == answers(first_units=1_000_000)  # without floors
+
+
 def test_ann_small_tables(spark):
     kind = "vec_id long, embedding array<double>"
     assert ann.search(spark.createDataFrame([], kind), F.col("vec_id") % 20 == 0).count() == 0
