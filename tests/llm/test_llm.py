@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kithmesh.llm import ann, mixing, neardup, packing, quality, repair, sharding, spotsigs, toxicity, warc
+from kithmesh.llm import ann, mixing, neardup, packing, quality, repair, sharding, spotsigs, tokens, toxicity, warc
 from kithmesh.llm.queries import tokenizer
 from kithmesh.llm.tokens import Pieces
 
@@ -53,6 +53,32 @@ def test_pieces_equal_the_tokenizer(name):
             assert np.frombuffer(raw, "<u4").tolist() == ids_of(name, t)[:-1], t
 
 
+@pytest.mark.parametrize(("span", "most"), [(1 << 22, 1 << 21), (40, 50)])
+def test_plain_texts_are_looked_up_together(span, most, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "_SPAN", span, raising=False)
+    monkeypatch.setattr(tokens, "_KEPT_WORDS", most, raising=False)
+    rng = np.random.default_rng(5)
+    letters, signs = list("abcdehinorstuABTéßÿÖ"), list(".,;:!?-()\"#_{~")
+    words = ["".join(rng.choice(letters, n)) for n in rng.integers(1, 22, 2000)]  # more than the table begins with; some too long for a key
+    odd = ["don't", "'s", "12", "a1", "(a", "a-b", "x" + "." * 20, "ª", "a×b", "µm", "§", "a½", "..", "\u00a1no", "'"]
+    texts = []
+    for n in rng.integers(1, 60, 400):
+        some = [w + "".join(rng.choice(signs, k)) if k else w for w, k in zip(rng.choice(words, n), rng.integers(0, 3, n), strict=True)]
+        some = [rng.choice(odd) if x else w for w, x in zip(some, rng.random(n) < 0.1, strict=True)]
+        texts.append("".join(x for w in some for x in (rng.choice([" ", " ", "\n"]), w))[1:])
+    texts += ["a", "", "a\x00b c", " a", "a<|endoftext|>b c", "日本 a b", "\x7f a", "w" * 200, "one two " * 300 + "end", *(w + "." for w in words)]
+    p, whole = Pieces(tokenizer("byte_bpe_50k.json")), Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    for _ in range(2):  # the second time from what was kept
+        for t, raw in zip(texts, p.encode(texts), strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    plain = [w for w in words if len(w) <= 15]
+    p = Pieces(tokenizer("byte_bpe_50k.json"))
+    p.encode([" ".join(w + "." for w in plain)])
+    assert not p._kept  # no piece is looked up alone
+
+
 # --- 1
 
 
