@@ -269,6 +269,21 @@ def test_pairs_of_points_are_dealt_over_tasks(spark, monkeypatch):
     assert graph.pairwise_distances(near.limit(0), paths).count() == 0
 
 
+def test_pairs_of_points_meet_without_copies_in_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 32, raising=False)
+    n = 1000
+    near = spark.range(n).select("id", (F.col("id") % 3).alias("node"), (F.col("id") % 50).cast("double").alias("cost"))
+    near = near.unionByName(spark.createDataFrame([(n, None, None)], near.schema))  # a point without coordinates has no node
+    paths = spark.createDataFrame([(a, b, 1000.0 * a + b) for a in range(3) for b in range(3)], "src long, dst long, cost double")
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = lambda: {x.stageId(): x.shuffleWriteRecords() for x in jvm.jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), jvm.jvm.java.util.ArrayList()))}
+    before = stages()
+    r = graph.pairwise_distances(near, paths).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"), F.count_if(F.col("i") == F.col("j")).alias("same")).first()
+    want = sum((i % 50 + j % 50 + 1001.0 * (i % 3 + j % 3) / 2) / 1000 for i in range(n) for j in range(n) if i != j)
+    assert (r["n"], r["same"]) == (n * (n - 1), 0) and r["v"] == pytest.approx(want)
+    assert sum(v for k, v in stages().items() if k not in before) < 10 * n  # 32 copies of each point before
+
+
 def test_paths_are_traced(spark):
     e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0)], "src long, dst long, cost double")
     got = {(r["src"], r["dst"]): (r["cost"], r["path"]) for r in graph.traced_paths(e).collect()}
